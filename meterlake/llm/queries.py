@@ -86,8 +86,8 @@ sizes AS (SELECT doc_id, len(s) AS n FROM sets),
 shingles AS MATERIALIZED (SELECT doc_id, hash(unnest(s)) AS h FROM sets),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS MATERIALIZED (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
-both AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach(a, b) AS (SELECT a, b FROM both UNION SELECT r.a, e.b FROM reach r JOIN both e ON r.b = e.a),
+sides AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM sides UNION SELECT r.a, e.b FROM reach r JOIN sides e ON r.b = e.a),
 least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT s.doc_id, s.n AS n_shingles, least(s.doc_id, coalesce(l.m, s.doc_id)) AS component_id
 FROM sizes s LEFT JOIN least l ON l.a = s.doc_id
