@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import calendar
 from .aggregate import STATS, merge, rollup, stats, with_total
 
-ALL = Window.partitionBy()
+
+def _all():
+    return Window.partitionBy()
 
 
 def daily(usage: DataFrame, *dims: str, window: calendar.Window | None = None) -> DataFrame:
@@ -46,7 +48,7 @@ def peak_hour(hourly: DataFrame) -> DataFrame:
 
 def hour_bars(hourly: DataFrame) -> DataFrame:
     """Bars relative to the busiest hour: of 4 rows (rounded, 1 at least) and 8 cells (rounded up)."""
-    most = F.max("total_tokens").over(ALL)
+    most = F.max("total_tokens").over(_all())
     share = F.when(most > 0, F.col("total_tokens") / most).otherwise(0.0)
     some = F.col("total_tokens") > 0
     return hourly.select(
@@ -124,7 +126,7 @@ def grid(days: DataFrame, today: date) -> DataFrame:
         F.floor(F.datediff("day", F.lit(start)) / 7).cast("int").alias("week"),
         (F.dayofweek("day") - 1).alias("weekday"),
         "total_tokens", "cost_micros",
-        level(F.col("total_tokens"), F.max("total_tokens").over(ALL)).alias("level"),
+        level(F.col("total_tokens"), F.max("total_tokens").over(_all())).alias("level"),
     ).orderBy("day")
 
 

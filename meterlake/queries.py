@@ -301,20 +301,20 @@ def _raw_logs() -> None:
         e = unpriced(s, d).withColumn("line", F.to_json(make))
         return e.select(F.concat("project", F.lit("/"), "session_id", F.lit(".jsonl")).alias("rel"), F.col("event_id").alias("line_idx"), "line", F.octet_length("line").cast("long").alias("raw_bytes"))
 
-    stamp = F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    stamp = lambda: F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     t = lambda c, n: F.col(c).alias(n)
     back = "input_tokens, output_tokens, cache_read_tokens, cache_write_tokens"
 
     def as_claude(s: SparkSession, d: str) -> DataFrame:
         u = F.struct(t("input_tokens", "input_tokens"), t("output_tokens", "output_tokens"), t("cache_write_tokens", "cache_creation_input_tokens"), t("cache_read_tokens", "cache_read_input_tokens"))
-        j = lines(s, d, F.struct(F.lit("assistant").alias("type"), stamp.alias("timestamp"), F.struct("model", u.alias("usage")).alias("message")))
+        j = lines(s, d, F.struct(F.lit("assistant").alias("type"), stamp().alias("timestamp"), F.struct("model", u.alias("usage")).alias("message")))
         return ingest.claude(s, [], NOW, j).drop("raw_bytes", "cost_micros")
 
     add("ing_01_claude", as_claude, f"SELECT 'claude' AS provider, project, session_id, model, started_at, {back}, concat(project, '/', session_id, '.jsonl:', event_id) AS fingerprint FROM raw WHERE input_tokens + output_tokens + cache_read_tokens + cache_write_tokens > 0")
 
     def as_openclaw(s: SparkSession, d: str) -> DataFrame:
         u = F.struct((F.col("input_tokens") + F.col("cache_read_tokens")).alias("prompt_tokens"), t("output_tokens", "completion_tokens"), t("cache_read_tokens", "cached_tokens"))
-        j = lines(s, d, F.struct(F.lit("message").alias("type"), F.concat(F.lit("e"), "event_id").alias("id"), stamp.alias("timestamp"), F.struct(F.lit("assistant").alias("role"), "model", u.alias("usage")).alias("message")))
+        j = lines(s, d, F.struct(F.lit("message").alias("type"), F.concat(F.lit("e"), "event_id").alias("id"), stamp().alias("timestamp"), F.struct(F.lit("assistant").alias("role"), "model", u.alias("usage")).alias("message")))
         return ingest.openclaw(s, [], NOW, j).select("model", "started_at", "input_tokens", "output_tokens", "cache_read_tokens", "fingerprint")
 
     add("ing_10_openclaw", as_openclaw, "SELECT model, started_at, input_tokens, output_tokens, cache_read_tokens, concat(project, '/', session_id, '.jsonl:e', event_id) AS fingerprint FROM raw WHERE input_tokens + output_tokens + cache_read_tokens > 0")

@@ -23,7 +23,6 @@ from .wire import generation, workspace_uri
 
 COLUMNS = [c.strip().split()[0] for c in USAGE.split(",")]
 _JSON = {"columnNameOfCorruptRecord": "_corrupt"}
-IN_FILE = Window.partitionBy("rel").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, 0)
 
 parent_name = lambda rel: F.coalesce(F.nullif(F.regexp_extract(rel, r"([^/]+)/[^/]+$", 1), F.lit("")), F.lit("unknown"))
 stem = lambda rel: F.regexp_extract(rel, r"([^/]+?)(\.[^./]*)?$", 1)
@@ -38,7 +37,8 @@ def parsed(lines: DataFrame, schema: str, strict: bool = False) -> DataFrame:
 
 def carry(state: Column) -> Column:
     """The last non-null state of the file's lines up to this one."""
-    return F.last(state, ignorenulls=True).over(IN_FILE)
+    in_file = Window.partitionBy("rel").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, 0)
+    return F.last(state, ignorenulls=True).over(in_file)
 
 
 def finish(rows: DataFrame, provider: str, run_ts: datetime, **columns) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -62,8 +63,7 @@ def _uri(b: bytes, depth: int = 8) -> str | None:
     return next((u for n in inner for v in inner[n] if isinstance(v, bytes) and (u := _uri(v, depth - 1))), None)
 
 
-@F.pandas_udf("seconds long, nanos long, input long, output long, cached long")
-def generation(blob: pd.Series) -> pd.DataFrame:
+def _generation(blob: pd.Series) -> pd.DataFrame:
     """Start time and token counts of a generation record; null where malformed."""
     rows = []
     for b in blob:
@@ -76,7 +76,14 @@ def generation(blob: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["seconds", "nanos", "input", "output", "cached"], dtype="Int64")
 
 
-@F.pandas_udf("string")
-def workspace_uri(blob: pd.Series) -> pd.Series:
+def _workspace_uri(blob: pd.Series) -> pd.Series:
     """The first file:/// text in a record, to depth 8."""
     return blob.map(lambda b: _uri(bytes(b)) if b is not None else None)
+
+
+def generation(blob: str) -> Column:
+    return F.pandas_udf(_generation, "seconds long, nanos long, input long, output long, cached long")(blob)
+
+
+def workspace_uri(blob: str) -> Column:
+    return F.pandas_udf(_workspace_uri, "string")(blob)
