@@ -5,7 +5,8 @@ tokens, in which a token with a digit counts as the variable field <*>. In a lea
 template if they agree on all further tokens but one quarter of them (the tail is cut into four
 segments; a template may have one segment as a variable field). A template found in `min_docs`
 documents or more recurs: its lines are dropped, but for the first (least doc_id, then position), so
-that no text is lost from the corpus. Lines under `min_tokens` tokens are kept.
+that no text is lost from the corpus. Lines with fewer than `min_tokens` constant tokens are kept: neither short
+lines nor rows of numbers are templates.
 
 At scale: a leaf that holds fewer lines than `min_docs` can't hold a recurring template, so after one
 aggregation of leaf hashes only the lines of frequent leaves go on; documents, counts and firsts are
@@ -29,7 +30,7 @@ def template_keys(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
         docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
         .select("doc_id", "pos", F.array_remove(F.split(masked, r"\s+"), "").alias("t"))
         .withColumn("n", F.size("t"))
-        .where(F.col("n") >= min_tokens)
+        .where(F.size(F.array_remove("t", "<*>")) >= min_tokens)
     )
     tail = F.col("n") - depth
     cut = [F.floor(tail * k / SEGMENTS).cast("int") for k in range(SEGMENTS + 1)]
@@ -92,7 +93,7 @@ tokens AS (
 parts AS (
   SELECT doc_id, pos, len(t) AS n, t[1:3] AS head,
     list_transform(range(0, 4), lambda k: t[4 + ((len(t) - 3) * k) // 4 : 3 + ((len(t) - 3) * (k + 1)) // 4]) AS s
-  FROM tokens WHERE len(t) >= 6),
+  FROM tokens WHERE len(list_filter(t, lambda x: x <> '<*>')) >= 6),
 templates AS (
   SELECT doc_id, pos, hash(w, n, head, list_transform(range(0, 4), lambda k: CASE WHEN k = w THEN NULL ELSE s[k + 1] END)) AS template
   FROM parts, unnest(range(-1, 4)) AS u(w)),
