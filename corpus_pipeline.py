@@ -18,8 +18,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template recurs go, but for the first; n_chars follows the text."""
-    cleaned = line_dedup.drop_recurring_lines(docs)
+    """Lines that recur, as a template or word by word, go, but for the first; n_chars follows the text."""
+    return _as_before(line_dedup.drop_recurring_lines(docs, exact=True), docs)
+
+
+def _as_before(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cleaned = cleaned.selectExpr("* except (n_chars)", "CASE WHEN n_dropped > 0 THEN length(text) ELSE n_chars END AS n_chars")
@@ -28,8 +31,9 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays."""
-    return jaccard_join.keep_one_of_each(docs)
+    """One document of each component of near copies stays; passages that still recur go, but for the first."""
+    kept = materialize(jaccard_join.keep_one_of_each(docs), "kept")
+    return _as_before(line_dedup.drop_recurring_passages(kept), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

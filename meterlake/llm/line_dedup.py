@@ -6,7 +6,9 @@ template if they agree on all further tokens but one quarter of them (the tail i
 segments; a template may have one segment as a variable field). A template found in `min_docs`
 documents or more recurs: its lines are dropped, but for the first (least doc_id, then position), so
 that no text is lost from the corpus. Lines with fewer than `min_tokens` constant tokens are kept: neither short
-lines nor rows of numbers are templates.
+lines nor rows of numbers are templates. With `exact`, a line whose words are all the same, digits included,
+recurs whatever its length (lines without a word never do). A passage, a line of over 50 words, recurs from
+two documents on; `drop_recurring_passages` is for documents that aren't copies of each other.
 
 At scale: a leaf that holds fewer lines than `min_docs` can't hold a recurring template, so after one
 aggregation of leaf hashes only the lines of frequent leaves go on; documents, counts and firsts are
@@ -45,9 +47,22 @@ def template_keys(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     return lines.select("doc_id", "pos", "leaf", F.array(whole, *wild).alias("templates"))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_tokens: int = 6) -> DataFrame:
+def exact_keys(docs: DataFrame, min_words: int) -> DataFrame:
+    """Like template_keys for lines of `min_words` words or more: the hash of all words is leaf and only template."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.select("doc_id", "pos", F.array_remove(F.split("line", r"\s+"), "").alias("t")).where(F.size("t") >= min_words)
+    return lines.select("doc_id", "pos", F.xxhash64(F.lit(-2), "t").alias("leaf")).withColumn("templates", F.array("leaf"))
+
+
+def recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_tokens: int = 6, exact: bool = False) -> DataFrame:
     """doc_id and the positions (from 0) of its lines to drop; documents without such lines have no row."""
-    lines = materialize(template_keys(docs.select("doc_id", "text"), depth, min_tokens), "lines")
+    docs = docs.select("doc_id", "text")
+    lines = template_keys(docs, depth, min_tokens)
+    return _recurring(lines.union(exact_keys(docs, 1)) if exact else lines, min_docs)
+
+
+def _recurring(lines: DataFrame, min_docs: int) -> DataFrame:
+    lines = materialize(lines, "lines")
     leaves = materialize(lines.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
     rows = materialize(
         lines.join(maybe_broadcast(leaves), "leaf").select("doc_id", "pos", F.explode("templates").alias("template")), "templates"
@@ -64,14 +79,23 @@ def recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_tok
     return hits.groupBy("doc_id").agg(F.collect_set("pos").alias("drop"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_tokens: int = 6) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_tokens: int = 6, exact: bool = False) -> DataFrame:
     """`docs` with its columns, recurring lines taken out of `text`, and n_lines, n_dropped.
 
     Null text stays null with 0 lines; a text all of whose lines recur elsewhere becomes ''. Rows
     that repeat a doc_id count as one document and lose the same lines; a null doc_id is one document.
     """
-    drops = recurring_lines(docs, min_docs, depth, min_tokens).withColumnRenamed("doc_id", "drop_id")
-    joined = docs.join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
+    return _without(docs, recurring_lines(docs, min_docs, depth, min_tokens, exact).hint("shuffle_hash"))
+
+
+def drop_recurring_passages(docs: DataFrame, min_docs: int = 2, min_words: int = 51) -> DataFrame:
+    """Like drop_recurring_lines, for lines of `min_words` words or more that recur word by word."""
+    drops = materialize(_recurring(exact_keys(docs.select("doc_id", "text"), min_words), min_docs), "passages")
+    return _without(docs, maybe_broadcast(drops))
+
+
+def _without(docs: DataFrame, drops: DataFrame) -> DataFrame:
+    joined = docs.join(drops.withColumnRenamed("doc_id", "drop_id"), F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("drop", i)), "\n")
     return joined.withColumns(
         {

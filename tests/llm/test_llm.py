@@ -137,6 +137,21 @@ def test_line_dedup(spark):
     assert line_dedup.drop_recurring_lines(make(spark, docs).limit(0)).count() == 0
 
 
+def test_exact_lines_and_passages(spark):
+    """Short lines and rows of numbers that recur word by word go, and passages from two documents on."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(6)
+    passage, brief = " ".join(words(rng, 51)), " ".join(words(rng, 50))
+    docs = [f"Les.\n\n {' '.join(words(rng, 9))}\n1 2 3\nrow {i}\n{' '.join(words(rng, 120))}" + (f"\n{passage}\n{brief}" if i in (3, 7) else "") for i in range(12)]
+    cut = {r.doc_id: r for r in pipeline.drop_recurring_lines(spark, make(spark, docs), "").collect()}
+    for i, t in enumerate(docs):
+        lines = t.split("\n")
+        assert cut[i].text == (t if i == 0 else "\n".join([*lines[1:3], *lines[4:]])) and cut[i].n_chars == len(cut[i].text)
+    kept = {r.doc_id: r for r in pipeline.keep_one_of_near_copies(spark, make(spark, [*docs, docs[3]]), "").collect()}
+    assert {i: r.text for i, r in kept.items()} == {i: t if i != 7 else t.replace(f"\n{passage}", "") for i, t in enumerate(docs)}
+    assert kept[7].n_chars == len(kept[7].text)
+
+
 def test_byte_bpe(spark, texts):
     import public_tokenizers as P
     import tiktoken
