@@ -278,6 +278,20 @@ def test_fingerprints(spark, texts):
     assert [p for _, p in a.differing(b)] and 0 < a.likeness(b) < 1
 
 
+def test_likeness_follows_the_share_kept():
+    """One sentence, one repeated word, no blanks, other full stops: two thirds are kept."""
+    rng = random.Random(8)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9000)) + ("。" if i % 20 == 19 else "") for i in range(600))
+    cases = [" ".join(words(rng, 40)), "word " * 655, "".join(rng.choice("abcdefgh") for _ in range(3000)), cjk, "x" * 500, "\n".join(["", cjk[:90], " ", cjk[90:200]])]
+    for t in cases:
+        k = len(t) // 3
+        edited = t[: len(t) - k] + "".join(rng.choice("stuvwxyz") for _ in range(k))
+        a, b = fingerprints.Fingerprint.of(t), fingerprints.Fingerprint.of(edited)
+        assert abs(a.likeness(b) - 2 / 3) < 0.12 and a.likeness(fingerprints.Fingerprint.of(edited[-k:])) < 0.05
+        assert [[n for _, n in p] for s in a.sections for _, p in s[1]] and all(n <= fingerprints.MOST for s in a.sections for _, p in s[1] for _, n in p)
+        assert [sum(n for _, n in p) for s in a.sections for _, p in s[1]] == [len(line) for line in t.split("\n")]
+
+
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "mixing sources", "byte-level BPE"]
