@@ -25,38 +25,46 @@ from .common import materialize, maybe_broadcast
 SEGMENTS = 4
 
 
+#: A document: rows without a doc_id, or that repeat one, are told apart by the hash of their text.
+KEY = ("doc_id", "version")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
+
+
 def template_keys(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """doc_id, pos, leaf (hash) and the hashes of the line's five templates."""
+    """doc_id, version, pos, leaf (hash) and the hashes of the line's five templates."""
     masked = F.regexp_replace("line", r"(?<![^\s])[^\s0-9]*+[0-9][^\s]*+", "<*>")
     lines = (
-        docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select("doc_id", "pos", F.array_remove(F.split(masked, r"\s+"), "").alias("t"))
+        docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        .select(*KEY, "pos", F.array_remove(F.split(masked, r"\s+"), "").alias("t"))
         .withColumn("n", F.size("t"))
         .where(F.size(F.array_remove("t", "<*>")) >= min_tokens)
     )
     tail = F.col("n") - depth
     cut = [F.floor(tail * k / SEGMENTS).cast("int") for k in range(SEGMENTS + 1)]
     lines = lines.select(
-        "doc_id",
+        *KEY,
         "pos",
         F.xxhash64("n", F.slice("t", 1, depth)).alias("leaf"),
         *[F.xxhash64(F.slice("t", cut[k] + depth + 1, cut[k + 1] - cut[k])).alias(f"s{k}") for k in range(SEGMENTS)],
     )
     whole = F.xxhash64(F.lit(-1), "leaf", *[f"s{k}" for k in range(SEGMENTS)])
     wild = [F.xxhash64(F.lit(w), "leaf", *[f"s{k}" for k in range(SEGMENTS) if k != w]) for w in range(SEGMENTS)]
-    return lines.select("doc_id", "pos", "leaf", F.array(whole, *wild).alias("templates"))
+    return lines.select(*KEY, "pos", "leaf", F.array(whole, *wild).alias("templates"))
 
 
 def exact_keys(docs: DataFrame, min_words: int) -> DataFrame:
     """Like template_keys for lines of `min_words` words or more: the hash of all words is leaf and only template."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", "pos", F.array_remove(F.split("line", r"\s+"), "").alias("t")).where(F.size("t") >= min_words)
-    return lines.select("doc_id", "pos", F.xxhash64(F.lit(-2), "t").alias("leaf")).withColumn("templates", F.array("leaf"))
+    lines = docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.select(*KEY, "pos", F.array_remove(F.split("line", r"\s+"), "").alias("t")).where(F.size("t") >= min_words)
+    return lines.select(*KEY, "pos", F.xxhash64(F.lit(-2), "t").alias("leaf")).withColumn("templates", F.array("leaf"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_tokens: int = 6, exact: bool = False) -> DataFrame:
-    """doc_id and the positions (from 0) of its lines to drop; documents without such lines have no row."""
-    docs = docs.select("doc_id", "text")
+    """doc_id, version and the positions (from 0) of the lines to drop; documents without such lines have no row."""
+    docs = _keyed(docs)
     lines = template_keys(docs, depth, min_tokens)
     return _recurring(lines.union(exact_keys(docs, 1)) if exact else lines, min_docs)
 
@@ -65,37 +73,39 @@ def _recurring(lines: DataFrame, min_docs: int) -> DataFrame:
     lines = materialize(lines, "lines")
     leaves = materialize(lines.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
     rows = materialize(
-        lines.join(maybe_broadcast(leaves), "leaf").select("doc_id", "pos", F.explode("templates").alias("template")), "templates"
+        lines.join(maybe_broadcast(leaves), "leaf").select(*KEY, "pos", F.explode("templates").alias("template")), "templates"
     )
-    by_doc = rows.groupBy("template", "doc_id").agg(F.min("pos").alias("pos"))
+    by_doc = rows.groupBy("template", *KEY).agg(F.min("pos").alias("pos"))
     recurring = materialize(
         by_doc.groupBy("template")
-        .agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "pos")).alias("first"))
+        .agg(F.count("*").alias("docs"), F.min(F.struct(*KEY, "pos")).alias("first"))
         .where(F.col("docs") >= min_docs)
         .select("template", "first"),
         "recurring",
     )
-    hits = rows.join(maybe_broadcast(recurring), "template").where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
-    return hits.groupBy("doc_id").agg(F.collect_set("pos").alias("drop"))
+    hits = rows.join(maybe_broadcast(recurring), "template").where(~F.struct(*KEY, "pos").eqNullSafe(F.col("first")))
+    return hits.groupBy(*KEY).agg(F.collect_set("pos").alias("drop"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_tokens: int = 6, exact: bool = False) -> DataFrame:
     """`docs` with its columns, recurring lines taken out of `text`, and n_lines, n_dropped.
 
     Null text stays null with 0 lines; a text all of whose lines recur elsewhere becomes ''. Rows
-    that repeat a doc_id count as one document and lose the same lines; a null doc_id is one document.
+    that repeat a doc_id (or have none) and the text count as one document and lose the same lines; with
+    another text they are a document of their own.
     """
     return _without(docs, recurring_lines(docs, min_docs, depth, min_tokens, exact).hint("shuffle_hash"))
 
 
 def drop_recurring_passages(docs: DataFrame, min_docs: int = 2, min_words: int = 51) -> DataFrame:
     """Like drop_recurring_lines, for lines of `min_words` words or more that recur word by word."""
-    drops = materialize(_recurring(exact_keys(docs.select("doc_id", "text"), min_words), min_docs), "passages")
+    drops = materialize(_recurring(exact_keys(_keyed(docs), min_words), min_docs), "passages")
     return _without(docs, maybe_broadcast(drops))
 
 
 def _without(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    joined = docs.join(drops.withColumnRenamed("doc_id", "drop_id"), F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
+    drops = drops.withColumnsRenamed({"doc_id": "drop_id", "version": "drop_version"})
+    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")) & (F.xxhash64("text") == F.col("drop_version")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("drop", i)), "\n")
     return joined.withColumns(
         {
@@ -103,7 +113,7 @@ def _without(docs: DataFrame, drops: DataFrame) -> DataFrame:
             "n_dropped": F.coalesce(F.when(F.col("text").isNotNull(), F.size("drop")), F.lit(0)).cast("long"),
             "text": F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept),
         }
-    ).drop("drop", "drop_id")
+    ).drop("drop", "drop_id", "drop_version")
 
 
 #: The same in DuckDB, for the parameters of the registered query.

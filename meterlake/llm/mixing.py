@@ -135,6 +135,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it has whole copies; documents with none are left out."""
     columns = docs.columns
-    copies = materialize(mix(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("mix_copies")), "copies")
-    joined = docs.join(copies.withColumnRenamed("doc_id", "mix_id"), F.col("doc_id").eqNullSafe(F.col("mix_id")))
+    # Rows without a doc_id, or that repeat one, are told apart by all their columns; equal rows add up.
+    repeated = materialize(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("mix_id")), "repeated")
+    several = not repeated.isEmpty()
+    if several:
+        known = docs.join(maybe_broadcast(repeated.withColumn("again", F.lit(True))), F.col("doc_id").eqNullSafe(F.col("mix_id")), "left")
+        key = F.when(F.col("again"), F.xxhash64(*columns)).otherwise(F.col("doc_id"))
+        docs = known.withColumn("mix_key", key).drop("mix_id", "again")
+    else:
+        docs = docs.withColumn("mix_key", F.col("doc_id"))
+    taken = mix(docs.select(F.col("mix_key").alias("doc_id"), "source", "text"), **options)
+    copies = materialize(taken.where("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("mix_copies")), "copies")
+    if several:
+        docs = docs.dropDuplicates(["mix_key"])
+    joined = docs.join(copies.withColumnRenamed("doc_id", "mix_id"), F.col("mix_key") == F.col("mix_id"))
     return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(columns)

@@ -292,6 +292,33 @@ def test_likeness_follows_the_share_kept():
         assert [sum(n for _, n in p) for s in a.sections for _, p in s[1]] == [len(line) for line in t.split("\n")]
 
 
+def test_null_and_repeated_ids(spark, tmp_path):
+    """Rows without a doc_id, or that repeat one, are documents of their own if their texts differ, in all stages."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    t = [" ".join(words(rng, 60, 5000)) for _ in range(6)]
+    note = "printed by the archive office of the town\n"
+    texts = [t[0], t[1], t[2], t[2], t[3], t[4], t[4], "", " ", None, *(note + " ".join(words(rng, 60, 5000)) for _ in range(12))]
+    ids = [None, None, None, 7, 8, 8, 8, None, None, 9, *([None] * 12)]
+    docs = make(spark, texts, ids=ids)
+    kept = sorted((r.doc_id or 0, r.text or "") for r in jaccard_join.keep_one_of_each(docs).collect())
+    assert kept == sorted([(0, t[0]), (0, t[1]), (7, t[2]), (8, t[3]), (8, t[4]), (0, ""), (0, " "), (9, ""), *((0, x) for x in texts[10:])])
+    cut = [r.text for r in line_dedup.drop_recurring_lines(docs).collect()]
+    assert sum(note in (x or "") for x in cut) == 1 and sorted((x or "").replace(note, "") for x in cut) == sorted((x or "").replace(note, "") for x in texts)
+    mixed = mixing.mixed_documents(docs, share=2.0).collect()
+    assert sorted(r.text or "" for r in mixed) == sorted(2 * [x or "" for x in texts])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage = [s for _, s in pipeline.STAGES]
+    out = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for s in stage[:3]:
+        out = s(spark, out, str(tmp_path))
+    want = sorted(r.text for r in out.collect() if r.text and r.text.strip())
+    assert len(want) == 17 and sum(note in x for x in want) == 1
+    got = pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens").collect()
+    assert len(got) >= 17 and any(r.doc_id is None for r in got)
+
+
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "mixing sources", "byte-level BPE"]
