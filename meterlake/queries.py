@@ -21,6 +21,8 @@ from .streaming import usage_stream
 NOW = datetime(2024, 1, 20, 15)
 TODAY = date(2024, 1, 20)
 MONTH = calendar.last_n_days(30, NOW)
+#: Range of event_id, and so rows at most, of a made-up Trae or Gemini document.
+TRAE_ROWS, GEMINI_ROWS = 1000, 100_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -328,15 +330,16 @@ def _raw_logs() -> None:
     add("ing_03_codebuddy", as_codebuddy, "SELECT project, session_id, input_tokens, output_tokens, cache_read_tokens, concat(project, '/', session_id, '.jsonl:', event_id) AS fingerprint FROM raw WHERE input_tokens + output_tokens + cache_read_tokens > 0")
 
     def as_trae(s: SparkSession, d: str) -> DataFrame:
+        """Documents of one project and range of event_id each, so that they stay small; those of a project share its path."""
         row = F.struct(F.col("model").alias("model_name"), "session_id", F.col("event_id").alias("usage_time"), F.struct(t("input_tokens", "input_token"), t("output_tokens", "output_token"), t("cache_read_tokens", "cache_read_token"), t("cache_write_tokens", "cache_write_token")).alias("extra_info"))
-        docs = unpriced(s, d).groupBy("project").agg(F.to_json(F.collect_list(row)).alias("doc")).select(F.concat(F.lit("sessions/"), "project", F.lit(".json")).alias("rel"), "doc")
+        docs = unpriced(s, d).groupBy("project", F.floor(F.col("event_id") / TRAE_ROWS)).agg(F.to_json(F.collect_list(row)).alias("doc")).select(F.concat(F.lit("sessions/"), "project", F.lit(".json")).alias("rel"), "doc")
         return ingest.trae(s, [], NOW, docs).select("session_id", "model", *back.split(", "), "fingerprint")
 
     add("ing_15_trae", as_trae, f"SELECT session_id, lower(model) AS model, {back}, concat('sessions/', project, '.json:', session_id, ':', event_id) AS fingerprint FROM raw WHERE event_id > 0 AND input_tokens + output_tokens + cache_read_tokens + cache_write_tokens > 0")
 
     def as_gemini(s: SparkSession, d: str) -> DataFrame:
         row = F.struct(F.struct((F.col("input_tokens") + F.col("cache_read_tokens")).alias("promptTokenCount"), t("output_tokens", "candidatesTokenCount"), t("cache_read_tokens", "cachedContentTokenCount")).alias("usageMetadata"), "model")
-        docs = unpriced(s, d).groupBy("session_id").agg(F.to_json(F.struct(F.struct(F.collect_list(row).alias("turns")).alias("chat"))).alias("doc")).select(F.concat(F.lit("tmp/x/chats/"), "session_id", F.lit(".json")).alias("rel"), "doc")
+        docs = unpriced(s, d).groupBy("session_id", F.floor(F.col("event_id") / GEMINI_ROWS).alias("part")).agg(F.to_json(F.struct(F.struct(F.collect_list(row).alias("turns")).alias("chat"))).alias("doc")).select(F.concat(F.lit("tmp/"), "part", F.lit("/chats/"), "session_id", F.lit(".json")).alias("rel"), "doc")
         g = ingest.gemini(s, [], NOW, docs)
         return g.groupBy("session_id", "model").agg(F.count("*").alias("records"), *[F.sum(c).alias(c) for c in back.split(", ")[:3]], F.countDistinct("fingerprint").alias("keys"))
 

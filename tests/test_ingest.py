@@ -4,6 +4,7 @@ import json
 from datetime import datetime
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from meterlake.sources import files, ingest
@@ -141,3 +142,16 @@ def test_union(spark, tmp_path):
     write(tmp_path / "p" / "a.jsonl", {"type": "assistant", "message": {"usage": {"input_tokens": 1}}})
     got = ingest.scan_all(spark, {"claude": [(str(tmp_path), None)], "pi": []}, RUN, ["claude", "pi"])
     assert got.select(F.collect_set("provider")).first()[0] == ["claude"] and got.first().started_at == RUN
+
+
+@pytest.mark.parametrize("name, job, limit", [("ing_15_trae", "trae", "TRAE_ROWS"), ("ing_14_gemini", "gemini", "GEMINI_ROWS")])
+def test_made_up_documents_stay_small(spark, monkeypatch, name, job, limit):
+    from meterlake import queries
+
+    given = []
+    real = getattr(queries.ingest, job)
+    monkeypatch.setattr(queries.ingest, job, lambda s, roots, now, docs: (given.append(docs), real(s, roots, now, docs))[1])
+    monkeypatch.setattr(queries, limit, 100)
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    rows = [r.doc.count('"model') for r in given[0].collect()]
+    assert max(rows) <= 100 and len(rows) >= 10 and sum(rows) == queries.unpriced(spark, "/root/testdata/sf0.001").count()
