@@ -25,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; a folder of our own only where it names none."""
+    """The checkpoint folder that the session names; a folder of our own only on one machine, where it names none."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -37,7 +40,17 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what `materialize` wrote for these, once all that is made of them is written too."""
+    for df in frames:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -46,6 +59,31 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCA
     return F.broadcast(df) if n <= limit else df
 
 
+#: What tells rows apart: the id, which may be missing or repeat, and the hash of the text.
+ROW = ("doc_id", "version")
+
+
+def with_version(docs: DataFrame, name: str = "version") -> DataFrame:
+    return docs.withColumn(name, F.xxhash64("text"))
+
+
+def join_rows(docs: DataFrame, rows: DataFrame, how: str = "inner", version: str = "__version") -> DataFrame:
+    """Rows with a text met by small rows of the same id and version, a missing id included; the latter's columns get a `__`.
+
+    Always a hash join over a shuffle, so the plan is the same at every size; each text moves once.
+    """
+    rows = rows.select([F.col(c).alias("__row_version" if c == "version" else f"__{c}") for c in rows.columns])
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col(version) == F.col("__row_version"))
+    out = docs.join(rows.hint("shuffle_hash"), same, how)
+    return out if how in ("left_semi", "left_anti") else out.drop("__doc_id", "__row_version")
+
+
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], by: str, salts: int = 64) -> DataFrame:
+    """Inner join in which a key of `many` may hold most rows: it is dealt by `salts` values of `by`, and `few` copied to each."""
+    copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(copies, [*keys, "salt"]).drop("salt")
+
+
 # --------------------------------------------------------------------------- bytes in numpy
 
 U64 = np.uint64

@@ -4,141 +4,145 @@ Every line is parsed into a tree of fixed depth: first the number of its tokens,
 tokens, in which a token with a digit counts as the variable field <*>. In a leaf, lines share a
 template if they agree on all further tokens but one quarter of them (the tail is cut into four
 segments; a template may have one segment as a variable field). A template found in `min_docs`
-documents or more recurs: its lines are dropped, but for the first (least doc_id, then position), so
-that no text is lost from the corpus. Lines with fewer than `min_tokens` constant tokens are kept: neither short
-lines nor rows of numbers are templates. With `exact`, a line whose words are all the same, digits included,
-recurs whatever its length (lines without a word never do). A passage, a line of over 50 words, recurs from
-two documents on; `drop_recurring_passages` is for documents that aren't copies of each other.
+documents or more recurs: its lines are dropped, but for the first (least doc_id, then hash of the text,
+then position), so that no text is lost from the corpus. Lines with fewer than `min_tokens` constant tokens
+aren't templates: neither short lines nor rows of numbers are. With `exact`, a line whose words are all the
+same, digits included, recurs whatever its length (lines without a word never do). A passage is a line of over
+50 words; with `passages` it recurs, word by word, from two documents of different texts on.
 
 At scale: a leaf that holds fewer lines than `min_docs` can't hold a recurring template, so after one
 aggregation of leaf hashes only the lines of frequent leaves go on; documents, counts and firsts are
-aggregated with map-side combine, so that a line in a third of all documents costs one row a task.
+aggregated with map-side combine, so that a line in a third of all documents costs one row a task. Texts
+are shuffled once, to meet the positions to drop.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import ROW, discard, join_rows, materialize, maybe_broadcast, with_version
 
 SEGMENTS = 4
+#: Words from which a line is a passage, and documents that it takes to recur.
+PASSAGE_WORDS, PASSAGE_DOCS = 51, 2
 
 
-#: A document: rows without a doc_id, or that repeat one, are told apart by the hash of their text.
-KEY = ("doc_id", "version")
+def _tokens(lines: DataFrame) -> DataFrame:
+    """`raw`: the words of each line. Rare cases are looked for first, so that most lines meet one cheap search each."""
+    blanks = F.when(F.col("line").rlike(r"[\t\x0B\f\r]"), F.translate("line", "\t\x0b\f\r", "    ")).otherwise(F.col("line"))
+    return lines.withColumn("raw", F.array_remove(F.split(blanks, " "), ""))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
-
-
-def template_keys(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """doc_id, version, pos, leaf (hash) and the hashes of the line's five templates."""
-    masked = F.regexp_replace("line", r"(?<![^\s])[^\s0-9]*+[0-9][^\s]*+", "<*>")
-    lines = (
-        docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select(*KEY, "pos", F.array_remove(F.split(masked, r"\s+"), "").alias("t"))
-        .withColumn("n", F.size("t"))
-        .where(F.size(F.array_remove("t", "<*>")) >= min_tokens)
-    )
-    tail = F.col("n") - depth
+def _template(tokens: Column, depth: int) -> tuple[Column, Column]:
+    """Hash of the leaf, and the hashes of the line's five templates."""
+    n = F.size(tokens)
+    tail = F.greatest(n - depth, F.lit(0))
     cut = [F.floor(tail * k / SEGMENTS).cast("int") for k in range(SEGMENTS + 1)]
-    lines = lines.select(
-        *KEY,
-        "pos",
-        F.xxhash64("n", F.slice("t", 1, depth)).alias("leaf"),
-        *[F.xxhash64(F.slice("t", cut[k] + depth + 1, cut[k + 1] - cut[k])).alias(f"s{k}") for k in range(SEGMENTS)],
-    )
-    whole = F.xxhash64(F.lit(-1), "leaf", *[f"s{k}" for k in range(SEGMENTS)])
-    wild = [F.xxhash64(F.lit(w), "leaf", *[f"s{k}" for k in range(SEGMENTS) if k != w]) for w in range(SEGMENTS)]
-    return lines.select(*KEY, "pos", "leaf", F.array(whole, *wild).alias("templates"))
-
-
-def exact_keys(docs: DataFrame, min_words: int) -> DataFrame:
-    """Like template_keys for lines of `min_words` words or more: the hash of all words is leaf and only template."""
-    lines = docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select(*KEY, "pos", F.array_remove(F.split("line", r"\s+"), "").alias("t")).where(F.size("t") >= min_words)
-    return lines.select(*KEY, "pos", F.xxhash64(F.lit(-2), "t").alias("leaf")).withColumn("templates", F.array("leaf"))
-
-
-def recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_tokens: int = 6, exact: bool = False) -> DataFrame:
-    """doc_id, version and the positions (from 0) of the lines to drop; documents without such lines have no row."""
-    docs = _keyed(docs)
-    lines = template_keys(docs, depth, min_tokens)
-    return _recurring(lines.union(exact_keys(docs, 1)) if exact else lines, min_docs)
-
-
-def _recurring(lines: DataFrame, min_docs: int) -> DataFrame:
+    leaf = F.xxhash64(n, F.slice(tokens, 1, depth))
+    parts = [F.xxhash64(F.slice(tokens, cut[k] + depth + 1, cut[k + 1] - cut[k])) for k in range(SEGMENTS)]
+    return leaf, F.array(*parts)
+
+
+def line_keys(docs: DataFrame, min_docs: int, depth: int, min_tokens: int, exact: bool, passages: bool, templates: bool = True) -> DataFrame:
+    """doc_id, version, pos, leaf, templates (hashes) and the documents that each `need`s, a row for each way in which a line may recur."""
+    lines = _tokens(docs.select(*ROW, F.posexplode(F.split("text", "\n")).alias("pos", "line")))
+    lines = lines.select(*ROW, "pos", "line", "raw", F.size("raw").alias("words"))
+    kinds = []
+    if exact or passages:
+        whole = F.xxhash64(F.lit(-2), "raw")
+        need = F.when(F.col("words") >= PASSAGE_WORDS, PASSAGE_DOCS if passages else min_docs).otherwise(min_docs if exact else None)
+        found = F.struct(whole.alias("leaf"), F.array(whole).alias("templates"), need.cast("int").alias("need"))
+        kinds.append(F.when((F.col("words") > 0) & need.isNotNull(), found))
+    if templates:
+        mask = F.array_remove(F.split(F.regexp_replace(F.array_join("raw", " "), r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>"), " "), "")
+        t = F.when(F.col("line").rlike("[0-9]"), mask).otherwise(F.col("raw"))
+        lines = lines.select(*ROW, "pos", "raw", "words", t.alias("t"))
+        lines = lines.select("*", F.when(F.col("words") >= min_tokens, F.size(F.array_remove("t", "<*>"))).otherwise(0).alias("constant"), *(c.alias(x) for c, x in zip(_template(F.col("t"), depth), ("tree", "parts"))))
+        s = [F.col("parts")[k] for k in range(SEGMENTS)]
+        five = F.array(F.xxhash64(F.lit(-1), "tree", *s), *[F.xxhash64(F.lit(w), "tree", *[x for k, x in enumerate(s) if k != w]) for w in range(SEGMENTS)])
+        kinds.append(F.when(F.col("constant") >= min_tokens, F.struct(F.col("tree").alias("leaf"), five.alias("templates"), F.lit(min_docs).alias("need"))))
+    # A way that isn't open is null and filtered behind the explode, so that no condition repeats the parsing.
+    return lines.select(*ROW, "pos", F.explode(F.array(*kinds)).alias("k")).where("k is not null").select(*ROW, "pos", "k.*")
+
+
+def recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_tokens: int = 6, exact: bool = False, passages: bool = False) -> DataFrame:
+    """Written (doc_id, version, drop): the positions (from 0) of the lines to drop; documents without such lines have no row."""
+    return _recurring(line_keys(with_version(docs.select("doc_id", "text")), min_docs, depth, min_tokens, exact, passages))
+
+
+def _recurring(lines: DataFrame) -> DataFrame:
     lines = materialize(lines, "lines")
-    leaves = materialize(lines.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
-    rows = materialize(
-        lines.join(maybe_broadcast(leaves), "leaf").select(*KEY, "pos", F.explode("templates").alias("template")), "templates"
-    )
-    by_doc = rows.groupBy("template", *KEY).agg(F.min("pos").alias("pos"))
-    recurring = materialize(
-        by_doc.groupBy("template")
-        .agg(F.count("*").alias("docs"), F.min(F.struct(*KEY, "pos")).alias("first"))
-        .where(F.col("docs") >= min_docs)
-        .select("template", "first"),
-        "recurring",
-    )
-    hits = rows.join(maybe_broadcast(recurring), "template").where(~F.struct(*KEY, "pos").eqNullSafe(F.col("first")))
-    return hits.groupBy(*KEY).agg(F.collect_set("pos").alias("drop"))
-
-
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_tokens: int = 6, exact: bool = False) -> DataFrame:
+    leaves = materialize(lines.groupBy("leaf", "need").count().where(F.col("count") >= F.col("need")).select("leaf", "need"), "leaves")
+    rows = materialize(lines.join(maybe_broadcast(leaves), ["leaf", "need"]).select(*ROW, "pos", "need", F.explode("templates").alias("template")), "templates")
+    discard(lines, leaves)
+    by_doc = rows.groupBy("template", "need", *ROW).agg(F.min("pos").alias("pos"))
+    found = by_doc.groupBy("template", "need").agg(F.count("*").alias("docs"), F.min("version").alias("lo"), F.max("version").alias("hi"), F.min(F.struct(*ROW, "pos")).alias("first"))
+    enough = (F.col("docs") >= F.col("need")) & ((F.col("need") > PASSAGE_DOCS) | (F.col("lo") != F.col("hi")))
+    recurring = materialize(found.where(enough).select("template", "need", "first"), "recurring")
+    hits = rows.join(maybe_broadcast(recurring), ["template", "need"]).where(~F.struct(*ROW, "pos").eqNullSafe(F.col("first")))
+    drops = materialize(hits.groupBy(*ROW).agg(F.collect_set("pos").alias("drop")), "drops")
+    discard(rows, recurring)
+    return drops
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, min_tokens: int = 6, exact: bool = False, passages: bool = False) -> DataFrame:
     """`docs` with its columns, recurring lines taken out of `text`, and n_lines, n_dropped.
 
     Null text stays null with 0 lines; a text all of whose lines recur elsewhere becomes ''. Rows
     that repeat a doc_id (or have none) and the text count as one document and lose the same lines; with
-    another text they are a document of their own.
+    another text they are a document of their own. No rows: no rows.
     """
-    return _without(docs, recurring_lines(docs, min_docs, depth, min_tokens, exact).hint("shuffle_hash"))
+    drops = recurring_lines(docs, min_docs, depth, min_tokens, exact, passages)
+    return without_lines(join_rows(with_version(docs, "__version"), drops, "left")).drop("__version")
 
 
-def drop_recurring_passages(docs: DataFrame, min_docs: int = 2, min_words: int = 51) -> DataFrame:
-    """Like drop_recurring_lines, for lines of `min_words` words or more that recur word by word."""
-    drops = materialize(_recurring(exact_keys(_keyed(docs), min_words), min_docs), "passages")
-    return _without(docs, maybe_broadcast(drops))
+def recurring_passages(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Like recurring_lines, for passages of the documents whose rows (doc_id, version) `kept` names."""
+    lines = line_keys(with_version(docs.select("doc_id", "text")), PASSAGE_DOCS, 0, 0, exact=False, passages=True, templates=False)
+    return _recurring(join_rows(lines, kept.select(*ROW), "left_semi", version="version"))
 
 
-def _without(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    drops = drops.withColumnsRenamed({"doc_id": "drop_id", "version": "drop_version"})
-    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")) & (F.xxhash64("text") == F.col("drop_version")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("drop", i)), "\n")
-    return joined.withColumns(
+def without_lines(docs: DataFrame) -> DataFrame:
+    """`docs` with an array `__drop` of positions (or null): `text` without those lines, n_lines and n_dropped; `__drop` goes."""
+    docs = docs.withColumn("__lines", F.split("text", "\n"))
+    drop, some = F.col("__drop"), F.col("text").isNotNull()
+    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), drop)
+    kept = F.array_join(F.transform(places, lambda i: F.get("__lines", i)), "\n")
+    return docs.withColumns(
         {
-            "n_lines": F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"),
-            "n_dropped": F.coalesce(F.when(F.col("text").isNotNull(), F.size("drop")), F.lit(0)).cast("long"),
-            "text": F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept),
+            "n_lines": F.when(some, F.size("__lines")).otherwise(0).cast("long"),
+            "n_dropped": F.when(some & drop.isNotNull(), F.size(drop)).otherwise(0).cast("long"),
+            "text": F.when(some & drop.isNotNull(), kept).otherwise(F.col("text")),
         }
-    ).drop("drop", "drop_id", "drop_version")
+    ).drop("__drop", "__lines")
 
 
-#: The same in DuckDB, for the parameters of the registered query.
+#: The same in DuckDB, for the parameters of the registered query; documents are distinct (doc_id, text).
 ORACLE = r"""
-WITH lines AS (
-  SELECT doc_id, i - 1 AS pos, l[i] AS line
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS r(i)),
-tokens AS (
-  SELECT doc_id, pos, list_transform(list_filter(regexp_split_to_array(line, '[ \t\n\x0B\f\r]+'), lambda x: x <> ''),
-    lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM lines),
+WITH docs AS (SELECT *, row_number() OVER (ORDER BY doc_id, text) AS r, dense_rank() OVER (ORDER BY text) AS version FROM (SELECT DISTINCT doc_id, text FROM documents)),
+lines AS (
+  SELECT doc_id, r, version, i - 1 AS pos, l[i] AS line
+  FROM (SELECT doc_id, r, version, string_split(text, chr(10)) AS l FROM docs), unnest(range(1, len(l) + 1)) AS u(i)),
+words AS (SELECT *, list_filter(regexp_split_to_array(line, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS raw FROM lines),
+tokens AS (SELECT *, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM words),
 parts AS (
-  SELECT doc_id, pos, len(t) AS n, t[1:3] AS head,
+  SELECT doc_id, r, version, pos, len(t) AS n, t[1:3] AS head,
     list_transform(range(0, 4), lambda k: t[4 + ((len(t) - 3) * k) // 4 : 3 + ((len(t) - 3) * (k + 1)) // 4]) AS s
   FROM tokens WHERE len(list_filter(t, lambda x: x <> '<*>')) >= 6),
 templates AS (
-  SELECT doc_id, pos, hash(w, n, head, list_transform(range(0, 4), lambda k: CASE WHEN k = w THEN NULL ELSE s[k + 1] END)) AS template
-  FROM parts, unnest(range(-1, 4)) AS u(w)),
+  SELECT doc_id, r, version, pos, 10 AS need, hash(w, n, head, list_transform(range(0, 4), lambda k: CASE WHEN k = w THEN NULL ELSE s[k + 1] END)) AS template
+  FROM parts, unnest(range(-1, 4)) AS u(w)
+  UNION ALL SELECT doc_id, r, version, pos, CASE WHEN len(raw) > 50 THEN 2 ELSE 10 END, hash(-2, raw) FROM words WHERE len(raw) > 0),
 recurring AS (
-  SELECT template, min({'d': doc_id, 'p': pos}) AS first FROM templates GROUP BY template HAVING count(DISTINCT doc_id) >= 10),
+  SELECT template, need, min({'d': doc_id, 'r': r, 'p': pos}) AS first FROM templates GROUP BY template, need
+  HAVING count(DISTINCT r) >= need AND (need > 2 OR count(DISTINCT version) > 1)),
 drops AS (
-  SELECT DISTINCT doc_id, pos FROM templates JOIN recurring USING (template) WHERE {'d': doc_id, 'p': pos} <> first),
+  SELECT DISTINCT r, pos FROM templates JOIN recurring USING (template, need) WHERE {'d': doc_id, 'r': r, 'p': pos} <> first),
 kept AS (
-  SELECT l.doc_id, count(*) AS n_lines, count(d.pos) AS n_dropped,
+  SELECT l.r, count(*) AS n_lines, count(d.pos) AS n_dropped,
     coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (d.pos IS NULL), '') AS text
-  FROM lines l LEFT JOIN drops d ON l.doc_id = d.doc_id AND l.pos = d.pos GROUP BY l.doc_id)
+  FROM lines l LEFT JOIN drops d ON l.r = d.r AND l.pos = d.pos GROUP BY l.r)
 SELECT o.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped, CASE WHEN o.text IS NULL THEN NULL ELSE k.text END AS text
-FROM documents o LEFT JOIN kept k USING (doc_id)
+FROM documents o JOIN docs d ON o.doc_id IS NOT DISTINCT FROM d.doc_id AND o.text IS NOT DISTINCT FROM d.text LEFT JOIN kept k USING (r)
 """

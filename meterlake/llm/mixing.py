@@ -9,6 +9,9 @@ and these meet in the groups of the next level, so that a source with n document
 each with a shuffle of 1/FAN of the rows before. A hot source is many groups. The one document that is
 left of a source gives the rest of its mass as a part (its first words), so that words taken equal the
 target up to half a word; `copies` has it rounded to a whole copy by the same odds.
+
+A row is named by its doc_id (which may be missing or repeat), a hash of text and source and a number among rows
+that agree in both; rows are counted before they are numbered, so that no group of equal rows meets in one task.
 """
 
 from __future__ import annotations
@@ -18,20 +21,22 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import ROW, join_rows, materialize, maybe_broadcast
 
 FAN = 32
+#: Equal rows that are numbered in one task.
+RUN = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
-    """source, source_size, docs, target from (source, size); one row a source.
+    """source, source_size, docs, target from (source, size, rows); one row a source.
 
     Targets are weight * level, or `cap` times the source's size where that is less; the level spends
     `share` of all sizes. Sources with the least cap by weight fill first, so the level is found by
     running sums over the sources. Only that table, one row a source, is ordered in one task.
     """
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    s = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("docs"))
     rank = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(rank) - 1, F.lit(len(weights))) + 1).cast("int"))
     s = s.withColumn("w", w).withColumn("most", F.col("source_size") * F.lit(float(cap)))
@@ -46,25 +51,24 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
     return s.select("source", "source_size", "docs", F.coalesce(F.least("most", F.col("level") * F.col("w")), "most").alias("target"))
 
 
+_FIELDS = ("id", "version", "n", "size", "base")
+_EMPTY = "id: bigint, version: bigint, n: bigint, size: bigint, base: bigint"
 _STEP = """
 aggregate(items,
-  named_struct('done', cast(array() as array<struct<id: bigint, size: bigint, base: bigint, got: bigint>>),
-               'cur', cast(null as struct<id: bigint, size: bigint, base: bigint, mass: double>)),
-  (acc, x) -> CASE WHEN acc.cur IS NULL
-    THEN named_struct('done', acc.done, 'cur', named_struct('id', x.id, 'size', x.size, 'base', x.base, 'mass', x.mass))
-    ELSE {pair} END)
+  named_struct('done', cast(array() as array<struct<{empty}, got: bigint>>), 'cur', cast(null as struct<{empty}, mass: double>)),
+  (acc, x) -> CASE WHEN acc.cur IS NULL THEN named_struct('done', acc.done, 'cur', {first}) ELSE {pair} END)
 """
 _UP = "least(acc.cur.size - acc.cur.mass, x.mass)"
 _DOWN = "least(acc.cur.mass, x.size - x.mass)"
-_U = "(shiftrightunsigned(xxhash64(acc.cur.id, x.id, acc.cur.size, {seed}L), 11) / 9007199254740992D)"
+_U = "(shiftrightunsigned(xxhash64(acc.cur.id, acc.cur.version, acc.cur.n, x.id, x.version, x.n, {seed}L), 11) / 9007199254740992D)"
 
 
 def _keep(row: str, mass: str) -> str:
-    return f"named_struct('id', {row}.id, 'size', {row}.size, 'base', {row}.base, 'mass', {mass})"
+    return f"named_struct({', '.join(f"'{c}', {row}.{c}" for c in _FIELDS)}, 'mass', {mass})"
 
 
 def _done(row: str, got: str) -> str:
-    return f"concat(acc.done, array(named_struct('id', {row}.id, 'size', {row}.size, 'base', {row}.base, 'got', cast({got} as bigint))))"
+    return f"concat(acc.done, array(named_struct({', '.join(f"'{c}', {row}.{c}" for c in _FIELDS)}, 'got', cast({got} as bigint))))"
 
 
 def _fold(seed: int) -> str:
@@ -79,74 +83,74 @@ def _fold(seed: int) -> str:
           THEN named_struct('done', {_done(i, "0")}, 'cur', {_keep(j, f"{j}.mass + {i}.mass")})
           ELSE named_struct('done', {_done(j, j + ".size")}, 'cur', {_keep(i, f"{i}.mass - ({j}.size - {j}.mass)")}) END
       END"""
-    return _STEP.format(pair=pair)
+    return _STEP.format(empty=_EMPTY, first=_keep("x", "x.mass"), pair=pair)
+
+
+def _numbered(counted: DataFrame, most: int) -> DataFrame:
+    """A row for each of `rows` equal ones, numbered `n`; long runs are numbered by many tasks."""
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / RUN))))
+    if most > RUN:
+        runs = runs.repartition("id", "version", "run")
+    to = F.least(F.col("rows"), (F.col("run") + 1) * RUN) - 1
+    return runs.withColumn("n", F.explode(F.sequence(F.col("run") * RUN, to))).drop("run", "rows")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words), copies (whole).
+    """doc_id, version (hash of text and source), size, source_size, target, taken (words), copies (whole).
 
     Sources by code point, null last, take `weights` in turn. Null and empty texts have size 0 and are
-    taken 0 times; a source of size 0 has target 0. Repeated rows are documents of their own. The
-    random choices are hashes of ids, so reruns agree whatever the partitioning. No rows: no rows.
+    taken 0 times; a source of size 0 has target 0. Repeated rows are documents of their own, with a
+    row each; a missing doc_id stays null. The random choices are hashes of id, text and number, so reruns
+    agree whatever the partitioning. No rows: no rows.
     """
-    sizes = materialize(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+    sizes = docs.select("doc_id", F.xxhash64("text", "source").alias("version"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sizes = materialize(sizes.groupBy(*ROW, "source", "size").agg(F.count("*").alias("rows")), "sizes")
     targets = materialize(source_targets(sizes, weights, share, cap), "targets").withColumnRenamed("source", "src")
     sources, largest = targets.agg(F.count("*"), F.max("docs")).first()
-    rows = sizes.join(maybe_broadcast(targets, sources), F.col("source").eqNullSafe(F.col("src")))
+    most = sizes.agg(F.max("rows")).first()[0] or 0
+    counted = sizes.join(maybe_broadcast(targets, sources), F.col("source").eqNullSafe(F.col("src")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.select(
-        F.coalesce("doc_id", F.lit(-1)).alias("id"), "doc_id", "src", "size", "source_size", "target",
-        F.floor(ratio).alias("base"), ((ratio - F.floor(ratio)) * F.col("size")).alias("mass"), F.ceil(F.col("docs") / FAN).alias("groups"),
-    )
     keys = ["src", "source_size", "target"]
-    whole = rows.where("mass <= 0").select("id", "size", *keys, (F.col("base") * F.col("size")).alias("taken"), F.col("base").alias("copies"), "doc_id")
-    parts = [whole.select("doc_id", "size", "source_size", "target", "taken", "copies")]
-    level = rows.where("mass > 0").select("id", "size", "base", "mass", "groups", *keys)
+    rows = _numbered(counted.select(
+        F.col("doc_id").alias("id"), "version", *keys, "size", "rows",
+        F.floor(ratio).alias("base"), ((ratio - F.floor(ratio)) * F.col("size")).alias("mass"), F.ceil(F.col("docs") / FAN).alias("groups"),
+    ), most)
+    out = [F.col("id").alias("doc_id"), "version", "size", "source_size", "target", "taken", "copies"]
+    parts = [rows.where("mass <= 0").withColumns({"taken": F.col("base") * F.col("size"), "copies": F.col("base")}).select(out)]
+    level = rows.where("mass > 0").select(*_FIELDS, "mass", "groups", *keys)
     number, groups = 0, largest or 0
-    as_id = F.when(F.col("r.id") != -1, F.col("r.id")).alias("doc_id")
     while groups:
         number += 1
         groups = -(-groups // FAN)
         folded = materialize(
-            level.groupBy(*keys, "groups", F.pmod(F.xxhash64("id", F.lit(seed + number)), "groups").alias("g"))
-            .agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("order"), "id", "size", "base", "mass"))).alias("items"))
+            level.groupBy(*keys, "groups", F.pmod(F.xxhash64("id", "version", "n", F.lit(seed + number)), "groups").alias("g"))
+            .agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("order"), *_FIELDS, "mass"))).alias("items"))
             .select(*keys, "groups", F.expr(_fold(seed + number)).alias("f")),
             "mix",
         )
-        done = folded.select(*keys, F.explode("f.done").alias("r"))
-        parts.append(
-            done.select(as_id, "r.size", "source_size", "target", (F.col("r.base") * F.col("r.size") + F.col("r.got")).alias("taken"), (F.col("r.base") + (F.col("r.got") > 0).cast("long")).alias("copies"))
-        )
-        left = folded.where("f.cur is not null").select(*keys, "groups", F.col("f.cur").alias("r"))
-        odds = F.shiftrightunsigned(F.xxhash64("r.id", F.lit(seed)), 11) / F.lit(2.0**53)
-        parts.append(
-            left.where("groups = 1").select(
-                as_id, "r.size", "source_size", "target",
-                (F.col("r.base") * F.col("r.size") + F.round("r.mass").cast("long")).alias("taken"),
-                (F.col("r.base") + (odds * F.col("r.size") < F.col("r.mass")).cast("long")).alias("copies"),
-            )
+        done = folded.select(*keys, F.explode("f.done").alias("r")).select(*keys, "r.*")
+        parts.append(done.withColumns({"taken": F.col("base") * F.col("size") + F.col("got"), "copies": F.col("base") + (F.col("got") > 0).cast("long")}).select(out))
+        left = folded.where("f.cur is not null").select(*keys, "groups", "f.cur.*")
+        odds = F.shiftrightunsigned(F.xxhash64("id", "version", "n", F.lit(seed)), 11) / F.lit(2.0**53)
+        last = left.where("groups = 1").withColumns(
+            {"taken": F.col("base") * F.col("size") + F.round("mass").cast("long"), "copies": F.col("base") + (odds * F.col("size") < F.col("mass")).cast("long")}
         )
-        level = left.where("groups > 1").select("r.id", "r.size", "r.base", "r.mass", F.ceil(F.col("groups") / FAN).alias("groups"), *keys)
+        parts.append(last.select(out))
+        level = left.where("groups > 1").withColumn("groups", F.ceil(F.col("groups") / FAN))
         if groups == 1:
             break
     return reduce(DataFrame.unionByName, parts)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it has whole copies; documents with none are left out."""
+    """The mix itself: each document as often as it has whole copies; documents with none are left out.
+
+    Rows that agree in doc_id, text and source are equal; their copies add up on one of them.
+    """
     columns = docs.columns
-    # Rows without a doc_id, or that repeat one, are told apart by all their columns; equal rows add up.
-    repeated = materialize(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("mix_id")), "repeated")
-    several = not repeated.isEmpty()
-    if several:
-        known = docs.join(maybe_broadcast(repeated.withColumn("again", F.lit(True))), F.col("doc_id").eqNullSafe(F.col("mix_id")), "left")
-        key = F.when(F.col("again"), F.xxhash64(*columns)).otherwise(F.col("doc_id"))
-        docs = known.withColumn("mix_key", key).drop("mix_id", "again")
-    else:
-        docs = docs.withColumn("mix_key", F.col("doc_id"))
-    taken = mix(docs.select(F.col("mix_key").alias("doc_id"), "source", "text"), **options)
-    copies = materialize(taken.where("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("mix_copies")), "copies")
-    if several:
-        docs = docs.dropDuplicates(["mix_key"])
-    joined = docs.join(copies.withColumnRenamed("doc_id", "mix_id"), F.col("mix_key") == F.col("mix_id"))
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(columns)
+    taken = mix(docs.select("doc_id", "source", "text"), **options)
+    copies = materialize(taken.groupBy(*ROW).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0"), "copies")
+    joined = join_rows(docs.withColumn("__version", F.xxhash64("text", "source")), copies)
+    if not copies.where("rows > 1").isEmpty():
+        joined = joined.dropDuplicates(["doc_id", "__version"])
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(columns)

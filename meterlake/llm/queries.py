@@ -49,7 +49,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+    return line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents"), exact=True, passages=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
