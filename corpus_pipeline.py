@@ -1,15 +1,18 @@
 """Corpus pipeline: toxicity, line dedup, near duplicates, mixing, tokens.
 
 Each stage gets all that its predecessor kept, written as Parquet to the shared checkpoint folder and
-read again. All but the last return the columns of `documents`.
+read again. All but the last return the columns of `documents`. Rows may lack a doc_id or repeat one: they are told
+apart by their texts in every stage. Null and empty texts pass all stages but the mix, which takes them as often as
+whole copies say (size 0: as its source's share). No rows: no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meterlake.llm import bpe, jaccard_join, line_dedup, mixing, toxicity
-from meterlake.llm.common import materialize, table
+from meterlake.llm.common import discard, materialize, table, with_version
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +26,7 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def _as_before(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs`, with n_chars of the text as it is now where lines went."""
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cleaned = cleaned.selectExpr("* except (n_chars)", "CASE WHEN n_dropped > 0 THEN length(text) ELSE n_chars END AS n_chars")
@@ -31,9 +35,18 @@ def _as_before(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays; passages that still recur go, but for the first."""
-    kept = materialize(jaccard_join.keep_one_of_each(docs), "kept")
-    return _as_before(line_dedup.drop_recurring_passages(kept), docs)
+    """One document of each component of near copies stays; passages that still recur go, but for the first.
+
+    What stays and what it loses is found on row keys first, so that each text is shuffled once for both.
+    """
+    kept = jaccard_join.representatives(docs)
+    passages = line_dedup.recurring_passages(docs, kept)
+    drops = passages.select(F.col("doc_id").alias("id"), F.col("version").alias("v"), "drop")
+    plan = materialize(kept.join(drops, kept["doc_id"].eqNullSafe(F.col("id")) & (F.col("version") == F.col("v")), "left").drop("id", "v"), "plan")
+    discard(kept, passages)
+    blank = jaccard_join.blank(docs)
+    rows = jaccard_join.one_of_each(with_version(docs, "__version").where(~blank), plan)
+    return _as_before(line_dedup.without_lines(rows), docs).union(docs.where(blank))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +73,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
