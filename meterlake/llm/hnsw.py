@@ -1,11 +1,16 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard.
 
 Equal vectors are one node, kept with their least ids (as many as a query can return). Nodes are dealt
-by hash into shards of about `SHARD` nodes. A shard's graph has levels drawn with odds of 1/16 each; on
-every level a node's neighbours are its nearest ones that aren't nearer to a neighbour chosen before
-(the usual diversity rule), and links go both ways; all is stored as flat neighbour arrays. Queries are
-searched in blocks on every shard, all of a block at once: greedy descent through the upper levels, then
-a beam on the lowest. Shard results are merged by exact inner products on the original vectors.
+by hash into shards of about `SHARD` nodes. A shard's graph has levels drawn with odds of 1/16 each and is built by
+search and insertion, top level first and within a level the nodes of higher levels first: a node descends the levels
+above, a beam search of the level as it is so far gives its candidates, and it links to those that aren't nearer to
+one chosen before (the usual diversity rule); links go both ways, and a node with too many keeps a diverse choice.
+Nodes are inserted in blocks of at most a quarter of the level, and a block's nodes are candidates of each other.
+
+Each graph is stored as one row of flat arrays. Its queries stream past it in batches, all of a batch at once: greedy
+descent through the upper levels, then a beam on the lowest; a query that reaches fewer than k nodes of a
+shard that has more is compared with all of them. Shard results are merged by exact inner products on the
+original vectors. A task holds one graph and one batch, whatever the number of queries.
 
 Inner products of vectors of different norms order like distances after one more component that fills
 each vector up to the greatest norm, which the graph's construction uses.
@@ -15,15 +20,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import discard, materialize, maybe_broadcast
 
 SHARD = 16_384
 LINKS = 24
-BEAM = 160
+BEAM, INSERT_BEAM = 160, 72
 BLOCK = 512
+#: Queries of a shard that one task answers.
+QUERIES = 65_536
 
 
 def _diverse(x: np.ndarray, near: np.ndarray, score: np.ndarray, links: int) -> np.ndarray:
@@ -53,103 +61,184 @@ def _diverse(x: np.ndarray, near: np.ndarray, score: np.ndarray, links: int) ->
     return chosen
 
 
-def _level_graph(x: np.ndarray, links: int) -> np.ndarray:
+def _beam(x: np.ndarray, g: np.ndarray, q: np.ndarray, at: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Beam search of a level from `at`: ids and scores of each query's nearest, best first; -1 where fewer."""
+    m = len(q)
+    seen = np.zeros((m, len(x) + 1), bool)
+    ids, score, done = np.full((m, beam), -1, np.int32), np.full((m, beam), -np.inf, np.float32), np.zeros((m, beam), bool)
+    ids[:, 0], score[:, 0] = at, np.einsum("qd,qd->q", q, x[at])
+    seen[np.arange(m), at] = True
+    live = np.arange(m)
+    while len(live):
+        open_score = np.where(done[live] | (ids[live] < 0), -np.inf, score[live])
+        pick = np.argpartition(-open_score, 1, axis=1)[:, :2]  # two nodes a step
+        ok = np.take_along_axis(open_score, pick, 1) > -np.inf
+        some = ok.any(axis=1)
+        live, pick, ok = live[some], pick[some], ok[some]
+        if not len(live):
+            break
+        done[live[:, None], pick] |= ok
+        near = g[np.where(ok, ids[live[:, None], pick], 0)]
+        near = np.where(ok[:, :, None], near, -1).reshape(len(live), -1)
+        near = np.where(seen[live[:, None], near], -1, near)
+        near.sort(axis=1)
+        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+        seen[live[:, None], near] = True
+        seen[:, -1] = False
+        s = np.where(near >= 0, np.einsum("qd,qcd->qc", q[live], x[near]), -np.inf).astype(np.float32)
+        all_ids = np.concatenate([ids[live], near], axis=1)
+        all_s = np.concatenate([score[live], s], axis=1)
+        all_d = np.concatenate([done[live], np.zeros(near.shape, bool)], axis=1)
+        top = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
+        score[live] = np.take_along_axis(all_s, top, 1)
+        ids[live] = np.where(score[live] > -np.inf, np.take_along_axis(all_ids, top, 1), -1)
+        done[live] = np.take_along_axis(all_d, top, 1)
+    order = np.argsort(-score, axis=1, kind="stable")
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
+
+
+def _greedy(x: np.ndarray, g: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """From `at` to a node of the level none of whose neighbours is nearer."""
+    rows, here = np.arange(len(q)), np.einsum("qd,qd->q", q, x[at])
+    while True:
+        near = g[at]
+        s = np.where(near >= 0, np.einsum("qd,qcd->qc", q, x[near]), -np.inf)
+        best = s.argmax(axis=1)
+        top = s[rows, best]
+        go = top > here
+        if not go.any():
+            return at
+        at, here = np.where(go, near[rows, best], at), np.maximum(top, here)
+
+
+def _insert(x: np.ndarray, above: list[np.ndarray], links: int) -> np.ndarray:
+    """Neighbour array of a level whose nodes are the rows of `x`; those of the levels above come first."""
     n = len(x)
-    c = min(n - 1, 2 * links)
-    if c <= 0:
-        return np.full((n, 1), -1, np.int32)
-    out = np.empty((n, min(links, c)), np.int32)
-    for s in range(0, n, BLOCK):
-        e = min(n, s + BLOCK)
-        sim = x[s:e] @ x.T
-        sim[np.arange(e - s), np.arange(s, e)] = -np.inf
-        near = np.argpartition(-sim, c - 1, axis=1)[:, :c].astype(np.int32)
-        score = np.take_along_axis(sim, near, 1)
+    g = np.full((n, 2 * links), -1, np.int32)
+    at = 0
+    while at < n:
+        to = min(n, at + max(16, min(BLOCK, at // 4)))
+        q = x[at:to]
+        inner = q @ q.T
+        np.fill_diagonal(inner, -np.inf)
+        k = min(links, to - at - 1)
+        mates = np.argpartition(-inner, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(q), 0), np.int64)
+        near, score = (mates + at).astype(np.int32), np.take_along_axis(inner, mates, 1)
+        if at:
+            enter = np.zeros(len(q), np.int64)
+            for upper in above:
+                enter = _greedy(x, upper, q, enter) if len(upper) <= at else enter
+            ids, s = _beam(x[:at], g[:at], q, enter, min(INSERT_BEAM, at) if at > 1 else 1)
+            near, score = np.concatenate([ids, near], axis=1), np.concatenate([s, score], axis=1)
         order = np.argsort(-score, axis=1, kind="stable")
-        out[s:e] = _diverse(x, np.take_along_axis(near, order, 1), np.take_along_axis(score, order, 1), out.shape[1])
-    # Links back: a node that others chose gets up to as many of them, its own first.
-    a = np.repeat(np.arange(n, dtype=np.int32), out.shape[1])
-    b = out.ravel()
-    a, b = a[b >= 0], b[b >= 0]
-    order = np.argsort(b, kind="stable")
-    a, b = a[order], b[order]
-    pos = np.arange(len(b)) - np.searchsorted(b, b)
-    back = np.full((n, out.shape[1]), -1, np.int32)
-    keep = pos < out.shape[1]
-    back[b[keep], pos[keep]] = a[keep]
-    return np.concatenate([out, back], axis=1)
+        near, score = np.take_along_axis(near, order, 1), np.take_along_axis(score, order, 1)
+        if near.shape[1]:
+            g[at:to, :links] = _diverse(x, near, score, links)
+        # Links back, appended where there is room, else a diverse choice of all.
+        a = np.repeat(np.arange(at, to, dtype=np.int32), links)
+        b = g[at:to, :links].ravel()
+        a, b = a[b >= 0], b[b >= 0]
+        order = np.argsort(b, kind="stable")
+        a, b = a[order], b[order]
+        who, first, many = np.unique(b, return_index=True, return_counts=True)
+        room = (g[who] < 0).sum(axis=1)
+        pos = np.arange(len(b)) - np.repeat(first, many)
+        fits = np.repeat(many <= room, many)
+        free = np.argsort(g[who] >= 0, axis=1, kind="stable")  # empty places first
+        g[b[fits], free[np.repeat(np.arange(len(who)), many)[fits], pos[fits]]] = a[fits]
+        full = np.flatnonzero(many > room)
+        if len(full):
+            new = np.full((len(full), many[full].max()), -1, np.int32)
+            row = np.repeat(np.arange(len(full)), many[full])
+            new[row, pos[~fits]] = a[~fits]
+            cand = np.concatenate([g[who[full]], new], axis=1)
+            s = np.where(cand >= 0, np.einsum("rd,rcd->rc", x[who[full]], x[cand]), -np.inf)
+            order = np.argsort(-s, axis=1, kind="stable")[:, : 3 * links]
+            g[who[full]] = _diverse(x, np.take_along_axis(cand, order, 1), np.take_along_axis(s, order, 1), 2 * links)
+        at = to
+    return g
 
 
 class Graph:
-    """Levels as (nodes, neighbour array); level 0 holds all nodes."""
+    """Nodes in order of level, highest first; `levels[k]` is the neighbour array of those of level k and higher."""
 
-    def __init__(self, x: np.ndarray, links: int = LINKS, seed: int = 7):
-        self.x = x
+    def __init__(self, x: np.ndarray, levels: list[np.ndarray]):
+        self.x, self.levels = x, levels
+
+    @staticmethod
+    def build(x: np.ndarray, links: int = LINKS, seed: int = 7) -> tuple[np.ndarray, Graph]:
+        """The order of the nodes, and the graph of the vectors in that order."""
+        level = np.minimum(np.random.default_rng(seed).geometric(15 / 16, len(x)) - 1, 6)
+        order = np.argsort(-level, kind="stable")
+        x, level = x[order], level[order]
         norm = (x.astype(np.float64) ** 2).sum(axis=1)
         filled = np.c_[x, np.sqrt(np.maximum(norm.max() - norm, 0))].astype(np.float32)
-        level = np.minimum(np.random.default_rng(seed).geometric(15 / 16, len(x)) - 1, 6)
-        self.levels = []
-        for k in range(7):
-            nodes = np.flatnonzero(level >= k)
-            if k and len(nodes) < 8:
-                break
-            g = _level_graph(filled[nodes], links)
-            self.levels.append((nodes.astype(np.int32), np.where(g >= 0, nodes[g], -1).astype(np.int32)))
-
-    def search(self, q: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of about the k nearest of each query (rows of q), best first; -1 where fewer."""
-        x, m = self.x, len(q)
-        enter = self.levels[-1][0]
-        at = enter[np.argmax(q @ x[enter[:256]].T, axis=1)]
-        for nodes, g in reversed(self.levels[1:]):
-            place = np.full(len(x), -1, np.int32)
-            place[nodes] = np.arange(len(nodes))
-            here = np.einsum("qd,qd->q", q, x[at])
-            while True:
-                near = g[place[at]]
-                s = np.where(near >= 0, np.einsum("qd,qcd->qc", q, x[near]), -np.inf)
-                best = s.argmax(axis=1)
-                top = s[np.arange(m), best]
-                go = top > here
-                if not go.any():
-                    break
-                at = np.where(go, near[np.arange(m), best], at)
-                here = np.maximum(top, here)
-        g = self.levels[0][1]
-        beam = max(beam, k)
-        seen = np.zeros((m, len(x) + 1), bool)
-        ids = np.full((m, beam), -1, np.int32)
-        score = np.full((m, beam), -np.inf, np.float32)
-        done = np.zeros((m, beam), bool)
-        rows = np.arange(m)
-        ids[:, 0], score[:, 0] = at, np.einsum("qd,qd->q", q, x[at])
-        seen[rows, at] = True
-        live = rows
-        while len(live):
-            open_score = np.where(done[live] | (ids[live] < 0), -np.inf, score[live])
-            pick = np.argsort(-open_score, axis=1, kind="stable")[:, :2]  # two nodes a step
-            ok = np.take_along_axis(open_score, pick, 1) > -np.inf
-            live, pick, ok = live[ok[:, 0]], pick[ok[:, 0]], ok[ok[:, 0]]
-            if not len(live):
-                break
-            done[live[:, None], pick] |= ok
-            near = g[np.where(ok, ids[live[:, None], pick], 0)]
-            near = np.where(ok[:, :, None], near, -1).reshape(len(live), -1)
-            near = np.where(seen[live[:, None], near], -1, near)
-            near.sort(axis=1)
-            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-            seen[live[:, None], near] = True
-            seen[:, -1] = False
-            s = np.where(near >= 0, np.einsum("qd,qcd->qc", q[live], x[near]), -np.inf).astype(np.float32)
-            all_ids = np.concatenate([ids[live], near], axis=1)
-            all_s = np.concatenate([score[live], s], axis=1)
-            all_d = np.concatenate([done[live], np.zeros(near.shape, bool)], axis=1)
-            top = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
-            score[live] = np.take_along_axis(all_s, top, 1)
-            ids[live] = np.where(score[live] > -np.inf, np.take_along_axis(all_ids, top, 1), -1)
-            done[live] = np.take_along_axis(all_d, top, 1)
-        order = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
+        above: list[np.ndarray] = []
+        for k in range(int(level.max()), -1, -1):
+            above.append(_insert(filled[: int((level >= k).sum())], above, links))
+        return order, Graph(x, above[::-1])
+
+    def search(self, q: np.ndarray, k: int, beam: int = BEAM) -> np.ndarray:
+        """The k nearest of each query (rows of q), best first; all of a shard that has no more; -1 fills."""
+        at = np.zeros(len(q), np.int64)
+        for g in reversed(self.levels[1:]):
+            at = _greedy(self.x, g, q, at)
+        ids = _beam(self.x, self.levels[0], q, at, max(2, beam, k))[0][:, :k]
+        want = min(k, len(self.x))
+        few = np.flatnonzero((ids >= 0).sum(axis=1) < want)
+        if len(few):  # what the graph doesn't reach
+            ids[few, :want] = np.argsort(-(q[few] @ self.x.T), axis=1, kind="stable")[:, :want]
+        return ids
+
+
+def _graph_rows(key, part: pd.DataFrame) -> pd.DataFrame:
+    """A row of flat arrays for each length of vector in a shard."""
+    out = []
+    for size, same in part.sort_values(["first", "node"]).groupby(part.x.map(len)):
+        x = np.stack(same.x.to_numpy()).astype(np.float64)
+        order, g = Graph.build(x.astype(np.float32))
+        out.append((int(key[0]), int(size), same.node.to_numpy()[order].astype(np.int64).tobytes(), x[order].tobytes(), [len(v) for v in g.levels], np.concatenate([v.ravel() for v in g.levels]).tobytes()))
+    return pd.DataFrame(out, columns=["shard", "dim", "nodes", "vectors", "sizes", "links"])
+
+
+def _search_rows(k: int):
+    """Rows (shard, part, kind, query_id, x, dim, nodes, vectors, sizes, links): graphs (kind 0), then the queries that pass them."""
+
+    def run(batches):
+        here, graphs = None, {}
+        for batch in batches:
+            rows = batch.to_pydict()
+            kind = np.array(rows["kind"])
+            place = list(zip(rows["shard"], rows["part"]))
+            at = 0
+            while at < len(kind):
+                if place[at] != here:
+                    here, graphs = place[at], {}
+                if kind[at] == 0:
+                    nodes, dim = np.frombuffer(rows["nodes"][at], np.int64), rows["dim"][at]
+                    x = np.frombuffer(rows["vectors"][at], np.float64).reshape(-1, dim)
+                    cut = np.cumsum([v * 2 * LINKS for v in rows["sizes"][at]])[:-1]
+                    levels = [v.reshape(-1, 2 * LINKS) for v in np.split(np.frombuffer(rows["links"][at], np.int32), cut)]
+                    graphs[dim] = nodes, x, Graph(x.astype(np.float32), levels)
+                    at += 1
+                    continue
+                to = at
+                while to < len(kind) and to - at < BLOCK and place[to] == here and kind[to] == 1:
+                    to += 1
+                ids = np.array(rows["query_id"][at:to])
+                sizes = np.array([len(v) for v in rows["x"][at:to]])
+                for dim in np.unique(sizes):
+                    mine = np.flatnonzero(sizes == dim)
+                    if dim in graphs:
+                        nodes, x, g = graphs[dim]
+                        q = np.array([rows["x"][at + m] for m in mine])
+                        found = g.search(q.astype(np.float32), k)
+                        r, c = np.nonzero(found >= 0)
+                        hit = found[r, c]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[mine[r]]), pa.array(nodes[hit]), pa.array(np.einsum("rd,rd->r", q[r], x[hit]))], names=["query_id", "node", "score"])
+                at = to
+
+    return run
 
 
 def nearest(vectors: DataFrame, is_query: str, k: int = 20, shard: int = SHARD) -> DataFrame:
@@ -171,30 +260,17 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, shard: int = SHARD)
     shards = max(1, -(-count // shard))
     queries = materialize(v.where(is_query).select(F.col("vec_id").alias("query_id"), "x"), "queries")
 
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            left = left.sort_values(["first", "node"])
-            for size, part in left.groupby(left.x.map(len)):
-                mine = right[right.x.map(len) == size]
-                if not len(mine):
-                    continue
-                x = np.stack(part.x.to_numpy()).astype(np.float64)
-                g = Graph(x.astype(np.float32))
-                ids, node = mine.query_id.to_numpy(), part.node.to_numpy()
-                q = np.stack(mine.x.to_numpy()).astype(np.float64)
-                for s in range(0, len(q), BLOCK):
-                    found, _ = g.search(q[s : s + BLOCK].astype(np.float32), k + 1)
-                    r, c = np.nonzero(found >= 0)
-                    hit = found[r, c]
-                    out.append(pd.DataFrame({"query_id": ids[s + r], "node": node[hit], "score": np.einsum("rd,rd->r", q[s + r], x[hit])}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "node": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
     dealt = nodes.withColumn("shard", F.pmod("node", F.lit(shards)).cast("int"))
-    asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = dealt.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(search, "query_id long, node long, score double")
+    shape = "shard int, dim int, nodes binary, vectors binary, sizes array<int>, links binary"
+    graphs = materialize(dealt.groupBy("shard").applyInPandas(_graph_rows, shape), "graphs")
+    parts = max(1, -(-queries.count() // QUERIES))
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "query_id", "x")
+    held = graphs.withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "kind": F.lit(0)})
+    both = held.unionByName(asked, allowMissingColumns=True).select("shard", "part", "kind", "query_id", "x", "dim", "nodes", "vectors", "sizes", "links")
+    both = both.repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "kind")
+    found = materialize(both.mapInArrow(_search_rows(k + 1), "query_id long, node long, score double"), "found")
+    discard(graphs, queries)
     # Members of the nodes found, then the k best of all shards.
-    found = materialize(found, "found")
     rows = found.join(maybe_broadcast(members.select("node", "vec_id")), "node").where("vec_id <> query_id")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
