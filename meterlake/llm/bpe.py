@@ -1,18 +1,20 @@
 """Byte-level BPE encoding and decoding.
 
-Pre-tokenisation works on arrays of code points: each code point's class (letter, number, space, other)
-is a transition function of the splitting automaton, and boundaries come from composing neighbouring
-functions. Composition is associative and after three code points constant (the automaton forgets
-what came before), so the scan over a whole batch of texts ends after two steps, which are shifted
-class arrays; no regex runs. The slices between boundaries are looked up in a cache of merged slices;
-those that are new are merged all at once, in rounds in which each merges its pair of least rank.
-Byte offsets of the tokens are kept, so ids decode to the exact bytes of each slice.
+Pre-tokenisation works on arrays of code points, without regex. Each code point becomes a symbol: its class
+(letter, number, blank, other white space, other) with what a glance at the next ones adds (the last of a run of white space,
+an apostrophe that may begin 's or 'll). A symbol is a transition function of the splitting automaton, a map of its nine
+states; the functions that compositions can reach are a small monoid, whose product table is built once. An associative
+scan over a whole batch of texts (a text's first symbol forgets what came before) multiplies them out in blocks, and
+boundaries follow from the state before and the symbol. The slices between boundaries are looked up in a cache of
+merged slices; short new ones are merged all at once, in rounds in which each merges its pair of least rank, long ones
+by a heap of pairs. Byte offsets of the tokens are kept, so ids decode to the exact bytes of each slice.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import sys
 import unicodedata
 from functools import lru_cache
@@ -20,14 +22,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from .common import U64, _powers, mix, slices, text_buffers
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: Code points with the Unicode property White_Space (fixed values).
 WHITE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-CACHE = 300_000
+CACHE = 120_000
 BLOCK = 1 << 18
 
 
@@ -39,40 +41,103 @@ def classes() -> np.ndarray:
     return out
 
 
+#: States: nothing yet, a run of letters, numbers or others, white space that ends in a blank or otherwise,
+#: an apostrophe with one or two letters to come, and behind those letters.
+START, LETTERS, NUMBERS, OTHERS, BLANK, WHITES, ONE, TWO, ENDED = range(9)
+#: Symbols: classes, with apostrophes before one or two letters, and white space within a run and last before a word.
+SYMBOLS = ["letter", "number", "other", "one", "two", "blank", "last blank", "white", "last white"]
+
+
+def _step(state: int, symbol: str) -> tuple[int, bool]:
+    """Next state, and whether a slice begins at the symbol."""
+    white = state in (BLANK, WHITES)
+    match symbol:
+        case "letter":
+            if state in (ONE, TWO):
+                return (ONE if state == TWO else ENDED), False
+            return LETTERS, state not in (LETTERS, BLANK)
+        case "number":
+            return NUMBERS, state not in (NUMBERS, BLANK)
+        case "other" | "one" | "two":
+            begins = state not in (OTHERS, BLANK)
+            return {"one": ONE, "two": TWO}.get(symbol, OTHERS) if begins else OTHERS, begins
+        case _:
+            return (BLANK if "blank" in symbol else WHITES), not white or "last" in symbol
+
+
+@lru_cache(1)
+def automaton() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Product table of the monoid, the functions of symbols (then of symbols that begin a text), each function's
+    value at START, and whether a slice begins at (state, symbol)."""
+    maps = [tuple(_step(s, x)[0] for s in range(9)) for x in SYMBOLS]
+    maps += [(_step(START, x)[0],) * 9 for x in SYMBOLS]
+    known = {tuple(range(9)): 0}
+    todo = list(known)
+    for f in todo:  # grows while it runs
+        for g in maps:
+            h = tuple(g[s] for s in f)
+            if h not in known:
+                known[h] = len(known)
+                todo.append(h)
+    table = np.array([[known[tuple(g[s] for s in f)] for g in todo] for f in todo], np.uint16)
+    cuts = np.array([[_step(s, x)[1] for x in SYMBOLS] for s in range(9)])
+    return table, np.array([known[f] for f in maps], np.uint16), np.array([f[START] for f in todo], np.uint8), cuts
+
+
+def scan(functions: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Products of all functions up to each place: within blocks side by side, then over the blocks."""
+    n = len(functions)
+    step = max(1, int(np.sqrt(n)))
+    blocks = -(-n // step)
+    p = np.zeros(blocks * step, np.uint16)
+    p[:n] = functions
+    p = np.ascontiguousarray(p.reshape(blocks, step).T)
+    for k in range(1, step):
+        p[k] = table[p[k - 1], p[k]]
+    carry, before = np.zeros(blocks, np.uint16), 0
+    for k, x in enumerate(p[-1].tolist()):
+        carry[k] = before
+        before = table[before, x]
+    return table[carry[None], p].T.reshape(-1)[:n]
+
+
+def symbols(points: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Index in SYMBOLS of each code point. `first`: it begins a text; also True behind the last."""
+    n = len(points)
+    kind = classes()[points]
+    p = np.concatenate([points, np.zeros(3, points.dtype)])
+    open1, open2 = ~first[1 : n + 1], ~(first[1 : n + 1] | first[2 : n + 2])  # the next one or two belong to the text
+    one, two = p[1 : n + 1], p[2 : n + 2]
+    after = np.concatenate([kind, [0]])[1:]
+    last = open1 & (after != SPACE)
+    out = np.array([0, 0, 1, 7, 2], np.uint8)[kind]
+    white, gap = kind == SPACE, points == 0x20
+    out[gap] = 5
+    out[white & last] += 1
+    quote = np.flatnonzero(points == 0x27)
+    a, b = one[quote], two[quote]
+    short = open1[quote] & np.isin(a, [ord(c) for c in "stmd"])
+    long = open2[quote] & (((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l")))
+    out[quote[short]], out[quote[long]] = 3, 4
+    return out
+
+
 def boundaries(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """True where a slice begins. `points`: code points of texts laid end to end; `starts`: first of each."""
     n = len(points)
-    k = classes()[points]
-    first = np.zeros(n + 4, bool)
+    first = np.zeros(n + 3, bool)
     first[starts[starts < n]] = True
-    first[n] = True
-    kind = np.zeros(n + 4, np.uint8)
-    kind[:n] = k
-    p = np.zeros(n + 4, np.uint32)
-    p[:n] = points
-    before = np.r_[np.uint8(0), k[:-1]]
-    before[first[:n]] = 0
-    after = kind[1 : n + 1].copy()
-    after[first[1 : n + 1]] = 0
-    white, was_white = k == SPACE, before == SPACE
-    last_white = white & (after != SPACE) & (after != 0)  # of a run, and a word follows
-    gap = np.r_[np.uint32(0), points[:-1]] == 0x20
-    cut = np.where(white, ~was_white | last_white, np.where(was_white, ~gap, k != before))
-    cut |= first[:n]
-    # 's 't 'm 'd 're 've 'll: an apostrophe that begins a slice takes the letters with it.
-    quote = (points == 0x27) & cut & ~first[1 : n + 1]
-    one, two = p[1 : n + 1], p[2 : n + 2]
-    short = quote & np.isin(one, [ord(c) for c in "stmd"])
-    long = quote & ~first[2 : n + 2] & (
-        ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
-    )
-    at = np.flatnonzero(short)
-    cut[at + 1] = False
-    cut[at[at + 2 < n] + 2] = True
-    at = np.flatnonzero(long)
-    cut[at + 1] = False
-    cut[at[at + 3 < n] + 3] = True
-    return cut
+    first[n:] = True
+    table, functions, at_start, cuts = automaton()
+    symbol = symbols(points, first)
+    state = at_start[scan(functions[symbol + len(SYMBOLS) * first[:n]], table)]
+    before = np.concatenate([[START], state[:-1]])
+    before[first[:n]] = START
+    return cuts[before, symbol] | first[:n]
+
+
+#: Bytes from which a slice is merged by a heap.
+LONG = 256
 
 
 class Codec:
@@ -92,6 +157,7 @@ class Codec:
                 a, b = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if a is not None and b is not None:
                     pairs[a * self.size + b] = rank
+        self.rank_of = pairs
         self.pair = np.array(sorted(pairs), np.int64)
         self.rank = np.array([pairs[x] for x in self.pair.tolist()], np.int64)
         self.maybe = np.zeros(1 << 22, bool)
@@ -143,6 +209,28 @@ class Codec:
             touched = np.r_[hit, hit[hit > 0] - 1]
             rank[touched] = ranks(touched)
 
+    def merge_long(self, piece: bytes) -> list[int]:
+        """Token ids of one long slice: a heap of pairs by rank, then place; pairs that are gone are passed over."""
+        ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
+        n = len(ids)
+        after, before, alive = [*range(1, n), -1], list(range(-1, n - 1)), [True] * n
+        rank_of, size = self.rank_of, self.size
+        heap = [(r, k, k + 1) for k in range(n - 1) if (r := rank_of.get(ids[k] * size + ids[k + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, a, b = heapq.heappop(heap)
+            if not (alive[a] and alive[b]) or after[a] != b or rank_of.get(ids[a] * size + ids[b]) != r:
+                continue
+            ids[a], alive[b], c = r, False, after[b]
+            after[a] = c
+            if c >= 0:
+                before[c] = a
+                if (x := rank_of.get(r * size + ids[c])) is not None:
+                    heapq.heappush(heap, (x, a, c))
+            if (z := before[a]) >= 0 and (x := rank_of.get(ids[z] * size + r)) is not None:
+                heapq.heappush(heap, (x, z, a))
+        return [x for x, keep in zip(ids, alive) if keep]
+
     def encode(self, texts: list[str]) -> tuple[list[str], list[int], list[bytes]]:
         """For each text its ids in decimal, comma-joined, their number, and the bytes they decode to."""
         whole = "".join(texts)
@@ -164,7 +252,13 @@ class Codec:
         new = [x for x in pieces if x not in cache]
         if new:
             raw = [x.encode("utf-8", "surrogatepass") for x in new]
-            for x, b, ids in zip(new, raw, self.merge(raw)):
+            short = [k for k, b in enumerate(raw) if len(b) < LONG]
+            merged: list[list[int]] = [[]] * len(raw)
+            for k, ids in zip(short, self.merge([raw[k] for k in short]) if short else []):
+                merged[k] = ids
+            for x, b, ids in zip(new, raw, merged):
+                if len(b) >= LONG:
+                    ids = self.merge_long(b)
                 if b in self.ranks:
                     ids = [self.ranks[b]]
                 cache[x] = ",".join(map(str, ids)), len(ids), self.decode(ids)
@@ -238,9 +332,3 @@ def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-
-
-def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import table
-
-    return encode_documents(table(spark, sf_dir, "documents"), vocabulary())
