@@ -1,5 +1,5 @@
-"""License scans: an Aho-Corasick automaton finds identifier tags and notice phrases; licence
-expressions behind a tag are read by a shunting-yard parser and evaluated to labels and a score.
+"""License scans: an Aho-Corasick automaton finds the places of identifier tags and notice phrases; the licence
+expression behind a tag's place is read by a shunting-yard parser and evaluated to labels and a score.
 """
 
 from __future__ import annotations
@@ -35,11 +35,12 @@ NOTICES = {
     "public domain": ("public-domain", 0.5),
     "the unlicense": ("unlicense", 0.8),
 }
-TAGS = ("spdx license identifier", "license identifier")
+TAGS = ("license identifier",)
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 _FOLD = {c: c + 32 for c in range(65, 91)} | {c: 32 for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122)}
-_TAG = re.compile(r"(?ai:(?:SPDX-)?License-Identifier)\x20*:\x20*([^\r\n*/#;,]+)")
+_WORD = re.compile("[^ ]+")
+_END = re.compile(r"[\r\n*/#;,]")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+_-]+")
 _FAMILY = re.compile(r"(?i)^(agpl|lgpl|gpl|apache|mit|bsd|mpl|epl|isc|unlicense|cc-by(?:-nc)?(?:-sa|-nd)?|cc0)")
 
@@ -103,11 +104,22 @@ def automaton():
     return a
 
 
+def _behind(text: str, at: int) -> str:
+    """The expression behind a colon at `at`, as far as its line or comment goes."""
+    while at < len(text) and text[at] == " ":
+        at += 1
+    if text[at : at + 1] != ":":
+        return ""
+    end = _END.search(text, at + 1)
+    return text[at + 1 : end.start() if end else len(text)]
+
+
 def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
     """n_words, n_base, first_word, last_word, base_labels, labels, score of one text."""
-    words = [w for w in text.translate(_FOLD).split(" ") if w]
+    folded = text.translate(_FOLD)
+    words = [w for w in folded.split(" ") if w]
     plain = f" {' '.join(words)} "
-    places, base, labels, score, tagged = [], set(), set(), 0.0, False
+    places, base, labels, score, tags = [], set(), set(), 0.0, []
     for end, phrase in automaton().iter(plain):
         if phrase in BASE:
             places.append(end - len(phrase) - 1)
@@ -117,10 +129,14 @@ def scan(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
             label, weight = NOTICES[phrase]
             labels.add(label)
             score = max(score, weight)
-        tagged |= phrase in TAGS
-    if tagged:
-        for m in _TAG.finditer(text):
-            found, sure = evaluate(parse(m[1]))
+        if phrase in TAGS:
+            tags.append(end)
+    if tags:
+        ends = [m.end() for m in _WORD.finditer(folded)]  # folding keeps places
+        seen = before = 0
+        for end in tags:
+            seen, before = seen + plain.count(" ", before, end), end
+            found, sure = evaluate(parse(_behind(text, ends[seen - 1])))
             labels |= found
             score = max(score, sure)
     first = last = None
@@ -144,7 +160,9 @@ def _run(batches):
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs`; null counts as empty; no words: no places, no labels, score 0. No shuffle."""
+    """One row per row of `docs`, repeated ones too; no rows: no rows. Null counts as empty; no words: no places, no
+    labels, score 0. Texts are read whole, some MB of them at a time. No shuffle.
+    """
     return docs.select("doc_id", "text").mapInArrow(
         _run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     )
