@@ -4,7 +4,7 @@ Every line is parsed into a tree of fixed depth: first the number of its tokens,
 tokens, in which a token with a digit counts as the variable field <*>. In a leaf, lines share a
 template if they agree on all further tokens but one quarter of them (the tail is cut into four
 segments; a template may have one segment as a variable field). A template found in `min_docs`
-documents or more recurs: its lines are dropped, but for the first (least doc_id, then hash of the text,
+documents or more recurs: its lines are dropped, but for the first (least doc_id, missing ones last, then hash of the text,
 then position), so that no text is lost from the corpus. Lines with fewer than `min_tokens` constant tokens
 aren't templates: neither short lines nor rows of numbers are. With `exact`, a line whose words are all the
 same, digits included, recurs whatever its length (lines without a word never do). A passage is a line of over
@@ -76,11 +76,12 @@ def _recurring(lines: DataFrame) -> DataFrame:
     leaves = materialize(lines.groupBy("leaf", "need").count().where(F.col("count") >= F.col("need")).select("leaf", "need"), "leaves")
     rows = materialize(lines.join(maybe_broadcast(leaves), ["leaf", "need"]).select(*ROW, "pos", "need", F.explode("templates").alias("template")), "templates")
     discard(lines, leaves)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), *ROW, "pos")  # a missing id comes last
     by_doc = rows.groupBy("template", "need", *ROW).agg(F.min("pos").alias("pos"))
-    found = by_doc.groupBy("template", "need").agg(F.count("*").alias("docs"), F.min("version").alias("lo"), F.max("version").alias("hi"), F.min(F.struct(*ROW, "pos")).alias("first"))
+    found = by_doc.groupBy("template", "need").agg(F.count("*").alias("docs"), F.min("version").alias("lo"), F.max("version").alias("hi"), F.min(order).alias("first"))
     enough = (F.col("docs") >= F.col("need")) & ((F.col("need") > PASSAGE_DOCS) | (F.col("lo") != F.col("hi")))
     recurring = materialize(found.where(enough).select("template", "need", "first"), "recurring")
-    hits = rows.join(maybe_broadcast(recurring), ["template", "need"]).where(~F.struct(*ROW, "pos").eqNullSafe(F.col("first")))
+    hits = rows.join(maybe_broadcast(recurring), ["template", "need"]).where(~order.eqNullSafe(F.col("first")))
     drops = materialize(hits.groupBy(*ROW).agg(F.collect_set("pos").alias("drop")), "drops")
     discard(rows, recurring)
     return drops
