@@ -10,8 +10,9 @@ their sum, maximum and density; runs of tokens over one half are the offending s
 Inference is exact and independent of text length: the chains of a batch lie end to end, with a reset
 at each text, and are multiplied out by a blocked scan over 2 x 2 matrices.
 
-The model is fitted on at most `SAMPLE` labelled documents of each class (ordered by a hash of the id),
-a documented bound; it has at most `TERMS` entries, so sending it to the executors is bounded too.
+The model is fitted on at most `SAMPLE` labelled documents of each class (ordered by a hash of the id) and
+`SAMPLE_CHARS` of each, its field on at most `FIELD_TOKENS` tokens of documents of both classes in turn: documented
+bounds of a fit. It has at most `TERMS` entries, so sending it to the executors is bounded too. Scores read whole texts.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import LETTER, U64, Words, slices, text_buffers
 
-SAMPLE = 1000
+SAMPLE, SAMPLE_CHARS, FIELD_TOKENS = 1000, 100_000, 150_000
 TERMS = 40_000
 PREFIXES = (4, 5)
 EVIDENCE = 2.5
@@ -157,10 +158,12 @@ class Model:
         return out
 
     def _fit_field(self, docs, y, rounds: int = 50) -> None:
-        """Gradient ascent on the conditional log likelihood of the token labels, at most 150,000 tokens."""
+        """Gradient ascent on the conditional log likelihood of the token labels of at most FIELD_TOKENS tokens."""
         used, total = [], 0
-        for k in np.argsort(~y, kind="stable").reshape(-1).tolist()[:: max(1, len(docs) // 600)]:
-            if total < 150_000 and len(docs[k][0]):
+        turn = np.zeros(len(y))
+        turn[y], turn[~y] = np.arange(y.sum()), np.arange((~y).sum()) + 0.5
+        for k in np.argsort(turn, kind="stable").tolist():
+            if total < FIELD_TOKENS and len(docs[k][0]):
                 used.append(k)
                 total += len(docs[k][0])
         x = np.concatenate([self.evidence.design(docs[k]) for k in used])
@@ -228,7 +231,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null").where(~held_out("id"))
     order = F.xxhash64("id")
     chosen = [known.where(F.col("toxic") == k).orderBy(order, "id").limit(sample) for k in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic").collect()
+    both = chosen[0].union(chosen[1]).dropDuplicates(["id", "toxic"])
+    found = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(both), F.col("doc_id") == F.col("id"))
+    rows = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic").collect()  # an id that repeats counts once
     rows.sort(key=lambda r: (r.doc_id * 2654435761 % (1 << 32), r.doc_id, r.text or "", r.toxic))
     return Model([r.text for r in rows], [r.toxic for r in rows])
 
