@@ -56,6 +56,11 @@ def within(window: Window, ts: str = "started_at", day_column: str | None = None
     return p
 
 
+def stored_day(usage) -> str | None:
+    """The day column that a stored table is partitioned by, if `usage` has it."""
+    return "day" if dict(usage.dtypes).get("day") == "date" else None
+
+
 def _today(now: datetime) -> date:
     return (now + timedelta(hours=OFFSET_HOURS)).date()
 

@@ -12,7 +12,7 @@ from ..schema import PROVIDERS
 
 def in_window(usage: DataFrame, window: calendar.Window, provider: str | None = None, project: str | None = None) -> DataFrame:
     """Rows of a half-open window by time; optionally of one provider or project."""
-    p = calendar.within(window, day_column="day" if "day" in usage.columns else None)
+    p = calendar.within(window, day_column=calendar.stored_day(usage))
     if provider is not None:
         p &= F.col("provider") == provider
     if project is not None:

@@ -28,8 +28,11 @@ def refresh(quotas: DataFrame, usage: DataFrame, now: datetime) -> DataFrame:
     spark = quotas.sparkSession
     bounds = spark.createDataFrame([(p, *calendar.current(p, now)) for p in PERIODS], "period string, lo timestamp_ntz, hi timestamp_ntz")
     q = quotas.select("provider", "period", "limit_tokens", "limit_cost_micros").join(bounds, "period", "left")
-    # `all` ends at now, inside a day, so days are cut there as well.
-    before = usage.where(F.col("started_at") < calendar.literal(now)).select("*", F.lit(True).alias("past")).unionByName(usage.where(F.col("started_at") >= calendar.literal(now)).select("*", F.lit(False).alias("past")))
+    # `all` ends at now, inside a day, so days are cut there as well. Without a quota on all time older days aren't read.
+    before = usage.withColumn("past", F.col("started_at") < calendar.literal(now))
+    if stored := calendar.stored_day(usage):
+        since = q.agg(F.min("lo")).first()[0]
+        before = before.where(F.col(stored) >= calendar.day(calendar.literal(since))) if since else before
     daily = before.groupBy(F.col("provider").alias("p"), calendar.day("started_at").alias("d"), "past").agg(
         F.sum(F.col("input_tokens") + F.col("output_tokens") + F.col("cache_read_tokens") + F.col("cache_write_tokens")).alias("tokens"), F.sum("cost_micros").alias("cost")
     )

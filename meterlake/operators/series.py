@@ -18,7 +18,7 @@ def _all():
 def daily(usage: DataFrame, *dims: str, window: calendar.Window | None = None) -> DataFrame:
     """Sums by day (a date), optionally by further dimensions; days without usage have no row."""
     if window is not None:
-        usage = usage.where(calendar.within(window))
+        usage = usage.where(calendar.within(window, day_column=calendar.stored_day(usage)))
     keys = [*dims, calendar.day("started_at").alias("day")]
     return with_total(usage.groupBy(*keys).agg(*stats())).orderBy(*dims, "day")
 
@@ -89,14 +89,18 @@ def current_streak(days: DataFrame, today: date) -> DataFrame:
 
 
 def activity(days: DataFrame, today: date) -> DataFrame:
-    """One row: tokens, cost, active days and streaks of the trailing year."""
-    year = _trailing(days, today)
-    sums = year.agg(
-        F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("total_tokens"),
-        F.coalesce(F.sum("cost_micros"), F.lit(0)).alias("cost_micros"),
-        F.count_if(F.col("total_tokens") > 0).alias("active_days"),
+    """One row: tokens, cost, active days and streaks of the trailing year, from one pass over its (at most 365) days."""
+    by_day = _trailing(days, today).groupBy("day").agg(F.sum("total_tokens").alias("t"), F.sum("cost_micros").alias("c"))
+    active = F.col("t") > 0
+    rank = F.sum(active.cast("int")).over(Window.orderBy("day")).cast("int")
+    runs = by_day.withColumn("island", F.when(active, F.date_sub("day", rank))).groupBy("island").agg(
+        F.sum("t").alias("t"), F.sum("c").alias("c"), F.when(F.col("island").isNotNull(), F.count("*")).alias("n"), F.max("day").alias("last_day")
+    )
+    live = F.col("last_day") >= F.lit(today - timedelta(days=1))
+    zero = lambda x: F.coalesce(x, F.lit(0).cast("long"))
+    return runs.agg(
+        zero(F.sum("t")).alias("total_tokens"), zero(F.sum("c")).alias("cost_micros"), zero(F.sum("n")).alias("active_days"), zero(F.max("n")).alias("longest_streak"), zero(F.max(F.when(live, F.col("n")))).alias("current_streak")
     )
-    return sums.join(longest_streak(days, today), how="full").join(current_streak(days, today), how="full")
 
 
 def busiest_day(days: DataFrame, today: date) -> DataFrame:

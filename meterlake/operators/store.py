@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,9 @@ from ..functions.pricing import price
 from ..schema import USAGE
 
 KEY = ("provider", "fingerprint")
+COLUMNS = [c.strip().split()[0] for c in USAGE.split(",")]
+#: Parts of a provider's keys; a batch reads those that its keys fall in. Large stores take more, from their start on.
+BUCKETS = 16
 
 
 def first_of_each(batch: DataFrame, key: tuple[str, ...] = KEY, order: tuple[str, ...] = ("started_at", "session_id")) -> DataFrame:
@@ -37,20 +41,31 @@ def projects(usage: DataFrame) -> DataFrame:
 
 
 class UsageStore:
-    """A folder with `usage` (by provider and day), `file_state` and `scan_log`.
+    """A folder with `usage` (by provider and day), its `keys` (by provider and hash), `file_state`, `scan_log` and `scan_errors`.
 
-    A batch is written in that order, so a crash between writes is made good by the next scan.
+    A batch is written in that order, so a crash between writes is made good by the next scan: a `pending` mark stands while
+    usage and keys may differ, and the next append makes the keys anew if it finds one. An append reads the keys of
+    the hash buckets that its batch touches, not the history.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path = spark, path.rstrip("/")
+        self.bucket = lambda: F.pmod(F.xxhash64("fingerprint"), F.lit(buckets)).cast("int")
+
+    def _at(self, name: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, name: str) -> bool:
+        p, fs = self._at(name)
+        return fs.exists(p)
+
+    def _delete(self, name: str) -> None:
+        p, fs = self._at(name)
+        fs.delete(p, True)
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], schema)
 
     def usage(self) -> DataFrame:
         return self._read("usage", USAGE + ", day date")
@@ -61,65 +76,118 @@ class UsageStore:
     def scan_log(self) -> DataFrame:
         return self._read("scan_log", "provider string, scan_id bigint, found bigint, inserted bigint, skipped bigint, fingerprint string, pricing_version string")
 
+    def scan_errors(self) -> DataFrame:
+        return self._read("scan_errors", "provider string, rel string, message string, scan_id bigint")
+
+    def pricing_version(self) -> str:
+        """Version of the prices that the stored costs follow."""
+        top = self._read("pricing", "version string, at bigint").orderBy(F.desc("at")).first()
+        return top.version if top else "1"
+
+    def keys(self, batch: DataFrame | None = None) -> DataFrame:
+        """Stored keys; of a batch only the buckets that it touches (their few numbers come to the driver)."""
+        found = self._read("keys", "fingerprint string, provider string, bucket int")
+        if batch is None:
+            return found
+        return found.where(F.col("bucket").isin([r[0] for r in batch.select(self.bucket()).distinct().collect()]))
+
     def insert(self, rows: DataFrame) -> int:
         """Plain append; refuses fingerprints that are stored already or repeat."""
-        rows = rows.select([c for c in self.spark.createDataFrame([], USAGE).columns])
-        if not duplicates(rows).isEmpty() or not rows.join(self.usage().select(*KEY), list(KEY), "left_semi").isEmpty():
+        rows = rows.select(COLUMNS)
+        self._heal()
+        if not duplicates(rows).isEmpty() or not rows.join(self.keys(rows), list(KEY), "left_semi").isEmpty():
             raise ValueError("fingerprint exists already")
-        return self._append(rows)
-
-    def _append(self, rows: DataFrame) -> int:
         n = rows.count()
-        if n:
-            by_day = rows.withColumn("day", calendar.day("started_at"))
-            by_day.repartition("provider", "day").write.mode("append").partitionBy("provider", "day").parquet(f"{self.path}/usage")
+        self._append(rows)
         return n
 
-    def append(self, batch: DataFrame, files: DataFrame | None = None, scan_id: int = 0, global_key: bool = False) -> dict[str, int]:
-        """Deduplicated append of a priced batch; then file states, then the log. Returns the summary."""
-        columns = self.spark.createDataFrame([], USAGE).columns
-        batch = batch.select(columns).persist()
+    def _heal(self) -> None:
+        if self._exists("pending"):
+            self._delete("keys")
+            self._write_keys(self.usage())
+            self._delete("pending")
+
+    def _write_keys(self, rows: DataFrame) -> None:
+        dealt = rows.select("fingerprint", "provider", self.bucket().alias("bucket")).hint("rebalance", "provider", "bucket")
+        dealt.write.mode("append").partitionBy("provider", "bucket").parquet(f"{self.path}/keys")
+
+    def _append(self, rows: DataFrame) -> None:
+        p, fs = self._at("pending")
+        fs.create(p, True).close()
+        by_day = rows.withColumn("day", calendar.day("started_at")).hint("rebalance", "provider", "day")
+        by_day.write.mode("append").partitionBy("provider", "day").parquet(f"{self.path}/usage")
+        self._write_keys(rows)
+        self._delete("pending")
+
+    def append(
+        self, batch: DataFrame, files: DataFrame | None = None, scan_id: int = 0, global_key: bool = False, fingerprints: DataFrame | None = None, errors: DataFrame | None = None
+    ) -> dict[str, int]:
+        """Deduplicated append of a priced batch; then file states and errors, then the log by provider. Returns the totals.
+
+        `fingerprints` (provider, fingerprint) are the states of the sources, for the log.
+        """
+        self._heal()
+        batch = batch.select(COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
+        fresh = new_rows(batch, self.keys(batch), global_key).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            found = batch.count()
-            inserted = self._append(new_rows(batch, self.usage(), global_key))
+            counts = batch.groupBy("provider").agg(F.count("*").alias("found")).join(fresh.groupBy("provider").agg(F.count("*").alias("inserted")), "provider", "left")
+            if fingerprints is not None:
+                counts = counts.join(fingerprints.select("provider", "fingerprint"), "provider", "full")
+            else:
+                counts = counts.withColumn("fingerprint", F.lit(""))
+            some = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("found", "inserted")]
+            log = counts.select("provider", *some, F.coalesce("fingerprint", F.lit("")).alias("fingerprint")).collect()  # one row a provider
+            if any(r.inserted for r in log):
+                self._append(fresh)
             if files is not None:
                 files.select("provider", "rel", "mtime", "size", F.lit(scan_id).cast("bigint").alias("scan_id")).write.mode("append").parquet(f"{self.path}/file_state")
-            log = batch.groupBy("provider").agg(F.count("*").alias("found")).select(
-                "provider", F.lit(scan_id).cast("bigint").alias("scan_id"), "found", F.lit(inserted).cast("bigint").alias("inserted"),
-                F.lit(found - inserted).cast("bigint").alias("skipped"), F.lit("").alias("fingerprint"), F.lit("1").alias("pricing_version"),
-            )
-            log.write.mode("append").parquet(f"{self.path}/scan_log")
+            if errors is not None:
+                errors.select("provider", "rel", "message", F.lit(scan_id).cast("bigint").alias("scan_id")).write.mode("append").parquet(f"{self.path}/scan_errors")
+            version = self.pricing_version()
+            rows = [(r.provider, scan_id, r.found, r.inserted, r.found - r.inserted, r.fingerprint, version) for r in log]
+            self.spark.createDataFrame(rows, self.scan_log().schema).coalesce(1).write.mode("append").parquet(f"{self.path}/scan_log")
         finally:
+            fresh.unpersist()
             batch.unpersist()
+        found, inserted = sum(r.found for r in log), sum(r.inserted for r in log)
         return {"found": found, "inserted": inserted, "skipped": found - inserted}
 
+    def last_fingerprints(self) -> DataFrame:
+        """provider, fingerprint: the state of each provider's files at its last logged scan."""
+        latest = self.scan_log().where("fingerprint <> ''").groupBy("provider").agg(F.max_by("fingerprint", "scan_id").alias("fingerprint"))
+        return latest
+
     def changed(self, listing: DataFrame) -> DataFrame:
         """Files whose (mtime, size) differs from the last state written for them."""
         latest = Window.partitionBy("provider", "rel").orderBy(F.desc("scan_id"), F.desc("mtime"))
         known = self.file_state().withColumn("k", F.row_number().over(latest)).where("k = 1").select("provider", "rel", "mtime", "size")
         return listing.join(known, ["provider", "rel", "mtime", "size"], "left_anti")
 
-    def rewrite(self, make, suffix: str) -> None:
-        """New version of the table, swapped in by renames once it is whole."""
-        new = f"{self.path}/usage_{suffix}"
-        make(self.usage()).withColumn("day", calendar.day("started_at")).write.mode("overwrite").partitionBy("provider", "day").parquet(new)
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        here, old = jvm.org.apache.hadoop.fs.Path(f"{self.path}/usage"), jvm.org.apache.hadoop.fs.Path(f"{self.path}/usage_old_{suffix}")
-        fs = here.getFileSystem(conf)
-        fs.rename(here, old)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(new), here)
-        fs.delete(old, True)
-
-    def reprice(self, version: str, prices: DataFrame | None = None) -> None:
-        """Costs of all history anew; idempotent."""
-        self.rewrite(lambda u: price(u.drop("day"), prices), f"v{version}_{int(datetime.now().timestamp())}")
+    def _swap(self, name: str, df: DataFrame, *by: str) -> None:
+        """A new version of a table, written whole and then renamed into place."""
+        new, old = f"{name}_new_{uuid.uuid4().hex[:8]}", f"{name}_old_{uuid.uuid4().hex[:8]}"
+        writer = df.write.partitionBy(*by) if by else df.write
+        writer.parquet(f"{self.path}/{new}")
+        here, fs = self._at(name)
+        fs.rename(here, self._at(old)[0])
+        fs.rename(self._at(new)[0], here)
+        self._delete(old)
+
+    def reprice(self, version: str, prices: DataFrame | None = None) -> bool:
+        """Costs of all history anew if `version` isn't the stored one; idempotent. True if it ran."""
+        if version == self.pricing_version():
+            return False
+        if self._exists("usage"):
+            dealt = price(self.usage().drop("day"), prices).withColumn("day", calendar.day("started_at")).hint("rebalance", "provider", "day")
+            self._swap("usage", dealt, "provider", "day")
+        order = F.unix_micros(F.current_timestamp()).alias("at")
+        self.spark.range(1).select(F.lit(version).alias("version"), order).coalesce(1).write.mode("append").parquet(f"{self.path}/pricing")
+        return True
 
     def delete_provider(self, provider: str) -> None:
-        """Drop a provider's rows; its files count as unseen again."""
-        self.rewrite(lambda u: u.drop("day").where(F.col("provider") != provider), f"without_{provider}_{int(datetime.now().timestamp())}")
-        self.file_state().where(F.col("provider") != provider).write.mode("overwrite").parquet(f"{self.path}/file_state_new")
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        here = jvm.org.apache.hadoop.fs.Path(f"{self.path}/file_state")
-        fs = here.getFileSystem(conf)
-        fs.delete(here, True)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(f"{self.path}/file_state_new"), here)
+        """Drop a provider's rows, keys and log, which are folders of their own or small; its files count as unseen again."""
+        self._delete(f"usage/provider={provider}")
+        self._delete(f"keys/provider={provider}")
+        for name, df in (("file_state", self.file_state()), ("scan_log", self.scan_log())):
+            if self._exists(name):
+                self._swap(name, df.where(F.col("provider") != provider))

@@ -17,7 +17,7 @@ LEVELS = {15: "total", 7: "provider", 3: "provider_model", 13: "project", 14: "d
 
 def dashboard(usage: DataFrame, window: calendar.Window) -> DataFrame:
     """Totals, and sums by provider, provider and model, project and day, in one aggregation; `level` names them."""
-    rows = usage.where(calendar.within(window)).withColumn("day", calendar.day_key("started_at"))
+    rows = usage.where(calendar.within(window, day_column=calendar.stored_day(usage))).withColumn("day", calendar.day_key("started_at"))
     cols = [F.col(c) for c in ("provider", "model", "project", "day")]
     p, m, j, d = cols
     out = rows.groupingSets([[], [p], [p, m], [j], [d]], p, m, j, d).agg(F.grouping_id().alias("gid"), *stats())

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .functions import calendar, pricing, tokens
 from .operators import aggregate, filters, metrics, quota, series, store
-from .plans import snapshot
-from .sources import ingest
+from .plans import collect, snapshot
+from .sources import files, ingest
+from .sources.paths import work_folder
 from .streaming import usage_stream
 
 NOW = datetime(2024, 1, 20, 15)
@@ -48,7 +49,7 @@ _COST = """CAST(coalesce(greatest(round(CASE WHEN provider = 'codex'
      + cache_read_tokens::DOUBLE * (p_cr * CASE WHEN input_tokens + cache_read_tokens > 272000 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END)
      + output_tokens::DOUBLE * (p_out * CASE WHEN input_tokens + cache_read_tokens > 272000 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END)
   ELSE input_tokens::DOUBLE * p_in + output_tokens::DOUBLE * p_out + cache_read_tokens::DOUBLE * p_cr + cache_write_tokens::DOUBLE * p_cw END), 0), 0) AS BIGINT)"""
-WITH = f"""WITH raw AS (SELECT {_USAGE.format(ntz='TIMESTAMP')} FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) e WHERE value * 10 >= 1),
+WITH = f"""WITH raw AS (SELECT {_USAGE.format(ntz='TIMESTAMP')} FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) e),
   prices(id, p_in, p_out, p_cr, p_cw) AS (VALUES {_PRICES}),
   usage AS (SELECT raw.*, {_COST} AS cost_micros, CAST(started_at + INTERVAL 8 HOURS AS DATE) AS d, input_tokens + output_tokens + cache_read_tokens + cache_write_tokens AS tt
     FROM raw LEFT JOIN prices ON prices.id = {_PRICE_ID}) """
@@ -56,7 +57,7 @@ SUMS_SQL = ", ".join(["count(*) AS records", *[f"CAST(coalesce(sum({c}), 0) AS B
 
 
 def unpriced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("bigint")).where("value * 10 >= 1")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     return e.selectExpr(*_split(_USAGE.format(ntz="TIMESTAMP_NTZ")), "cast(0 as bigint) AS cost_micros")
 
 
@@ -219,7 +220,6 @@ def _metrics_and_prices() -> None:
     add("prc_02_resolve", lambda s, d: pricing.resolve(unpriced(s, d), pricing.price_table(s)).select("provider", "model", "price_id", "price_input", "price_output"),
         f"SELECT DISTINCT provider, model, {_PRICE_ID} AS price_id, p_in AS price_input, p_out AS price_output FROM raw LEFT JOIN prices ON prices.id = {_PRICE_ID}")
     add("prc_03_cost", lambda s, d: usage(s, d).select("fingerprint", "cost_micros"), "SELECT fingerprint, cost_micros FROM usage")
-    add("prc_06_reprice", lambda s, d: pricing.price(usage(s, d).withColumn("cost_micros", F.lit(-1).cast("long"))).groupBy("provider", "model").agg(F.sum("cost_micros").alias("cost_micros")), "SELECT provider, model, CAST(sum(cost_micros) AS BIGINT) AS cost_micros FROM usage GROUP BY ALL")
 
 
 def _twice(s: SparkSession, d: str) -> DataFrame:
@@ -231,20 +231,56 @@ def _twice(s: SparkSession, d: str) -> DataFrame:
 def _storage() -> None:
     add("sto_01_dedup_append", lambda s, d: _rows(store.new_rows(_twice(s, d), usage(s, d).where("event_id % 10 = 0"))), f"SELECT {ROW} FROM usage WHERE event_id % 10 <> 0")
     add("sto_02_duplicates", lambda s, d: store.duplicates(_twice(s, d)), "SELECT provider, fingerprint, CAST(2 AS BIGINT) AS n FROM usage WHERE event_id % 3 = 0")
-    add("sto_03_delete_provider", lambda s, d: store.first_of_each(usage(s, d).where("provider <> 'pi'").unionByName(usage(s, d).where("provider = 'pi'"))).groupBy("provider").agg(F.count("*").alias("records")), "SELECT provider, count(*) AS records FROM usage GROUP BY 1")
+    def new_store(s: SparkSession) -> store.UsageStore:
+        return store.UsageStore(s, work_folder(s, "usage-store"))
+
+    def deleted(s: SparkSession, d: str) -> DataFrame:
+        """Rows by provider once one is deleted, and once its rows are scanned again."""
+        t = new_store(s)
+        t.append(_rows(usage(s, d)), scan_id=1)
+        t.delete_provider("pi")
+        left = t.usage().groupBy("provider").agg(F.count("*").alias("records")).withColumn("step", F.lit("deleted")).toPandas()  # the folder changes below
+        t.append(_rows(usage(s, d)), scan_id=2)
+        again = t.usage().groupBy("provider").agg(F.count("*").alias("records")).withColumn("step", F.lit("again"))
+        return again.unionByName(s.createDataFrame(left, again.schema))
+
+    counts = "SELECT provider, count(*) AS records, '{}' AS step FROM usage {} GROUP BY 1"
+    add("sto_03_delete_provider", deleted, f"{counts.format('deleted', "WHERE provider <> 'pi'")} UNION ALL {counts.format('again', '')}")
     add("sto_04_projects", lambda s, d: store.projects(usage(s, d)).withColumn("providers", F.concat_ws(",", "providers")), "SELECT project AS name, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers FROM usage GROUP BY 1")
 
     def stored(s: SparkSession, d: str) -> DataFrame:
-        from .sources.paths import work_folder
-
-        t = store.UsageStore(s, work_folder(s, "usage-store"))
+        t = new_store(s)
         t.append(_rows(usage(s, d).where("event_id % 4 <> 0")), scan_id=1)
         t.append(_rows(usage(s, d)), scan_id=2)
         return aggregate.rollup(t.usage(), "provider", window=MONTH)
 
     add("sto_06_store_round_trip", stored, f"SELECT provider, {SUMS_SQL} FROM usage WHERE {M} GROUP BY 1")
-    add("sto_07_scan_summary", lambda s, d: _twice(s, d).groupBy("provider").agg(F.count("*").alias("found"), F.countDistinct("fingerprint").alias("inserted")).withColumn("skipped", F.col("found") - F.col("inserted")),
-        "SELECT provider, count(*) + count(*) FILTER (event_id % 3 = 0) AS found, count(*) AS inserted, count(*) FILTER (event_id % 3 = 0) AS skipped FROM usage GROUP BY 1")
+
+    def logged(s: SparkSession, d: str) -> DataFrame:
+        t = new_store(s)
+        t.append(_rows(usage(s, d).where("event_id % 10 = 0")), scan_id=1)
+        t.append(_rows(_twice(s, d)), scan_id=2)
+        return t.scan_log().select("provider", "scan_id", "found", "inserted", "skipped")
+
+    tenth, third = "count(*) FILTER (event_id % 10 = 0)", "count(*) FILTER (event_id % 3 = 0)"
+    add("sto_07_scan_summary", logged, f"SELECT provider, CAST(1 AS BIGINT) AS scan_id, {tenth} AS found, {tenth} AS inserted, CAST(0 AS BIGINT) AS skipped FROM usage GROUP BY 1 UNION ALL SELECT provider, 2, count(*) + {third}, count(*) - {tenth}, {third} + {tenth} FROM usage GROUP BY 1")
+
+    def repriced(s: SparkSession, d: str) -> DataFrame:
+        """Costs of a store that was filled without prices; a second call with the same version does nothing."""
+        t = new_store(s)
+        t.append(_rows(unpriced(s, d)), scan_id=1)
+        ran = [t.reprice("2"), t.reprice("2")]
+        return t.usage().groupBy("provider", "model").agg(F.sum("cost_micros").alias("cost_micros")).withColumn("runs", F.lit(sum(ran)))
+
+    add("prc_06_reprice", repriced, "SELECT provider, model, CAST(sum(cost_micros) AS BIGINT) AS cost_micros, CAST(1 AS INTEGER) AS runs FROM usage GROUP BY ALL")
+
+    def priced(s: SparkSession, d: str) -> DataFrame:
+        """Rows as the jobs give them, through the pricing stage into the store."""
+        t = new_store(s)
+        t.append(pricing.price(_rows(unpriced(s, d))), scan_id=1)
+        return t.usage().select("fingerprint", "cost_micros")
+
+    add("prc_05_price_at_ingest", priced, "SELECT fingerprint, cost_micros FROM usage")
 
     def quotas(s: SparkSession, d: str) -> DataFrame:
         periods = F.explode(F.array(*[F.lit(p) for p in quota.PERIODS])).alias("period")
@@ -266,21 +302,15 @@ def _storage() -> None:
 
 def _streams() -> None:
     def streamed(s: SparkSession, d: str) -> DataFrame:
-        from .sources.paths import work_folder
-
         top = work_folder(s, "usage-stream")
         usage(s, d).drop("event_id").write.parquet(f"{top}/in")
         source = s.readStream.schema(s.read.parquet(f"{top}/in").schema).parquet(f"{top}/in")
-        name = f"rollup_{abs(hash(top))}"
-        q = usage_stream.daily_rollup(source, "provider", "model").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return text_days(s.table(name))
+        usage_stream.rollup_table(source, f"{top}/out", f"{top}/state", "provider", "model").awaitTermination()
+        return text_days(usage_stream.latest(s, f"{top}/out"))
 
     add("str_06_daily_rollup", streamed, f"SELECT provider, model, strftime(d, '%Y-%m-%d') AS day, {SUMS_SQL} FROM usage GROUP BY ALL")
 
     def ingested(s: SparkSession, d: str) -> DataFrame:
-        from .sources.paths import work_folder
-
         top = work_folder(s, "usage-ingest")
         _twice(s, d).where("fingerprint is not null").write.parquet(f"{top}/in")
         source = s.readStream.schema(s.read.parquet(f"{top}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{top}/in")
@@ -366,5 +396,239 @@ def _raw_logs() -> None:
     add("fn_11_week_keys", lambda s, d: scaled(s, d).select(calendar.week_key("started_at").alias("week"), calendar.day_key("started_at").alias("day"), calendar.month_key("started_at").alias("month")).distinct(), f"SELECT DISTINCT {KEYS['week']} AS week, {KEYS['day']} AS day, {KEYS['month']} AS month FROM usage", SCALED)
 
 
-for register in (_rollups, _filters, _series, _metrics_and_prices, _storage, _streams, _raw_logs):
+_FOUR = "input_tokens + output_tokens + cache_read_tokens + cache_write_tokens > 0"
+
+
+def _sources() -> None:
+    """Log files written from events by Spark, and read again by the scans. A folder a project, its name in the path."""
+
+    def lines(s: SparkSession, d: str) -> DataFrame:
+        return s.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("p"), F.col("user_id") % 7).alias("project"), F.concat(F.lit('{"id":'), "event_id", F.lit("}")).alias("value"))
+
+    def folder(s: SparkSession, df: DataFrame) -> str:
+        top = work_folder(s, "logs")
+        df.write.partitionBy("project").text(top)
+        return top
+
+    def by_project(df: DataFrame, *more) -> DataFrame:
+        return df.withColumn("project", F.regexp_extract("rel", "project=(p[0-9])", 1)).groupBy("project", *more)
+
+    text = r"\.txt$"
+    raw = "WITH raw AS (SELECT concat('p', user_id % 7) AS project, concat('{\"id\":', event_id, '}') AS value, event_id FROM events) "
+    count = lambda: F.count("*").alias("n_lines")
+    add("src_01_lines", lambda s, d: by_project(files.json_lines(s, [(folder(s, lines(s, d)), None)], text)).agg(count(), F.sum("raw_bytes").alias("raw_bytes")),
+        "SELECT project, count(*) AS n_lines, CAST(sum(length(value)) AS BIGINT) AS raw_bytes FROM raw GROUP BY 1", raw)
+    add("src_02_discovery", lambda s, d: by_project(files.listing(s, "x", [(folder(s, lines(s, d)), None)], r"project=p[0-4]/.*\.txt$", 2)).agg(F.sum("size").alias("size")),
+        "SELECT project, CAST(sum(length(value) + 1) AS BIGINT) AS size FROM raw WHERE project < 'p5' GROUP BY 1", raw)
+
+    def two_roots(s: SparkSession, d: str) -> DataFrame:
+        odd = F.col("project").isin("p1", "p3", "p5")
+        roots = [(folder(s, lines(s, d).where(odd)), "odd"), (folder(s, lines(s, d).where(~odd)), None), (work_folder(s, "missing"), "none")]
+        return by_project(files.json_lines(s, roots, text), F.coalesce(F.nullif(F.regexp_extract("rel", "^(odd|none)/", 1), F.lit("")), F.lit("-")).alias("label")).agg(count())
+
+    add("src_03_roots", two_roots, "SELECT project, CASE WHEN project IN ('p1', 'p3', 'p5') THEN 'odd' ELSE '-' END AS label, count(*) AS n_lines FROM raw GROUP BY ALL", raw)
+    add("src_04_snapshot", lambda s, d: files.snapshot(files.listing(s, "x", [(folder(s, lines(s, d)), None)], text)).select("provider", F.split("fingerprint", ":")[2].cast("long").alias("size")),
+        "SELECT 'x' AS provider, CAST(sum(length(value) + 1) AS BIGINT) AS size FROM raw", raw)
+
+    def incremental(s: SparkSession, d: str) -> DataFrame:
+        """Files of three projects are known as they are; lines of the others are read."""
+        t, roots = store.UsageStore(s, work_folder(s, "usage-store")), [(folder(s, lines(s, d)), None)]
+        found = files.listing(s, "x", roots, text)
+        t.append(_rows(unpriced(s, d)).limit(0), files=found.where("rel like 'project=p0%' or rel like 'project=p1%' or rel like 'project=p2%'"), scan_id=1)
+        return by_project(files.json_lines(s, files.Roots(roots, only=t.changed(found)), text)).agg(count())
+
+    add("src_05_incremental", incremental, "SELECT project, count(*) AS n_lines FROM raw WHERE project >= 'p3' GROUP BY 1", raw)
+
+    def documents(s: SparkSession, d: str) -> DataFrame:
+        """A JSON document for each project and 1,000 events, a file each."""
+        e = s.read.parquet(f"{d}/events.parquet").groupBy(F.concat(F.lit("p"), F.col("user_id") % 7, F.lit("-"), F.floor(F.col("event_id") / 1000)).alias("project"))
+        docs = files.documents(s, [(folder(s, e.agg(F.to_json(F.collect_list("event_id")).alias("value"))), None)], text)
+        each = by_project(docs).agg(F.sum(F.size(F.from_json("doc", "array<bigint>"))).alias("n_events"), F.count("*").alias("n_docs"))
+        return each
+
+    add("src_06_documents", documents, "SELECT project, count(*) AS n_events, count(DISTINCT event_id // 1000) AS n_docs FROM raw GROUP BY 1", raw)
+
+
+def _databases(rows: DataFrame, tables: list[str], rel: str) -> DataFrame:
+    """Made-up database files (rel, label, content): `rows` (part, sql) holds the statements of each; a part is of bounded size."""
+
+    def make(key, frame):
+        import pandas as pd
+
+        return pd.DataFrame([(rel.format(key[0]), None, files.sqlite_bytes([*tables, *frame.sql]))], columns=["rel", "label", "content"])
+
+    return rows.groupBy("part").applyInPandas(make, "rel string, label string, content binary")
+
+
+def _embedded() -> None:
+    t = lambda c, n: F.col(c).alias(n)
+    back = "input_tokens, output_tokens, cache_read_tokens, cache_write_tokens"
+    millis = lambda: F.unix_millis(F.to_timestamp(F.date_format("started_at", "yyyy-MM-dd HH:mm:ss")))
+    quoted = lambda c: F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
+    part = lambda: F.floor(F.col("event_id") / 1000).alias("part")
+    cwd = lambda: F.concat(F.lit("/w/"), "project")
+
+    def message() -> F.Column:
+        tokens_of = F.struct((F.col("input_tokens")).alias("input"), t("output_tokens", "output"), F.lit(3).alias("reasoning"), F.struct(t("cache_read_tokens", "read"), t("cache_write_tokens", "write")).alias("cache"))
+        return F.to_json(F.struct(F.lit("assistant").alias("role"), t("model", "modelID"), F.struct(cwd().alias("cwd")).alias("path"), tokens_of.alias("tokens"), F.struct(millis().alias("created")).alias("time")))
+
+    def messages(s: SparkSession, d: str, rel: str, rows: str = "true") -> DataFrame:
+        """Message stores, a bad row and a file that is no database among them."""
+        values = F.concat(F.lit("INSERT INTO message VALUES ('m"), "event_id", F.lit("', "), quoted(F.col("session_id")), F.lit(", 1, "), quoted(message()), F.lit(")"))
+        made = _databases(unpriced(s, d).where(rows).select(part(), values.alias("sql")), ["CREATE TABLE message(id, session_id, time_created, data)", "INSERT INTO message VALUES ('bad', 's', 1, 'no json')"], rel)
+        return made.union(s.createDataFrame([("broken.db", None, b"no database")], made.schema))
+
+    sent = f"SELECT project, session_id, model, date_trunc('second', started_at) AS started_at, input_tokens + 3 AS input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, concat('{{}}:m', event_id) AS fingerprint FROM raw"
+    shown = ["project", "session_id", "model", "started_at", *back.split(", "), "fingerprint"]
+    add("ing_09_qoder", lambda s, d: ingest.qoder(s, [], NOW, messages(s, d, "{}/local.db")).select(shown), sent.format("local.db"))
+
+    def both_stores(s: SparkSession, d: str) -> DataFrame:
+        """The newer store and the older files, which share every third message; duplicates by key collapse."""
+        old = unpriced(s, d).where("event_id % 3 = 0").select(F.concat(F.lit("storage/message/m"), "event_id", F.lit(".json")).alias("rel"), F.lit(None).cast("string").alias("label"), message().alias("doc"), "session_id")
+        doc = F.concat(F.expr("substring(doc, 1, length(doc) - 1)"), F.lit(',"sessionID":'), F.to_json(F.array("session_id")))
+        doc = F.regexp_replace(doc, r'"sessionID":\[(.*)\]$', r'"sessionID":$1}')
+        return store.first_of_each(ingest.opencode(s, [], NOW, messages(s, d, "{}/opencode.db"), old.select("rel", "label", doc.alias("doc")))).select(shown)
+
+    add("ing_07_08_opencode", both_stores, sent.format("opencode.db"))
+    none = "SELECT rel, raw FROM (SELECT 'broken.db' AS rel, 'x' AS raw)"
+    add("src_07_10_databases", lambda s, d: files.unreadable(messages(s, d, "{}/local.db"), "qoder").select("provider", "rel"), f"SELECT 'qoder' AS provider, rel FROM ({none})", "")
+
+    def covered(s: SparkSession, d: str) -> DataFrame:
+        """Ledger totals of sessions; those with an even number are covered by logs."""
+        sums = unpriced(s, d).groupBy("session_id").agg(F.sum("input_tokens").alias("used"), F.min("project").alias("project"), F.max("event_id").alias("event_id"))
+        row = F.concat(F.lit("INSERT INTO sessions VALUES ("), quoted(F.col("session_id")), F.lit(", "), quoted(cwd()), F.lit(", 'm', 1000); INSERT INTO session_usage VALUES ("), quoted(F.col("session_id")), F.lit(", "), "used", F.lit(")"))
+        sql = sums.select(F.floor(F.col("event_id") / 1000).alias("part"), F.explode(F.split(row, "; ")).alias("sql"))
+        stores = _databases(sql, ["CREATE TABLE sessions(id, cwd, model, created_at)", "CREATE TABLE session_usage(session_id, used)"], "{}/workbuddy.db")
+        even = unpriced(s, d).where("cast(substring(session_id, 6) as bigint) % 2 = 0").select("session_id")
+        return ingest.workbuddy_ledger(s, [], NOW, even, stores).select("project", "session_id", "input_tokens", "started_at", "fingerprint")
+
+    add("ing_06_ledger", covered, "SELECT min(project) AS project, session_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, TIMESTAMP '1970-01-01 00:00:01' AS started_at, concat('workbuddy.db:', session_id) AS fingerprint FROM raw WHERE CAST(session_id[6:] AS BIGINT) % 2 = 1 GROUP BY session_id HAVING sum(input_tokens) > 0")
+
+    def lookup(s: SparkSession, d: str) -> DataFrame:
+        """Desktop requests: documents of 1,000 events, models in message files, folders in a key-value store."""
+        u = unpriced(s, d).withColumn("conv", F.concat(F.lit("c"), F.floor(F.col("event_id") / 1000)))
+        req = F.struct(F.concat(F.lit("r"), "event_id").alias("id"), millis().alias("startedAt"), F.struct((F.col("input_tokens") + F.col("cache_read_tokens") + F.col("cache_write_tokens")).alias("inputTokens"), t("output_tokens", "outputTokens"), t("cache_read_tokens", "cacheTokens"), t("cache_write_tokens", "cachedWriteTokens")).alias("usage"))
+        no = F.lit(None).cast("string").alias("label")
+        index = u.groupBy("conv").agg(F.to_json(F.struct(F.collect_list(req).alias("requests"))).alias("doc")).select(F.concat(F.lit("ws/"), "conv", F.lit("/index.json")).alias("rel"), no, F.length("doc").cast("long").alias("size"), "doc")
+        extra = F.to_json(F.struct(F.to_json(F.struct(F.concat(F.lit("r"), "event_id").alias("requestId"), t("model", "modelId"))).alias("extra")))
+        notes = u.where("event_id % 2 = 0").select(F.concat(F.lit("ws/"), "conv", F.lit("/messages/"), "event_id", F.lit(".json")).alias("rel"), no, F.lit(1).cast("long").alias("size"), extra.alias("doc"))
+        kv = u.select(part(), "conv").distinct().where("part % 2 = 0").select("part", F.concat(F.lit("INSERT INTO ItemTable VALUES ('session:"), "conv", F.lit("', '{\"cwd\": \"/w/"), "conv", F.lit("-app\"}')")).alias("sql"))
+        folders = ingest.conversation_folders(s, [], _databases(kv, ["CREATE TABLE ItemTable(key, value)"], "{}/state.vscdb"))
+        return ingest.codebuddy_desktop(s, [], NOW, folders, index.union(notes)).select("project", "session_id", "model", *back.split(", "), "fingerprint")
+
+    conv = "concat('c', event_id // 1000)"
+    add("ing_04_src_09_desktop", lookup, f"SELECT CASE WHEN (event_id // 1000) % 2 = 0 THEN concat({conv}, '-app') ELSE 'ws' END AS project, {conv} AS session_id, CASE WHEN event_id % 2 = 0 THEN model ELSE '' END AS model, {back}, concat('desktop:ws:', {conv}, ':r', event_id) AS fingerprint FROM raw WHERE {_FOUR}")
+
+    def generations(s: SparkSession, d: str) -> DataFrame:
+        """Binary generation records in conversation stores, one of them cut short."""
+        def encode(frames):
+            varint = lambda n: b"" if n is None else bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+            field = lambda n, v: varint(n << 3) + varint(v) if isinstance(v, int) else varint(n << 3 | 2) + varint(len(v)) + v
+            for f in frames:
+                blobs = [field(1, field(1, int(a)) + field(2, 500_000_000)) + field(9, field(2, int(i)) + field(3, int(o)) + field(5, int(c))) for a, i, o, c in zip(f["at"], f["i"], f["o"], f["c"])]
+                f["sql"] = [f"INSERT INTO steps VALUES ({e}, 15, x'{b.hex()}')" for e, b in zip(f.event_id, blobs)]
+                yield f[["part", "sql"]]
+
+        u = unpriced(s, d).select(part().cast("long").alias("part"), "event_id", F.floor(millis() / 1000).alias("at"), (F.col("input_tokens") + F.col("cache_read_tokens")).alias("i"), t("output_tokens", "o"), t("cache_read_tokens", "c"))
+        uri = "0a08" + b"file:///w/app".hex()
+        tables = ["CREATE TABLE steps(idx, step_type, metadata)", "CREATE TABLE trajectory_metadata_blob(id, data)", "INSERT INTO steps VALUES (-1, 15, x'ff'), (-2, 14, x'')", f"INSERT INTO trajectory_metadata_blob VALUES ('main', x'0a{len(b'file:///w/app'):02x}{uri[4:]}')"]
+        stores = _databases(u.mapInPandas(encode, "part long, sql string"), tables, "conversations/u{}.db")
+        settings = s.createDataFrame([("settings.json", None, 1, '{"model": "gemini-x"}')], "rel string, label string, size bigint, doc string")
+        return ingest.antigravity(s, [], NOW, stores, settings).select("project", "session_id", "model", "started_at", *back.split(", ")[:3], "fingerprint")
+
+    name = "concat('u', event_id // 1000"
+    add("ing_13_fn_09_antigravity", generations, f"SELECT 'app' AS project, {name}) AS session_id, 'gemini-x' AS model, date_trunc('second', started_at) + INTERVAL 500 MILLISECONDS AS started_at, input_tokens, output_tokens, cache_read_tokens, {name}, '.db:', event_id) AS fingerprint FROM raw WHERE input_tokens + output_tokens + cache_read_tokens > 0")
+
+
+def _more_logs() -> None:
+    t = lambda c, n: F.col(c).alias(n)
+    back = "input_tokens, output_tokens, cache_read_tokens, cache_write_tokens"
+    millis = lambda: F.unix_millis(F.to_timestamp(F.date_format("started_at", "yyyy-MM-dd HH:mm:ss")))
+
+    def lines(s: SparkSession, d: str, make) -> DataFrame:
+        e = unpriced(s, d).withColumn("line", F.to_json(make))
+        return e.select(F.concat("project", F.lit("/"), "session_id", F.lit(".jsonl")).alias("rel"), F.col("event_id").alias("line_idx"), "line", F.octet_length("line").cast("long").alias("raw_bytes"))
+
+    def as_workbuddy(s: SparkSession, d: str) -> DataFrame:
+        raw = F.struct((F.col("input_tokens") + F.col("cache_read_tokens")).alias("prompt_tokens"), t("output_tokens", "completion_tokens"), t("cache_read_tokens", "prompt_cache_hit_tokens"), t("cache_write_tokens", "prompt_cache_write_tokens"))
+        cwd = F.concat(F.lit("/w/"), "project", F.when(F.col("event_id") % 2 == 0, F.lit("/2026-08-07-10-11-12")).otherwise(F.lit("")))
+        j = lines(s, d, F.struct(F.lit("function_call").alias("type"), millis().alias("timestamp"), t("session_id", "sessionId"), cwd.alias("cwd"), F.struct("model", raw.alias("rawUsage")).alias("providerData")))
+        return ingest.workbuddy(s, [], NOW, j).select("project", "session_id", "model", *back.split(", "), "fingerprint")
+
+    add("ing_05_fn_05_workbuddy", as_workbuddy, f"SELECT project, session_id, model, {back}, concat(project, '/', session_id, '.jsonl:', event_id) AS fingerprint FROM raw WHERE {_FOUR}")
+
+    def as_deepseek(s: SparkSession, d: str) -> DataFrame:
+        """Compressed session files of 1,000 events; a file that can't be unpacked among them."""
+        u = F.struct(t("input_tokens", "inputTokens"), t("output_tokens", "outputTokens"), t("cache_read_tokens", "cacheReadTokens"), t("cache_write_tokens", "cacheWriteTokens"))
+        e = unpriced(s, d).withColumn("line", F.to_json(F.struct(F.lit("assistant/message").alias("type"), millis().alias("time"), F.struct(t("event_id", "turn"), F.lit(1).alias("step"), u.alias("usage"), F.struct(F.struct("model").alias("source")).alias("message")).alias("data"))))
+        bodies = e.groupBy(F.floor(F.col("event_id") / 1000).alias("part")).agg(F.array_join(F.collect_list("line"), "\n").alias("body"))
+
+        def pack(frames):
+            import pyarrow as pa
+
+            for f in frames:
+                f["content"] = [pa.compress(x.encode(), "zstd", asbytes=True) for x in f.body]
+                yield f[["rel", "content"]]
+
+        named = bodies.select(F.concat(F.lit("f"), "part", F.lit(".jsonl.zstd")).alias("rel"), F.concat(F.lit('{"type":"session","id":"s'), "part", F.lit('","cwd":"/w/app"}\n'), "body").alias("body"))
+        packed = named.mapInPandas(pack, "rel string, content binary").union(s.createDataFrame([("bad.jsonl.zstd", b"no zstd")], "rel string, content binary"))
+        return ingest.deepseek(s, [], NOW, files.compressed_lines(s, [], files=packed)).select("project", "session_id", "model", *back.split(", "), "fingerprint")
+
+    add("ing_11_src_08_deepseek", as_deepseek, f"SELECT 'app' AS project, concat('s', event_id // 1000) AS session_id, model, {back}, concat('f', event_id // 1000, '.jsonl.zstd:', event_id, ':1') AS fingerprint FROM raw WHERE {_FOUR}")
+
+    def as_pi(s: SparkSession, d: str) -> DataFrame:
+        """Conversations: system turns change the model, assistant turns bill, tool turns bill under the model before."""
+        c = s.read.parquet(f"{d}/conversations.parquet")
+        u = F.struct(F.length("text").alias("input"), F.lit(1).alias("output"), F.lit(0).alias("cacheRead"), F.lit(0).alias("cacheWrite"))
+        change = F.to_json(F.struct(F.lit("model_change").alias("type"), t("text", "modelId")))
+        sent = F.to_json(F.struct(F.lit("message").alias("type"), F.concat(F.lit("e"), "turn").alias("id"), F.struct(F.lit("toolResult").alias("role"), u.alias("usage")).alias("message")))
+        line = F.when(F.col("role") == "system", change).when(F.col("role") == "assistant", sent).otherwise("{bad")
+        j = c.select(F.concat(F.lit("c"), "conv_id", F.lit(".jsonl")).alias("rel"), F.col("turn").alias("line_idx"), line.alias("line"), F.lit(0).cast("long").alias("raw_bytes"))
+        return ingest.pi(s, [], NOW, j).select("model", "input_tokens", "output_tokens", "fingerprint")
+
+    add("ing_12_pi", as_pi, "SELECT coalesce(m, '') AS model, CAST(length(text) AS BIGINT) AS input_tokens, CAST(1 AS BIGINT) AS output_tokens, concat('c', conv_id, '.jsonl:e', turn) AS fingerprint FROM (SELECT *, last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM conversations) WHERE role = 'assistant'", "")
+
+    def claude_lines(s: SparkSession, d: str) -> DataFrame:
+        u = F.struct(t("input_tokens", "input_tokens"), t("output_tokens", "output_tokens"), t("cache_write_tokens", "cache_creation_input_tokens"), t("cache_read_tokens", "cache_read_input_tokens"))
+        stamp = F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        return unpriced(s, d).select("project", F.to_json(F.struct(F.lit("assistant").alias("type"), stamp.alias("timestamp"), F.struct("model", u.alias("usage")).alias("message"))).alias("value"))
+
+    logs = {"claude": (r"(?i)\.txt$", 8)}
+
+    def collected(s: SparkSession, d: str, streamed: bool = False) -> DataFrame:
+        """Log files through the whole job: half of the projects, all of them, and once more without a change."""
+        top = work_folder(s, "collect")
+        t_, data = store.UsageStore(s, f"{top}/store"), claude_lines(s, d)
+        first = F.col("project") < "proj-4"
+        data.where(first).write.partitionBy("project").text(f"{top}/logs/a")
+        made = []
+        with collect.reading(logs, {"claude": lambda spark, roots, now: ingest.claude(spark, roots, now, files.json_lines(spark, roots, *logs["claude"]))}):
+            for k in (1, 2, 3):
+                if k == 2:
+                    data.where(~first).write.partitionBy("project").text(f"{top}/logs/b")
+                made += [(r.scan_id, r.found, r.inserted) for r in collect.collect(s, t_, {"claude": [(f"{top}/logs", None)]}, NOW, k).collect()]
+        return t_.usage().groupBy("model").agg(F.count("*").alias("records"), F.sum("cost_micros").alias("cost_micros")).withColumn("scans", F.lit(str(len(made))))
+
+    by_model = f"SELECT model, count(*) AS records, CAST(sum(c) AS BIGINT) AS cost_micros, '{{}}' AS scans FROM (SELECT model, {_COST} AS c FROM (SELECT * REPLACE ('claude' AS provider) FROM raw) r LEFT JOIN prices ON prices.id = {_PRICE_ID} WHERE {_FOUR}) GROUP BY 1"
+    add("ing_16_collect", collected, by_model.format(2))
+
+    def streamed(s: SparkSession, d: str) -> DataFrame:
+        """Raw log files as a stream, in two steps, and once more without new files."""
+        top = work_folder(s, "log-stream")
+        t_ = store.UsageStore(s, f"{top}/store")
+        for k in range(3):
+            if k < 2:
+                claude_lines(s, d).where((F.col("project") < "proj-4") == (k == 0)).write.mode("append").partitionBy("project").text(f"{top}/logs")
+            usage_stream.ingest_logs(usage_stream.log_files(s, f"{top}/logs", r"\.txt$"), ingest.claude, t_, f"{top}/state", NOW).awaitTermination()
+        return t_.usage().groupBy("model").agg(F.count("*").alias("records"), F.sum("cost_micros").alias("cost_micros")).withColumn("scans", F.lit("2"))
+
+    add("str_01_02_log_stream", streamed, by_model.format(2))
+    add("fn_03_split_cached", lambda s, d: unpriced(s, d).select("fingerprint", *[c.alias(n) for c, n in zip(tokens.split_cached(F.col("input_tokens"), F.col("cache_read_tokens") * 2), ("fresh", "cached"))]),
+        "SELECT fingerprint, input_tokens - least(input_tokens, cache_read_tokens * 2) AS fresh, least(input_tokens, cache_read_tokens * 2) AS cached FROM raw")
+    add("fn_06_workspace", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", tokens.workspace_name(F.concat(F.lit("file:///w/"), F.col("page_id"), F.lit("-x"))).alias("name")),
+        "SELECT page_id, concat(page_id, '-x') AS name FROM pages", "")
+    add("fn_08_trae_model", lambda s, d: unpriced(s, d).select("model").distinct().select("model", tokens.trae_model(F.concat(F.lit(" "), "model", F.lit("-X "))).alias("name")), "SELECT DISTINCT model, lower(concat(model, '-X')) AS name FROM raw")
+
+
+for register in (_rollups, _filters, _series, _metrics_and_prices, _storage, _streams, _raw_logs, _sources, _embedded, _more_logs):
     register()

@@ -2,7 +2,8 @@
 
 A root is (folder, label); the label goes before the relative path and so into every key. Files are
 kept whole in one row until their lines are numbered, which the size cap makes safe; a missing root is
-an empty result, and files over the cap are reported by `oversized`.
+an empty result. Files over the cap, and those that can't be unpacked or opened, are reported by `errors`; a scan
+goes on without them. `Roots` restricts a scan to files that changed.
 """
 
 from __future__ import annotations
@@ -22,6 +23,14 @@ MAX_DEPTH = 8
 Root = tuple[str, str | None]
 
 
+class Roots(list):
+    """Roots of which only the files of `only` (rel) are read; a plain list is read whole."""
+
+    def __init__(self, roots: list[Root], only: DataFrame | None = None):
+        super().__init__(roots)
+        self.only = only
+
+
 def _exists(spark: SparkSession, folder: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -51,7 +60,8 @@ def _scan(spark: SparkSession, roots: list[Root], kind: str, pattern: str, depth
         parts.append(df)
     if not parts:
         return spark.createDataFrame([], "rel string, label string, size bigint, mtime timestamp" + schema)
-    return reduce(DataFrame.unionByName, parts)
+    found, only = reduce(DataFrame.unionByName, parts), getattr(roots, "only", None)
+    return found if only is None else found.join(only.select("rel"), "rel", "left_semi").select(found.columns)
 
 
 def listing(spark: SparkSession, provider: str, roots: list[Root], pattern: str = r"(?i)\.jsonl$", depth: int = MAX_DEPTH) -> DataFrame:
@@ -66,11 +76,22 @@ def snapshot(files: DataFrame) -> DataFrame:
 
 
 def oversized(spark: SparkSession, provider: str, roots: list[Root], pattern: str = r"(?i)\.jsonl$", depth: int = MAX_DEPTH) -> DataFrame:
-    """The error channel: provider, rel, message of files that aren't read."""
+    """provider, rel, message of files that aren't read for their size."""
     files = _scan(spark, roots, "binaryFile", pattern, depth, [], "", over=True)
     return files.select(F.lit(provider).alias("provider"), "rel", F.concat(F.lit("file too large: "), F.col("size"), F.lit(" bytes")).alias("message"))
 
 
+def contents(spark: SparkSession, roots: list[Root], pattern: str, depth: int = MAX_DEPTH) -> DataFrame:
+    """rel, label, content of whole files."""
+    return _scan(spark, roots, "binaryFile", pattern, depth, [F.col("content")], ", content binary").select("rel", "label", "content")
+
+
+def errors(spark: SparkSession, provider: str, roots: list[Root], pattern: str = r"(?i)\.jsonl$", depth: int = MAX_DEPTH) -> DataFrame:
+    """The error channel: provider, rel, message of files that are too large, or can't be unpacked or opened."""
+    bad = unreadable(contents(spark, roots, rf"(?=.*\.(db|vscdb|zstd)$){pattern}", depth), provider)
+    return oversized(spark, provider, roots, pattern, depth).union(bad)
+
+
 def number_lines(files: DataFrame, text: str = "value") -> DataFrame:
     """rel, line_idx (from 0), line, raw_bytes."""
     lines = files.select("rel", F.posexplode(F.split(F.make_valid_utf8(text), "\n")).alias("line_idx", "line"))
@@ -78,10 +99,9 @@ def number_lines(files: DataFrame, text: str = "value") -> DataFrame:
     return lines.withColumn("raw_bytes", F.octet_length("line").cast("long")).where(F.trim("line") != "")
 
 
-def json_lines(spark: SparkSession, roots: list[Root], pattern: str = r"(?i)\.jsonl$", depth: int = MAX_DEPTH, only: DataFrame | None = None) -> DataFrame:
-    """Numbered lines of text files; with `only`, of the files it lists (rel)."""
-    files = _scan(spark, roots, "text", pattern, depth, [F.col("value")], ", value string")
-    return number_lines(files if only is None else files.join(only.select("rel"), "rel", "left_semi"))
+def json_lines(spark: SparkSession, roots: list[Root], pattern: str = r"(?i)\.jsonl$", depth: int = MAX_DEPTH) -> DataFrame:
+    """Numbered lines of text files."""
+    return number_lines(_scan(spark, roots, "text", pattern, depth, [F.col("value")], ", value string"))
 
 
 def documents(spark: SparkSession, roots: list[Root], pattern: str = r"\.json$", depth: int = MAX_DEPTH) -> DataFrame:
@@ -89,42 +109,76 @@ def documents(spark: SparkSession, roots: list[Root], pattern: str = r"\.json$",
     return _scan(spark, roots, "text", pattern, depth, [F.col("value").alias("doc")], ", doc string")
 
 
-def compressed_lines(spark: SparkSession, roots: list[Root], pattern: str = r"(?i)\.jsonl(\.zstd)?$", depth: int = MAX_DEPTH) -> DataFrame:
-    """Numbered lines of plain or zstd-compressed files, one file at a time in a task."""
-    files = _scan(spark, roots, "binaryFile", pattern, depth, [F.col("content")], ", content binary")
+def _unpack(rel: str, raw: bytes) -> bytes:
+    return pa.CompressedInputStream(pa.BufferReader(raw), "zstd").read() if rel.lower().endswith(".zstd") else raw
+
+
+def _open(raw: bytes) -> sqlite3.Connection:
+    """A connection to the bytes of a database file; raises sqlite3.Error if they are none."""
+    raw = bytearray(raw)
+    if raw[18:20] == b"\x02\x02":
+        raw[18:20] = b"\x01\x01"  # write-ahead mode: read the file alone
+    db = sqlite3.connect(":memory:")
+    try:
+        db.deserialize(bytes(raw))
+        db.execute("SELECT count(*) FROM sqlite_master")
+    except (sqlite3.Error, ValueError, OverflowError) as x:
+        db.close()
+        raise sqlite3.DatabaseError(str(x)) from x
+    return db
+
+
+def unreadable(files: DataFrame, provider: str) -> DataFrame:
+    """provider, rel, message of compressed files and databases (rel, content) that can't be read."""
+
+    def look(batches):
+        for batch in batches:
+            bad = []
+            for rel, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    _unpack(rel, raw) if rel.lower().endswith(".zstd") else _open(raw).close()
+                except (OSError, pa.ArrowInvalid, sqlite3.Error) as x:
+                    bad.append((rel, f"unreadable: {x}"))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in bad], pa.string()), pa.array([x[1] for x in bad], pa.string())], names=["rel", "message"])
+
+    found = files.select("rel", "content").mapInArrow(look, "rel string, message string")
+    return found.select(F.lit(provider).alias("provider"), "rel", "message")
+
+
+def compressed_lines(spark: SparkSession, roots: list[Root], pattern: str = r"(?i)\.jsonl(\.zstd)?$", depth: int = MAX_DEPTH, files: DataFrame | None = None) -> DataFrame:
+    """Numbered lines of plain or zstd-compressed files (rel, content), one file at a time in a task; those that can't be unpacked give none."""
+    files = contents(spark, roots, pattern, depth) if files is None else files
 
     def unpack(batches):
         for batch in batches:
             for rel, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if rel.lower().endswith(".zstd"):
-                    try:
-                        raw = pa.CompressedInputStream(pa.BufferReader(raw), "zstd").read()
-                    except (OSError, pa.ArrowInvalid):
-                        continue
-                yield pa.RecordBatch.from_arrays([pa.array([rel]), pa.array([raw.decode("utf-8", "replace")], pa.string())], names=["rel", "value"])
+                try:
+                    text = _unpack(rel, raw).decode("utf-8", "replace")
+                except (OSError, pa.ArrowInvalid):
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([rel]), pa.array([text], pa.string())], names=["rel", "value"])
 
     return number_lines(files.select("rel", "content").mapInArrow(unpack, "rel string, value string"))
 
 
-def database_rows(spark: SparkSession, roots: list[Root], pattern: str, sql: str, schema: str, depth: int = MAX_DEPTH) -> DataFrame:
-    """rel, label and the rows of a query on each SQLite file (checkpointed copies: no -wal is read).
+def database_rows(spark: SparkSession, roots: list[Root], pattern: str, sql: str, schema: str, depth: int = MAX_DEPTH, files: DataFrame | None = None) -> DataFrame:
+    """rel, label and the rows of a query on each SQLite file (rel, label, content; checkpointed copies: no -wal is read).
 
     Files that aren't databases, or lack the tables or columns, give no rows.
     """
-    files = _scan(spark, roots, "binaryFile", pattern, depth, [F.col("content")], ", content binary")
+    files = contents(spark, roots, pattern, depth) if files is None else files
     names = [c.strip().split()[0] for c in schema.split(",")]
 
     def read(frames):
         for frame in frames:
             for rel, label, raw in zip(frame.rel, frame.label, frame.content):
-                raw = bytearray(raw)
-                if raw[18:20] == b"\x02\x02":
-                    raw[18:20] = b"\x01\x01"  # write-ahead mode: read the file alone
-                db = sqlite3.connect(":memory:")
                 try:
-                    db.deserialize(bytes(raw))
+                    db = _open(raw)
+                except sqlite3.Error:
+                    continue
+                try:
                     rows = db.execute(sql).fetchall()
-                except (sqlite3.Error, ValueError):
+                except sqlite3.Error:
                     continue
                 finally:
                     db.close()

@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from ..functions import calendar
 from ..functions.tokens import count, fresh_input, from_millis, from_rfc3339, from_seconds, launch_project, leaf, project_of, split_cached, total_tokens, trae_model, workspace_name
 from ..schema import USAGE
-from .files import Root, compressed_lines, database_rows, documents, json_lines
+from .files import MAX_DEPTH, Root, compressed_lines, database_rows, documents, json_lines
 from .wire import generation, workspace_uri
 
+#: Files of the desktop tool's requests, and of the ledger of sessions.
+DESKTOP, LEDGER = r"[^/]+/[^/]+/index\.json$", r"workbuddy\.db$"
 COLUMNS = [c.strip().split()[0] for c in USAGE.split(",")]
 _JSON = {"columnNameOfCorruptRecord": "_corrupt"}
 
@@ -114,9 +116,10 @@ def codebuddy(spark: SparkSession, roots: list[Root], run_ts: datetime, lines: D
     )
 
 
-def codebuddy_desktop(spark: SparkSession, roots: list[Root], run_ts: datetime, folders: DataFrame | None = None) -> DataFrame:
+def codebuddy_desktop(spark: SparkSession, roots: list[Root], run_ts: datetime, folders: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
     """Requests of <workspace>/<conversation>/index.json; `folders` (conversation, cwd) names projects."""
-    docs = documents(spark, roots, r"[^/]+/[^/]+/(index\.json|messages/[^/]+\.json)$", depth=12)
+    if docs is None:  # messages are looked up in all files, changed or not
+        docs = documents(spark, roots, DESKTOP, depth=12).unionByName(documents(spark, list(roots), r"[^/]+/[^/]+/messages/[^/]+\.json$", depth=12))
     at = r"([^/]+)/([^/]+)/(?:index\.json|messages/[^/]+\.json)$"
     docs = docs.withColumns({"ws": F.regexp_extract("rel", at, 1), "conv": F.regexp_extract("rel", at, 2)})
     req = "struct<id: string, startedAt: bigint, usage: struct<inputTokens: bigint, outputTokens: bigint, cacheTokens: bigint, cachedWriteTokens: bigint>>"
@@ -137,9 +140,9 @@ def codebuddy_desktop(spark: SparkSession, roots: list[Root], run_ts: datetime,
     )
 
 
-def conversation_folders(spark: SparkSession, roots: list[Root]) -> DataFrame:
+def conversation_folders(spark: SparkSession, roots: list[Root], stores: DataFrame | None = None) -> DataFrame:
     """(conv, cwd) from the key-value table of the desktop tool."""
-    kv = database_rows(spark, roots, r"\.vscdb$", "SELECT CAST(key AS TEXT), CAST(value AS TEXT) FROM ItemTable", "key string, value string")
+    kv = database_rows(spark, list(roots), r"\.vscdb$", "SELECT CAST(key AS TEXT), CAST(value AS TEXT) FROM ItemTable", "key string, value string", files=stores)
     kv = kv.where(F.col("key").startswith("session:")).select(F.substring_index("key", ":", -1).alias("conv"), F.get_json_object("value", "$.cwd").alias("cwd"))
     return kv.where("cwd is not null").groupBy("conv").agg(F.min("cwd").alias("cwd"))
 
@@ -168,10 +171,10 @@ def workbuddy(spark: SparkSession, roots: list[Root], run_ts: datetime, lines: D
     )
 
 
-def workbuddy_ledger(spark: SparkSession, roots: list[Root], run_ts: datetime, covered: DataFrame) -> DataFrame:
+def workbuddy_ledger(spark: SparkSession, roots: list[Root], run_ts: datetime, covered: DataFrame, stores: DataFrame | None = None) -> DataFrame:
     """Session totals of the ledger for sessions that `covered` (session_id of all stored rows) lacks."""
     sql = "SELECT s.id, s.cwd, s.model, s.created_at, u.used FROM session_usage u JOIN sessions s ON u.session_id = s.id WHERE u.used > 0"
-    rows = database_rows(spark, roots, r"workbuddy\.db$", sql, "id string, cwd string, model string, created_at long, used long")
+    rows = database_rows(spark, roots, LEDGER, sql, "id string, cwd string, model string, created_at long, used long", files=stores)
     rows = rows.join(covered.select(F.col("session_id").alias("id")).distinct(), "id", "left_anti")
     return finish(
         rows, "workbuddy", run_ts, project=launch_project(F.col("cwd")), session_id=F.col("id"), model=F.coalesce("model", F.lit("")), started_at=from_millis(F.col("created_at")),
@@ -198,16 +201,16 @@ def _messages(rows: DataFrame, provider: str, run_ts: datetime, store: str) -> D
 _MESSAGE_SQL = "SELECT CAST(id AS TEXT), session_id, time_created, data FROM message ORDER BY id"
 
 
-def opencode(spark: SparkSession, roots: list[Root], run_ts: datetime) -> DataFrame:
+def opencode(spark: SparkSession, roots: list[Root], run_ts: datetime, stores: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
     """Both stores and the older one-file-a-message layout; one key for a message in any of them."""
-    rows = database_rows(spark, roots, r"opencode(-stable)?\.db$", _MESSAGE_SQL, "id string, session_id string, time_created long, data string")
-    docs = documents(spark, roots, r"(^|/)storage/message/.*\.json$")
+    rows = database_rows(spark, roots, r"opencode(-stable)?\.db$", _MESSAGE_SQL, "id string, session_id string, time_created long, data string", files=stores)
+    docs = documents(spark, roots, r"(^|/)storage/message/.*\.json$") if docs is None else docs
     old = docs.select("rel", "label", F.coalesce(F.get_json_object("doc", "$.id"), stem(F.col("rel"))).alias("id"), F.lit(None).cast("string").alias("session_id"), F.lit(0).cast("long").alias("time_created"), F.col("doc").alias("data"))
     return _messages(rows.unionByName(old), "opencode", run_ts, "opencode.db")
 
 
-def qoder(spark: SparkSession, roots: list[Root], run_ts: datetime) -> DataFrame:
-    rows = database_rows(spark, roots, r"local\.db$", _MESSAGE_SQL, "id string, session_id string, time_created long, data string")
+def qoder(spark: SparkSession, roots: list[Root], run_ts: datetime, stores: DataFrame | None = None) -> DataFrame:
+    rows = database_rows(spark, roots, r"local\.db$", _MESSAGE_SQL, "id string, session_id string, time_created long, data string", files=stores)
     return _messages(rows, "qoder", run_ts, "local.db")
 
 
@@ -307,12 +310,13 @@ def pi(spark: SparkSession, roots: list[Root], run_ts: datetime, lines: DataFram
     )
 
 
-def antigravity(spark: SparkSession, roots: list[Root], run_ts: datetime) -> DataFrame:
+def antigravity(spark: SparkSession, roots: list[Root], run_ts: datetime, stores: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
     """Generation steps of conversation stores; model from the root's settings, project from the trajectory."""
-    steps = database_rows(spark, roots, r"conversations/[^/]+\.db$", "SELECT idx, metadata FROM steps WHERE step_type = 15 ORDER BY idx", "idx long, metadata binary")
-    blobs = database_rows(spark, roots, r"conversations/[^/]+\.db$", "SELECT data FROM trajectory_metadata_blob WHERE id = 'main' LIMIT 1", "data binary")
+    steps = database_rows(spark, roots, r"conversations/[^/]+\.db$", "SELECT idx, metadata FROM steps WHERE step_type = 15 ORDER BY idx", "idx long, metadata binary", files=stores)
+    blobs = database_rows(spark, roots, r"conversations/[^/]+\.db$", "SELECT data FROM trajectory_metadata_blob WHERE id = 'main' LIMIT 1", "data binary", files=stores)
     where = blobs.select("rel", workspace_name(workspace_uri("data")).alias("workspace"))
-    settings = documents(spark, roots, r"^([^/]+/)?settings\.json$").select(F.coalesce("label", F.lit("")).alias("root"), F.nullif(F.trim(F.get_json_object("doc", "$.model")), F.lit("")).alias("set_model"))
+    settings = documents(spark, list(roots), r"^([^/]+/)?settings\.json$") if docs is None else docs
+    settings = settings.select(F.coalesce("label", F.lit("")).alias("root"), F.nullif(F.trim(F.get_json_object("doc", "$.model")), F.lit("")).alias("set_model"))
     rows = steps.withColumn("g", generation("metadata")).where("g.seconds is not null").withColumn("root", F.coalesce("label", F.lit("")))
     rows = rows.join(where, "rel", "left").join(settings, "root", "left")
     fresh, read = split_cached(F.col("g.input"), F.col("g.cached"))
@@ -382,10 +386,27 @@ def trae(spark: SparkSession, roots: list[Root], run_ts: datetime, docs: DataFra
     )
 
 
+def all_codebuddy(spark: SparkSession, roots: list[Root], run_ts: datetime) -> DataFrame:
+    """Sessions of the command line and requests of the desktop tool."""
+    return codebuddy(spark, roots, run_ts).unionByName(codebuddy_desktop(spark, roots, run_ts, conversation_folders(spark, roots)))
+
+
+def all_workbuddy(spark: SparkSession, roots: list[Root], run_ts: datetime, stored: DataFrame | None = None) -> DataFrame:
+    """Sessions, and ledger totals of those that neither these nor `stored` rows (session_id) cover."""
+    rows = workbuddy(spark, roots, run_ts)
+    covered = rows.select("session_id")
+    return rows.unionByName(workbuddy_ledger(spark, roots, run_ts, covered if stored is None else covered.union(stored.select("session_id"))))
+
+
 JOBS: dict[str, Callable[[SparkSession, list[Root], datetime], DataFrame]] = {
-    "claude": claude, "codex": codex, "gemini": gemini, "antigravity": antigravity, "codebuddy": codebuddy, "workbuddy": workbuddy,
+    "claude": claude, "codex": codex, "gemini": gemini, "antigravity": antigravity, "codebuddy": all_codebuddy, "workbuddy": all_workbuddy,
     "opencode": opencode, "qoder": qoder, "openclaw": openclaw, "deepseek": deepseek, "pi": pi, "trae": trae,
 }
+#: Files whose change makes a tool's job run: pattern and depth.
+FILES = {p: (r"(?i)\.jsonl$", MAX_DEPTH) for p in JOBS} | {
+    "gemini": (r"(^|/)chats/.*\.json$", 6), "antigravity": (r"conversations/[^/]+\.db$", MAX_DEPTH), "codebuddy": (rf"(?i)(\.jsonl|{DESKTOP})$", 12), "workbuddy": (rf"(?i)(\.jsonl|{LEDGER})$", MAX_DEPTH),
+    "opencode": (r"opencode(-stable)?\.db$|(^|/)storage/message/.*\.json$", MAX_DEPTH), "qoder": (r"local\.db$", MAX_DEPTH), "deepseek": (r"(?i)\.jsonl(\.zstd)?$", MAX_DEPTH), "trae": (r"(^|/)sessions/[^/]+\.json$", MAX_DEPTH),
+}
 
 
 def scan_all(spark: SparkSession, roots: dict[str, list[Root]], run_ts: datetime, enabled: list[str] | None = None) -> DataFrame:

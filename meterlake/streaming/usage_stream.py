@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import calendar
+from ..functions.pricing import price
 from ..operators.aggregate import stats, with_total
 from ..operators.store import UsageStore
+from ..sources.files import number_lines
+
+Job = Callable[[SparkSession, list, datetime, DataFrame], DataFrame]
 
 FLOOR_SECONDS = 5
 DEFAULT_SECONDS = 300
@@ -39,6 +44,33 @@ def ingest(stream: DataFrame, store: UsageStore, checkpoint: str, make_batch: Ca
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger(seconds)).start()
 
 
+def log_files(spark: SparkSession, folder: str, suffix: str = r"\.jsonl$") -> DataFrame:
+    """A stream of whole log files: (rel, value), a row for each file that arrives."""
+    files = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(folder)
+    name = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    return files.select(F.substring_index(name, f"{folder.rstrip('/').rsplit('/', 1)[-1]}/", -1).alias("rel"), "value").where(F.col("rel").rlike(suffix))
+
+
+def ingest_logs(files: DataFrame, job: Job, store: UsageStore, checkpoint: str, run_ts: datetime, seconds: int | None = None) -> StreamingQuery:
+    """Files of a log stream through a tool's job, pricing and the deduplicated append, file by file as they arrive.
+
+    A file that is replaced under a new name is read again whole; what was stored of it is skipped.
+    """
+    make = lambda df: price(job(df.sparkSession, [], run_ts, number_lines(df)))
+    return ingest(files, store, checkpoint, make, seconds)
+
+
+def rollup_table(stream: DataFrame, path: str, checkpoint: str, *dims: str, seconds: int | None = None) -> StreamingQuery:
+    """The daily rollup kept as Parquet: each run writes the whole of it under its batch number; `latest` reads the newest."""
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n:012d}")
+    return daily_rollup(stream, *dims).writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(**trigger(seconds)).start()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
+
+
 def bounded_dedup(stream: DataFrame, late: str) -> DataFrame:
     """Duplicates within a time bound only, with state that is dropped after it."""
     s = stream.withColumn("at", F.to_timestamp(F.date_format("started_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
