@@ -92,6 +92,25 @@ def test_components(spark):
     assert connected_components(e.limit(0)).count() == 0
 
 
+def test_components_with_hubs(spark):
+    """Stars of hundreds of leaves, of which some share leaves or hang on chains, against union-find."""
+    r = random.Random(4)
+    edges = [(hub, r.randrange(10_000, 14_000)) for hub in (3, 20_000, 12_345) for _ in range(400)]
+    edges += [(30_000 + k, 30_001 + k) for k in range(40)] + [(50_000, r.randrange(50_001, 60_000)) for _ in range(500)] + [(50_000, 30_040)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    e = spark.createDataFrame([x if r.random() < 0.5 else x[::-1] for x in edges], "a long, b long")
+    assert {x.node: x.component for x in connected_components(e).collect()} == {x: find(x) for x in list(parent)}
+
+
 def test_mixing(spark, texts):
     sources = ["a", "b", None, "c", "b", "b"]
     docs = make(spark, texts, sources)
