@@ -222,6 +222,24 @@ def test_long_text_fingerprint_and_toxicity_on_empty_tables(spark):
     assert toxicity.score_documents(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
+@pytest.mark.parametrize("per", [3, 10, 2000])
+def test_fingerprints_of_hot_ids(spark, monkeypatch, per):
+    """Missing and repeated ids, equal rows, ranges cut by value: each row meets the next in order of id, hash and text."""
+    monkeypatch.setattr(fingerprints, "RANGES", 8)
+    rng = random.Random(12)
+    texts = [" ".join(words(rng, rng.randrange(30), 900)) for _ in range(160)] + ["the same"] * 40 + [None, "", ""]
+    ids = [*range(0, 600, 10), *([77] * 50), *([None] * 50), *([None] * 30), *([5] * 10), 77, None, (1 << 62) + 3]
+    docs = make(spark, texts, ids=ids)
+    rows = sorted(((r.doc_id is None, -(r.doc_id or 0), r.h, r.t, r.doc_id) for r in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()), key=lambda x: x[:4])
+    want = []
+    for (*_, t, i), (*_, after, _) in zip(rows, rows[1:] + rows[:1]):
+        tree, edited = fingerprints.Fingerprint.of(t), t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        changed = fingerprints.Fingerprint.of(edited)
+        want.append((-1 if i is None else i, len(t), hashlib.sha256(edited.encode()).hexdigest(), str(tree), str(changed), tree.likeness(changed), tree.likeness(fingerprints.Fingerprint.of(after))))
+    got = [(-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in fingerprints.fingerprints(docs, per).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     import public_tokenizers as P
