@@ -87,6 +87,8 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], by: str, salts
 # --------------------------------------------------------------------------- bytes in numpy
 
 U64 = np.uint64
+#: Bytes whose words are hashed at once.
+CHUNK = 1 << 20
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _INV = U64(pow(int(_BASE), -1, 1 << 64))
 _pow = np.ones(1, U64)
@@ -158,15 +160,20 @@ class Words:
         self.start = np.flatnonzero(here & ~before)
         self.end = np.flatnonzero(here & ~after) + 1
         self.first = np.searchsorted(self.start, bounds)  # words of text k: first[k]..first[k + 1]
-        p, ip = _powers(n + 1)
-        s = np.zeros(n + 1, U64)
-        np.cumsum((LOWER[buf].astype(U64) + U64(1)) * p[:n], out=s[1:])
-        size = (self.end - self.start).astype(U64)
-        self.hash = mix((s[self.end] - s[self.start]) * ip[self.start] + size)
-        self.prefix = {}
-        for k in prefixes:
-            end = np.minimum(self.start + k, self.end)
-            self.prefix[k] = mix((s[end] - s[self.start]) * ip[self.start] + U64(k << 40))
+        self.hash = np.zeros(len(self.start), U64)
+        self.prefix = {k: np.zeros(len(self.start), U64) for k in prefixes}
+        a = 0
+        while a < len(self.start):  # some `CHUNK` bytes of words at once, so that a long text costs little more than itself
+            b = max(a + 1, int(np.searchsorted(self.end, self.start[a] + CHUNK, "right")))
+            start, end = self.start[a:b] - self.start[a], self.end[a:b] - self.start[a]
+            n = int(end[-1])
+            p, ip = _powers(n + 1)
+            s = np.zeros(n + 1, U64)
+            np.cumsum((LOWER[buf[self.start[a] : self.end[b - 1]]].astype(U64) + U64(1)) * p[:n], out=s[1:])
+            self.hash[a:b] = mix((s[end] - s[start]) * ip[start] + (end - start).astype(U64))
+            for k, out in self.prefix.items():
+                out[a:b] = mix((s[np.minimum(start + k, end)] - s[start]) * ip[start] + U64(k << 40))
+            a = b
 
     @property
     def counts(self) -> np.ndarray:

@@ -8,10 +8,11 @@ import re
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.llm import bpe, fingerprints, hnsw, jaccard_join, licenses, line_dedup, mixing, personal_data, secrets, toxicity
+from meterlake.llm import bpe, common, fingerprints, hnsw, jaccard_join, licenses, line_dedup, mixing, personal_data, secrets, toxicity
 
 from .test_llm import components, make, shingles, words
 
@@ -240,6 +241,19 @@ def test_fingerprints_of_hot_ids(spark, monkeypatch, per):
     assert sorted(got) == sorted(want)
 
 
+def test_words_in_chunks_hash_alike(monkeypatch):
+    """Words of long texts are hashed a chunk at a time, a word longer than a chunk by itself: hashes don't depend on it."""
+    rng = random.Random(13)
+    texts = ["", " ", "Zz" * 400, *(" ".join(words(rng, n)) + " " * (n % 3) for n in (1, 4, 5, 300, 2000)), "é" * 90 + " \tend", None]
+    offsets, data = common.text_buffers(pa.array(texts))
+    whole = common.Words(offsets, data, 0, len(texts), ~common.SPACE, (2, 4))
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(common, "CHUNK", size)
+        w = common.Words(offsets, data, 0, len(texts), ~common.SPACE, (2, 4))
+        assert (w.hash == whole.hash).all() and all((w.prefix[k] == whole.prefix[k]).all() for k in (2, 4))
+    assert len(set(whole.hash.tolist())) == len({x for t in texts if t for x in t.lower().split()})
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     import public_tokenizers as P
