@@ -101,10 +101,10 @@ def scan(functions: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[carry[None], p].T.reshape(-1)[:n]
 
 
-def symbols(points: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Index in SYMBOLS of each code point. `first`: it begins a text; also True behind the last."""
+def symbols(points: np.ndarray, first: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Index in SYMBOLS of each code point. `first`: it begins a text; also True behind the last. `kinds`: class of every code point."""
     n = len(points)
-    kind = classes()[points]
+    kind = kinds[points]
     p = np.concatenate([points, np.zeros(3, points.dtype)])
     open1, open2 = ~first[1 : n + 1], ~(first[1 : n + 1] | first[2 : n + 2])  # the next one or two belong to the text
     one, two = p[1 : n + 1], p[2 : n + 2]
@@ -122,14 +122,14 @@ def symbols(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def boundaries(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """True where a slice begins. `points`: code points of texts laid end to end; `starts`: first of each."""
+def boundaries(points: np.ndarray, starts: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
+    """True where a slice begins. `points`: code points of texts laid end to end; `starts`: first of each; `kinds`: other classes than `classes`."""
     n = len(points)
     first = np.zeros(n + 3, bool)
     first[starts[starts < n]] = True
     first[n:] = True
     table, functions, at_start, cuts = automaton()
-    symbol = symbols(points, first)
+    symbol = symbols(points, first, classes() if kinds is None else kinds)
     state = at_start[scan(functions[symbol + len(SYMBOLS) * first[:n]], table)]
     before = np.concatenate([[START], state[:-1]])
     before[first[:n]] = START

@@ -7,7 +7,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, hnsw, jaccard_join, licenses, line_dedup, mixing, personal_data, secrets, toxicity
+from . import bpe, fingerprints, hnsw, jaccard_join, licenses, line_dedup, mixing, pair_bpe, personal_data, secrets, toxicity
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.vocabulary())
 
 
+def op13_pair_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_bpe.encode_documents(table(spark, sf_dir, "documents"), pair_bpe.vocabulary())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_pair_bpe": op13_pair_bpe,
     "pipeline": pipeline,
 }
 
