@@ -7,7 +7,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, hnsw, jaccard_join, licenses, line_dedup, mixing, pair_bpe, personal_data, secrets, toxicity
+from . import bpe, fingerprints, hard_negatives, hnsw, jaccard_join, licenses, line_dedup, mixing, pair_bpe, personal_data, secrets, toxicity
 from .common import table
 
 
@@ -56,6 +56,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.vocabulary())
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", label=label)
+
+
 def op13_pair_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_bpe.encode_documents(table(spark, sf_dir, "documents"), pair_bpe.vocabulary())
 
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_pair_bpe": op13_pair_bpe,
     "pipeline": pipeline,
 }
@@ -98,4 +104,4 @@ SELECT s.doc_id, s.n AS n_shingles, least(s.doc_id, coalesce(l.m, s.doc_id)) AS
 FROM sizes s LEFT JOIN least l ON l.a = s.doc_id
 """
 
-ORACLES = {"op3_ngram_jaccard_join": JACCARD, "op9_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op3_ngram_jaccard_join": JACCARD, "op9_line_dedup": line_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
