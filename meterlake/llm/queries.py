@@ -7,7 +7,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, hard_negatives, hnsw, jaccard_join, licenses, line_dedup, mixing, pair_bpe, personal_data, secrets, toxicity
+from . import bpe, collocations, fingerprints, hard_negatives, hnsw, jaccard_join, licenses, line_dedup, mixing, pair_bpe, personal_data, secrets, toxicity
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", label=label)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_pair_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_bpe.encode_documents(table(spark, sf_dir, "documents"), pair_bpe.vocabulary())
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_collocations": op12_collocations,
     "op13_pair_bpe": op13_pair_bpe,
     "pipeline": pipeline,
 }
@@ -104,4 +109,4 @@ SELECT s.doc_id, s.n AS n_shingles, least(s.doc_id, coalesce(l.m, s.doc_id)) AS
 FROM sizes s LEFT JOIN least l ON l.a = s.doc_id
 """
 
-ORACLES = {"op3_ngram_jaccard_join": JACCARD, "op9_line_dedup": line_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
+ORACLES = {"op3_ngram_jaccard_join": JACCARD, "op9_line_dedup": line_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_collocations": collocations.ORACLE}
