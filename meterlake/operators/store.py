@@ -1,9 +1,7 @@
-"""The stored usage table: Parquet by provider and day, appended without duplicates, with scan state."""
+"""The stored usage table: Parquet by provider and day, appended without duplicates, with scan state, changed by whole versions."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,21 +9,27 @@ from pyspark.sql import functions as F
 from ..functions import calendar
 from ..functions.pricing import price
 from ..schema import USAGE
+from . import keys
+from .versions import Conflict, Versions
 
 KEY = ("provider", "fingerprint")
 COLUMNS = [c.strip().split()[0] for c in USAGE.split(",")]
-#: Parts of a provider's keys; a batch reads those that its keys fall in. Large stores take more, from their start on.
-BUCKETS = 16
+#: Columns that say which of equal keys is first; `ord`, where a batch has it, is a row's place in its sources.
+ORDER = ("ord", "started_at", "session_id")
+#: Keys that a bucket of a new store holds on average before buckets are split; a store keeps the number it began with.
+CAPACITY = 1 << 16
+#: Times that a change is made anew if another writer was first.
+TRIES = 3
 
 
-def first_of_each(batch: DataFrame, key: tuple[str, ...] = KEY, order: tuple[str, ...] = ("started_at", "session_id")) -> DataFrame:
+def first_of_each(batch: DataFrame, key: tuple[str, ...] = KEY, order: tuple[str, ...] = ORDER) -> DataFrame:
     """One row a fingerprint: the first by `order` columns that the batch has, then by all others."""
     rest = [c for c in batch.columns if c not in (*key, *order)]
     w = Window.partitionBy(*key).orderBy(*[c for c in order if c in batch.columns], *rest)
     return batch.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
-def new_rows(batch: DataFrame, stored: DataFrame, global_key: bool = False, order: tuple[str, ...] = ("started_at", "session_id")) -> DataFrame:
+def new_rows(batch: DataFrame, stored: DataFrame, global_key: bool = False, order: tuple[str, ...] = ORDER) -> DataFrame:
     """Rows of the batch whose fingerprint isn't stored; first writer wins, inside the batch too."""
     key = ("fingerprint",) if global_key else KEY
     return first_of_each(batch, key, order).join(stored.select(*key), list(key), "left_anti").select(batch.columns)
@@ -41,94 +45,107 @@ def projects(usage: DataFrame) -> DataFrame:
 
 
 class UsageStore:
-    """A folder with `usage` (by provider and day), its `keys` (by provider and hash), `file_state`, `scan_log` and `scan_errors`.
+    """A folder with `usage` (by provider and day), its keys, `file_state`, `scan_log` and `scan_errors`.
 
-    A batch is written in that order, so a crash between writes is made good by the next scan: a `pending` mark stands while
-    usage and keys may differ, and the next append makes the keys anew if it finds one. An append reads the keys of
-    the hash buckets that its batch touches, not the history.
+    Each change is one version: a scan's rows, keys, file states, errors and log appear together or not at all, and so do a
+    deletion and a new pricing. What a cut-off change has written is never read; `vacuum` removes it. An append reads the key
+    files that may hold its keys, not the history. A writer that finds another was first makes its change anew on the other's version.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, capacity: int = CAPACITY):
         self.spark, self.path = spark, path.rstrip("/")
-        self.bucket = lambda: F.pmod(F.xxhash64("fingerprint"), F.lit(buckets)).cast("int")
-
-    def _at(self, name: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _exists(self, name: str) -> bool:
-        p, fs = self._at(name)
-        return fs.exists(p)
-
-    def _delete(self, name: str) -> None:
-        p, fs = self._at(name)
-        fs.delete(p, True)
+        self.table, self.capacity = Versions(spark, path), capacity
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], schema)
+        return self.table.read(self.table.state(), name, schema)
 
     def usage(self) -> DataFrame:
         return self._read("usage", USAGE + ", day date")
 
     def file_state(self) -> DataFrame:
-        return self._read("file_state", "provider string, rel string, mtime timestamp, size bigint, scan_id bigint")
+        return self._read("file_state", "rel string, mtime timestamp, size bigint, scan_id bigint, provider string").select("provider", "rel", "mtime", "size", "scan_id")
 
     def scan_log(self) -> DataFrame:
-        return self._read("scan_log", "provider string, scan_id bigint, found bigint, inserted bigint, skipped bigint, fingerprint string, pricing_version string")
+        names = ("provider", "scan_id", "found", "inserted", "skipped", "fingerprint", "pricing_version")
+        return self._read("scan_log", "scan_id bigint, found bigint, inserted bigint, skipped bigint, fingerprint string, pricing_version string, provider string").select(*names)
 
     def scan_errors(self) -> DataFrame:
-        return self._read("scan_errors", "provider string, rel string, message string, scan_id bigint")
+        return self._read("scan_errors", "rel string, message string, scan_id bigint, provider string").select("provider", "rel", "message", "scan_id")
+
+    def version(self) -> int:
+        return self.table.state()["version"]
 
     def pricing_version(self) -> str:
         """Version of the prices that the stored costs follow."""
-        top = self._read("pricing", "version string, at bigint").orderBy(F.desc("at")).first()
-        return top.version if top else "1"
+        return self.table.state().get("pricing", "1")
+
+    def next_scan(self) -> int:
+        """A scan number above all logged ones, for scans and streams that share a store."""
+        return (self.scan_log().agg(F.max("scan_id")).first()[0] or 0) + 1
 
-    def keys(self, batch: DataFrame | None = None) -> DataFrame:
-        """Stored keys; of a batch only the buckets that it touches (their few numbers come to the driver)."""
-        found = self._read("keys", "fingerprint string, provider string, bucket int")
-        if batch is None:
-            return found
-        return found.where(F.col("bucket").isin([r[0] for r in batch.select(self.bucket()).distinct().collect()]))
+    def keys(self, batch: DataFrame | None = None, global_key: bool = False) -> DataFrame:
+        """Stored (fingerprint, provider, bucket); for a batch those of the files that may hold its keys."""
+        return keys.read(self.table, self.key_folders(batch, global_key))
+
+    def key_folders(self, batch: DataFrame | None = None, global_key: bool = False, state: dict | None = None) -> list[str]:
+        state = state or self.table.state()
+        return keys.paths(self.table, state, keys.files(self.table, state) if batch is None else keys.asked_files(self.table, state, batch, global_key))
+
+    def _changed(self, make) -> dict:
+        """What `make(state)` gives, which writes and commits; anew if another writer was first."""
+        for last in (*[False] * (TRIES - 1), True):
+            try:
+                return make(self.table.state())
+            except Conflict:
+                if last:
+                    raise
 
     def insert(self, rows: DataFrame) -> int:
         """Plain append; refuses fingerprints that are stored already or repeat."""
         rows = rows.select(COLUMNS)
-        self._heal()
-        if not duplicates(rows).isEmpty() or not rows.join(self.keys(rows), list(KEY), "left_semi").isEmpty():
-            raise ValueError("fingerprint exists already")
-        n = rows.count()
-        self._append(rows)
-        return n
-
-    def _heal(self) -> None:
-        if self._exists("pending"):
-            self._delete("keys")
-            self._write_keys(self.usage())
-            self._delete("pending")
-
-    def _write_keys(self, rows: DataFrame) -> None:
-        dealt = rows.select("fingerprint", "provider", self.bucket().alias("bucket")).hint("rebalance", "provider", "bucket")
-        dealt.write.mode("append").partitionBy("provider", "bucket").parquet(f"{self.path}/keys")
-
-    def _append(self, rows: DataFrame) -> None:
-        p, fs = self._at("pending")
-        fs.create(p, True).close()
-        by_day = rows.withColumn("day", calendar.day("started_at")).hint("rebalance", "provider", "day")
-        by_day.write.mode("append").partitionBy("provider", "day").parquet(f"{self.path}/usage")
-        self._write_keys(rows)
-        self._delete("pending")
 
-    def append(
-        self, batch: DataFrame, files: DataFrame | None = None, scan_id: int = 0, global_key: bool = False, fingerprints: DataFrame | None = None, errors: DataFrame | None = None
-    ) -> dict[str, int]:
-        """Deduplicated append of a priced batch; then file states and errors, then the log by provider. Returns the totals.
+        def make(state: dict) -> int:
+            stored = keys.read(self.table, self.key_folders(rows, state=state))
+            if not duplicates(rows).isEmpty() or not rows.join(stored, list(KEY), "left_semi").isEmpty():
+                raise ValueError("fingerprint exists already")
+            added = {r.provider: r["count"] for r in rows.groupBy("provider").count().collect()}  # one row a provider
+            if added:
+                self.table.commit(state, **self._with_rows(state, rows, added))
+            return sum(added.values())
+
+        return self._changed(make)
+
+    def _with_rows(self, state: dict, rows: DataFrame, added: dict[str, int]) -> dict:
+        """Writes rows and their keys aside; what the record has to say of them."""
+        capacity = state.get("capacity", self.capacity)
+        by_day = rows.select(COLUMNS).withColumn("day", calendar.day("started_at")).hint("rebalance", "provider", "day")
+        entry = self.table.write("usage", by_day, "day")
+        in_keys, in_files, layout = keys.add(self.table, state, rows, added, capacity)
+        tables = state["tables"]
+        more = {n: [*tables.get(n, []), e] for n, e in (("usage", entry), ("keys", in_keys), ("key_files", in_files))}
+        return {"tables": tables | more, "layout": layout, "capacity": capacity}
 
-        `fingerprints` (provider, fingerprint) are the states of the sources, for the log.
+    def append(
+        self, batch: DataFrame, files: DataFrame | None = None, scan_id: int = 0, global_key: bool = False, fingerprints: DataFrame | None = None, errors: DataFrame | None = None,
+        order: tuple[str, ...] = ORDER, stream: tuple[str, int] | None = None,
+    ) -> dict[str, int]:
+        """Deduplicated append of a priced batch with file states, errors and the log by provider, in one version. Returns the totals.
+
+        Of rows that share a key the first by `order` counts.
+        `fingerprints` (provider, fingerprint) are the states of the sources, for the log. `stream` (name, batch number): a batch that is
+        not newer than the last one stored of that stream is a replay and changes nothing.
         """
-        self._heal()
-        batch = batch.select(COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
-        fresh = new_rows(batch, self.keys(batch), global_key).persist(StorageLevel.MEMORY_AND_DISK)
+        batch = batch.select(*COLUMNS, *[c for c in ("ord",) if c in batch.columns]).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._changed(lambda state: self._appended(state, batch, files, scan_id, global_key, fingerprints, errors, order, stream))
+        finally:
+            batch.unpersist()
+
+    def _appended(self, state, batch, files, scan_id, global_key, fingerprints, errors, order, stream) -> dict[str, int]:
+        if stream and state.get("streams", {}).get(stream[0], -1) >= stream[1]:
+            return {"found": 0, "inserted": 0, "skipped": 0}
+        stored = keys.read(self.table, self.key_folders(batch, global_key, state))
+        fresh = new_rows(batch, stored, global_key, order).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             counts = batch.groupBy("provider").agg(F.count("*").alias("found")).join(fresh.groupBy("provider").agg(F.count("*").alias("inserted")), "provider", "left")
             if fingerprints is not None:
@@ -137,21 +154,40 @@ class UsageStore:
                 counts = counts.withColumn("fingerprint", F.lit(""))
             some = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("found", "inserted")]
             log = counts.select("provider", *some, F.coalesce("fingerprint", F.lit("")).alias("fingerprint")).collect()  # one row a provider
+            changes = {"tables": state["tables"]}
             if any(r.inserted for r in log):
-                self._append(fresh)
+                changes = self._with_rows(state, fresh, {r.provider: r.inserted for r in log if r.inserted})
+            number = F.lit(scan_id).cast("bigint").alias("scan_id")
+            noted = {}
             if files is not None:
-                files.select("provider", "rel", "mtime", "size", F.lit(scan_id).cast("bigint").alias("scan_id")).write.mode("append").parquet(f"{self.path}/file_state")
+                noted["file_state"] = files.select("provider", "rel", "mtime", "size", number)
             if errors is not None:
-                errors.select("provider", "rel", "message", F.lit(scan_id).cast("bigint").alias("scan_id")).write.mode("append").parquet(f"{self.path}/scan_errors")
-            version = self.pricing_version()
+                noted["scan_errors"] = errors.select("provider", "rel", "message", number)
+            version = state.get("pricing", "1")
             rows = [(r.provider, scan_id, r.found, r.inserted, r.found - r.inserted, r.fingerprint, version) for r in log]
-            self.spark.createDataFrame(rows, self.scan_log().schema).coalesce(1).write.mode("append").parquet(f"{self.path}/scan_log")
+            noted["scan_log"] = self.spark.createDataFrame(rows, self.scan_log().schema).coalesce(1)
+            for name, df in noted.items():
+                if (entry := self.table.write(name, df))["parts"]:
+                    changes["tables"] = changes["tables"] | {name: [*changes["tables"].get(name, []), entry]}
+            if stream:
+                changes["streams"] = state.get("streams", {}) | {stream[0]: stream[1]}
+            self._merge(self.table.commit(state, **changes))
         finally:
             fresh.unpersist()
-            batch.unpersist()
         found, inserted = sum(r.found for r in log), sum(r.inserted for r in log)
         return {"found": found, "inserted": inserted, "skipped": found - inserted}
 
+    def _merge(self, state: dict) -> None:
+        """Small writes that have piled up become larger ones; another writer's version puts that off."""
+        try:
+            state = self.table.merge_small(state, "usage", USAGE + ", day date", "day")
+            state = self.table.merge_small(state, "file_state", "rel string, mtime timestamp, size bigint, scan_id bigint, provider string")
+            state = self.table.merge_small(state, "scan_errors", "rel string, message string, scan_id bigint, provider string")
+            state = self.table.merge_small(state, "scan_log", "scan_id bigint, found bigint, inserted bigint, skipped bigint, fingerprint string, pricing_version string, provider string")
+            keys.merge(self.table, state)
+        except Conflict:
+            pass
+
     def last_fingerprints(self) -> DataFrame:
         """provider, fingerprint: the state of each provider's files at its last logged scan."""
         latest = self.scan_log().where("fingerprint <> ''").groupBy("provider").agg(F.max_by("fingerprint", "scan_id").alias("fingerprint"))
@@ -163,31 +199,26 @@ class UsageStore:
         known = self.file_state().withColumn("k", F.row_number().over(latest)).where("k = 1").select("provider", "rel", "mtime", "size")
         return listing.join(known, ["provider", "rel", "mtime", "size"], "left_anti")
 
-    def _swap(self, name: str, df: DataFrame, *by: str) -> None:
-        """A new version of a table, written whole and then renamed into place."""
-        new, old = f"{name}_new_{uuid.uuid4().hex[:8]}", f"{name}_old_{uuid.uuid4().hex[:8]}"
-        writer = df.write.partitionBy(*by) if by else df.write
-        writer.parquet(f"{self.path}/{new}")
-        here, fs = self._at(name)
-        fs.rename(here, self._at(old)[0])
-        fs.rename(self._at(new)[0], here)
-        self._delete(old)
-
     def reprice(self, version: str, prices: DataFrame | None = None) -> bool:
         """Costs of all history anew if `version` isn't the stored one; idempotent. True if it ran."""
-        if version == self.pricing_version():
-            return False
-        if self._exists("usage"):
-            dealt = price(self.usage().drop("day"), prices).withColumn("day", calendar.day("started_at")).hint("rebalance", "provider", "day")
-            self._swap("usage", dealt, "provider", "day")
-        order = F.unix_micros(F.current_timestamp()).alias("at")
-        self.spark.range(1).select(F.lit(version).alias("version"), order).coalesce(1).write.mode("append").parquet(f"{self.path}/pricing")
-        return True
+
+        def make(state: dict) -> bool:
+            if version == state.get("pricing", "1"):
+                return False
+            tables = state["tables"]
+            if tables.get("usage"):
+                rows = self.table.read(state, "usage", USAGE + ", day date").drop("day")
+                dealt = price(rows, prices).withColumn("day", calendar.day("started_at")).hint("rebalance", "provider", "day")
+                tables = tables | {"usage": [self.table.write("usage", dealt, "day") | {"tier": max(e["tier"] for e in tables["usage"])}]}
+            self.table.commit(state, tables=tables, pricing=version)
+            return True
+
+        return self._changed(make)
 
     def delete_provider(self, provider: str) -> None:
-        """Drop a provider's rows, keys and log, which are folders of their own or small; its files count as unseen again."""
-        self._delete(f"usage/provider={provider}")
-        self._delete(f"keys/provider={provider}")
-        for name, df in (("file_state", self.file_state()), ("scan_log", self.scan_log())):
-            if self._exists(name):
-                self._swap(name, df.where(F.col("provider") != provider))
+        """Drop a provider's rows, keys, file states and log, in one version that no longer names its folders; its files count as unseen again."""
+        self._changed(lambda state: self.table.commit(state, tables=Versions.without(state, provider), layout={p: x for p, x in state.get("layout", {}).items() if p != provider}))
+
+    def vacuum(self, keep: int = 2, older_than: float = 24 * 3600) -> int:
+        """Removes what only older versions or cut-off changes hold."""
+        return self.table.vacuum(keep, older_than)

@@ -64,6 +64,6 @@ def collect(spark: SparkSession, store: UsageStore, roots: dict[str, list[Root]]
     state = spark.createDataFrame([(p, "" if p in failed else now[p]) for p in names], "provider string, fingerprint string")
     # Written once, as pricing reads names and rows of it and logs would be parsed for each.
     parsed = work_folder(spark, "parsed")
-    union(batches).write.parquet(parsed)
-    store.append(price(spark.read.schema(USAGE).parquet(parsed), prices), files=union(seen), scan_id=scan_id, fingerprints=state, errors=errors)
+    reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), batches, spark.createDataFrame([], USAGE + ", ord bigint")).write.parquet(parsed)
+    store.append(price(spark.read.schema(USAGE + ", ord bigint").parquet(parsed), prices), files=union(seen), scan_id=scan_id, fingerprints=state, errors=errors)
     return store.scan_log().where(F.col("scan_id") == scan_id)

@@ -44,7 +44,7 @@ def carry(state: Column) -> Column:
 
 
 def finish(rows: DataFrame, provider: str, run_ts: datetime, **columns) -> DataFrame:
-    """Usage rows from expressions; missing ones are empty, 0 or `run_ts`."""
+    """Usage rows from expressions; missing ones are empty, 0 or `run_ts`. `ord`, in jobs whose rows may share a key: the row's place, the first of which counts."""
     values = {
         "provider": F.lit(provider), "project": F.lit("unknown"), "session_id": F.lit(""), "model": F.lit(""), "started_at": F.lit(None).cast("timestamp_ntz"),
         "input_tokens": F.lit(0), "output_tokens": F.lit(0), "cache_read_tokens": F.lit(0), "cache_write_tokens": F.lit(0), "cost_micros": F.lit(0), "raw_bytes": F.lit(0),
@@ -52,7 +52,8 @@ def finish(rows: DataFrame, provider: str, run_ts: datetime, **columns) -> DataF
     values["started_at"] = F.coalesce(values["started_at"], calendar.literal(run_ts))
     text = ("provider", "project", "session_id", "model", "fingerprint")
     cast = {c: values[c].cast("string") if c in text else values[c] if c == "started_at" else values[c].cast("long") for c in COLUMNS}
-    return rows.select(*[cast[c].alias(c) for c in COLUMNS]).where(total_tokens() > 0)
+    order = [values["ord"].cast("long").alias("ord")] if "ord" in values else []
+    return rows.select(*[cast[c].alias(c) for c in COLUMNS], *order).where(total_tokens() > 0)
 
 
 def line_key(*parts: Column) -> Column:
@@ -112,7 +113,7 @@ def codebuddy(spark: SparkSession, roots: list[Root], run_ts: datetime, lines: D
         j.where(assistant), "codebuddy", run_ts,
         project=project_of(F.col("j.cwd")), session_id=F.coalesce("j.sessionId", F.lit("")), model=model, started_at=from_millis(F.col("j.timestamp")),
         input_tokens=fresh_input(total_in, read, write), output_tokens=out, cache_read_tokens=read, cache_write_tokens=write,
-        raw_bytes=F.col("raw_bytes"), fingerprint=line_key(F.coalesce(ident, F.col("line_idx").cast("string"))),
+        raw_bytes=F.col("raw_bytes"), fingerprint=line_key(F.coalesce(ident, F.col("line_idx").cast("string"))), ord=F.col("line_idx"),
     )
 
 
@@ -194,7 +195,7 @@ def _messages(rows: DataFrame, provider: str, run_ts: datetime, store: str) -> D
         project=project_of(F.col("j.path.cwd")), session_id=F.coalesce("session_id", "j.sessionID", F.lit("")), model=F.coalesce("j.modelID", F.lit("")),
         started_at=from_millis(F.coalesce("j.time.created", "time_created")),
         input_tokens=count(t["input"]) + count(t["reasoning"]), output_tokens=count(t["output"]), cache_read_tokens=count(t["cache"]["read"]), cache_write_tokens=count(t["cache"]["write"]),
-        raw_bytes=F.octet_length("data"), fingerprint=F.concat_ws(":", F.concat_ws("/", "label", F.lit(store)), "id"),
+        raw_bytes=F.octet_length("data"), fingerprint=F.concat_ws(":", F.concat_ws("/", "label", F.lit(store)), "id"), ord=F.col("place"),
     )
 
 
@@ -202,16 +203,17 @@ _MESSAGE_SQL = "SELECT CAST(id AS TEXT), session_id, time_created, data FROM mes
 
 
 def opencode(spark: SparkSession, roots: list[Root], run_ts: datetime, stores: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
-    """Both stores and the older one-file-a-message layout; one key for a message in any of them."""
+    """Both stores and the older one-file-a-message layout, in this order; one key for a message in any of them."""
     rows = database_rows(spark, roots, r"opencode(-stable)?\.db$", _MESSAGE_SQL, "id string, session_id string, time_created long, data string", files=stores)
     docs = documents(spark, roots, r"(^|/)storage/message/.*\.json$") if docs is None else docs
     old = docs.select("rel", "label", F.coalesce(F.get_json_object("doc", "$.id"), stem(F.col("rel"))).alias("id"), F.lit(None).cast("string").alias("session_id"), F.lit(0).cast("long").alias("time_created"), F.col("doc").alias("data"))
-    return _messages(rows.unionByName(old), "opencode", run_ts, "opencode.db")
+    place = F.when(F.col("rel").endswith("-stable.db"), 1).otherwise(0)
+    return _messages(rows.withColumn("place", place).unionByName(old.withColumn("place", F.lit(2))), "opencode", run_ts, "opencode.db")
 
 
 def qoder(spark: SparkSession, roots: list[Root], run_ts: datetime, stores: DataFrame | None = None) -> DataFrame:
     rows = database_rows(spark, roots, r"local\.db$", _MESSAGE_SQL, "id string, session_id string, time_created long, data string", files=stores)
-    return _messages(rows, "qoder", run_ts, "local.db")
+    return _messages(rows.withColumn("place", F.lit(0)), "qoder", run_ts, "local.db")
 
 
 #: Candidate JSON paths of each bucket, in order of preference (fixed values).
@@ -261,7 +263,7 @@ def openclaw(spark: SparkSession, roots: list[Root], run_ts: datetime, lines: Da
     return finish(
         j.where("j.type = 'message' and j.message.role = 'assistant' and j.message.usage is not null"), "openclaw", run_ts,
         project=F.coalesce("s.project", F.lit("unknown")), session_id=F.coalesce("s.id", F.lit("")), model=F.coalesce("j.message.model", F.lit("")), started_at=at,
-        **usage_buckets(F.col("j.message.usage")), raw_bytes=F.col("raw_bytes"), fingerprint=line_key(F.coalesce(F.nullif(F.col("j.id"), F.lit("")), F.col("line_idx").cast("string"))),
+        **usage_buckets(F.col("j.message.usage")), raw_bytes=F.col("raw_bytes"), fingerprint=line_key(F.coalesce(F.nullif(F.col("j.id"), F.lit("")), F.col("line_idx").cast("string"))), ord=F.col("line_idx"),
     )
 
 
@@ -288,7 +290,7 @@ def deepseek(spark: SparkSession, roots: list[Root], run_ts: datetime, lines: Da
         project=F.when(F.col("cwd").isNull(), "").otherwise(project_of(F.col("cwd"))), session_id=F.coalesce("sid", F.regexp_replace(F.regexp_extract("rel", r"([^/]+)$", 1), r"(?i)\.jsonl(\.zstd)?$", "")),
         model=F.coalesce(some(F.col("j.data.message.source.model")), "m", F.lit(DEEPSEEK_MODEL)), started_at=from_millis(F.col("j.time")),
         input_tokens=count(u["inputTokens"]), output_tokens=count(u["outputTokens"]), cache_read_tokens=count(u["cacheReadTokens"]), cache_write_tokens=count(u["cacheWriteTokens"]),
-        fingerprint=line_key(F.col("j.data.turn"), F.col("j.data.step")),
+        fingerprint=line_key(F.col("j.data.turn"), F.col("j.data.step")), ord=F.col("line_idx"),
     )
 
 
@@ -306,7 +308,7 @@ def pi(spark: SparkSession, roots: list[Root], run_ts: datetime, lines: DataFram
         project=F.coalesce("project", F.lit("")), session_id=F.coalesce("sid", F.lit("")), model=F.coalesce("m", F.lit("")),
         started_at=F.coalesce(F.when(is_message, from_millis(msg["timestamp"])), from_rfc3339(F.col("j.timestamp"))),
         input_tokens=count(F.col("u.input")), output_tokens=count(F.col("u.output")), cache_read_tokens=count(F.col("u.cacheRead")), cache_write_tokens=count(F.col("u.cacheWrite")),
-        raw_bytes=F.col("raw_bytes"), fingerprint=line_key(F.col("j.id")),
+        raw_bytes=F.col("raw_bytes"), fingerprint=line_key(F.col("j.id")), ord=F.col("line_idx"),
     )
 
 
@@ -388,7 +390,7 @@ def trae(spark: SparkSession, roots: list[Root], run_ts: datetime, docs: DataFra
 
 def all_codebuddy(spark: SparkSession, roots: list[Root], run_ts: datetime) -> DataFrame:
     """Sessions of the command line and requests of the desktop tool."""
-    return codebuddy(spark, roots, run_ts).unionByName(codebuddy_desktop(spark, roots, run_ts, conversation_folders(spark, roots)))
+    return codebuddy(spark, roots, run_ts).unionByName(codebuddy_desktop(spark, roots, run_ts, conversation_folders(spark, roots)), allowMissingColumns=True)
 
 
 def all_workbuddy(spark: SparkSession, roots: list[Root], run_ts: datetime, stored: DataFrame | None = None) -> DataFrame:
@@ -411,5 +413,5 @@ FILES = {p: (r"(?i)\.jsonl$", MAX_DEPTH) for p in JOBS} | {
 
 def scan_all(spark: SparkSession, roots: dict[str, list[Root]], run_ts: datetime, enabled: list[str] | None = None) -> DataFrame:
     """Usage of all tools that have roots and are enabled, in registry order."""
-    jobs = [JOBS[p](spark, roots[p], run_ts) for p in JOBS if roots.get(p) and (enabled is None or p in enabled)]
+    jobs = [JOBS[p](spark, roots[p], run_ts).select(COLUMNS) for p in JOBS if roots.get(p) and (enabled is None or p in enabled)]
     return reduce(DataFrame.unionByName, jobs) if jobs else spark.createDataFrame([], USAGE)

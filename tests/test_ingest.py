@@ -190,14 +190,3 @@ def test_collect_reads_what_changed(spark, tmp_path):
     assert scan(4) == {"claude": (3, 1, 2)} and scan(5) == {}
     store.delete_provider("claude")
     assert scan(6) == {"claude": (4, 4, 0)}
-
-
-def test_store_makes_keys_anew_after_a_crash(spark, tmp_path):
-    from meterlake.operators.store import UsageStore
-
-    store = UsageStore(spark, str(tmp_path / "s"))
-    rows = spark.range(5).selectExpr("'pi' provider", "'p' project", "'s' session_id", "'m' model", "timestamp_ntz'2026-01-01' started_at", "1L input_tokens", "0L output_tokens", "0L cache_read_tokens", "0L cache_write_tokens", "0L cost_micros", "0L raw_bytes", "cast(id as string) fingerprint")
-    store.append(rows.where("fingerprint < '3'"), scan_id=1)
-    store._delete("keys")
-    (tmp_path / "s" / "pending").write_text("")
-    assert store.append(rows, scan_id=2) == {"found": 5, "inserted": 2, "skipped": 3} and store.usage().count() == 5
