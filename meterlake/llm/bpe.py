@@ -6,8 +6,9 @@ an apostrophe that may begin 's or 'll). A symbol is a transition function of th
 states; the functions that compositions can reach are a small monoid, whose product table is built once. An associative
 scan over a whole batch of texts (a text's first symbol forgets what came before) multiplies them out in blocks, and
 boundaries follow from the state before and the symbol. The slices between boundaries are looked up in a cache of
-merged slices; short new ones are merged all at once, in rounds in which each merges its pair of least rank, long ones
-by a heap of pairs. Byte offsets of the tokens are kept, so ids decode to the exact bytes of each slice.
+merged slices, bounded in bytes; short new ones are merged all at once, in rounds in which each merges its pair of least rank,
+long ones by buckets of pairs of one rank. Byte offsets of the tokens are kept, so ids decode to the exact bytes of each slice.
+A long text is encoded in stretches that end where any slice ends, so memory is bounded by its longest slice.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import hashlib
 import heapq
 import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -24,12 +26,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import U64, _powers, mix, slices, text_buffers
+from .common import slices, text_buffers
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: Code points with the Unicode property White_Space (fixed values).
 WHITE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-CACHE = 120_000
+#: Bytes of slices, ids and decoded bytes that a worker's cache holds before it starts anew; bytes of a batch encoded at once.
+CACHE_BYTES = 64 << 20
 BLOCK = 1 << 18
 
 
@@ -136,10 +139,74 @@ def boundaries(points: np.ndarray, starts: np.ndarray, kinds: np.ndarray | None
     return cuts[before, symbol] | first[:n]
 
 
-#: Bytes from which a slice is merged by a heap.
+#: Bytes from which a slice is merged by buckets and not cached.
 LONG = 256
 
 
+def stretches(text: str, kinds: np.ndarray, size: int):
+    """Stretches of a long text of about `size` code points, cut behind a letter where another class follows, or before white space."""
+    at = 0
+    while at < len(text):
+        to = min(len(text), at + size)
+        while to < len(text):
+            ahead = kinds[np.frombuffer(text[to - 1 : to + 65536].encode("utf-32-le", "surrogatepass"), np.uint32)]
+            here = (ahead[:-1] == LETTER) & (ahead[1:] != LETTER) | (ahead[:-1] != SPACE) & (ahead[1:] == SPACE)
+            if here.any():
+                to += int(here.argmax())
+                break
+            to += len(ahead) - 1
+        yield text[at:to]
+        at = to
+
+
+def merge_long(first: np.ndarray, size: int, keys: np.ndarray, ranks: np.ndarray, rank_of: dict[int, int], made) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of a slice of any length (`first`: ids of its bytes), and the byte at which each begins.
+
+    Pairs (left * size + right, with their ranks in `keys` and `ranks`) lie in buckets by rank, each emptied from left to right; `made(rank)`
+    is the token of a pair. A merge that makes a pair of lower rank puts the rest of its bucket off.
+    """
+    n = len(first)
+    key = first[:-1] * size + first[1:]
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    some = np.flatnonzero(keys[at] == key)
+    rank = ranks[at[some]]
+    order = np.argsort(rank, kind="stable")
+    some, rank = some[order].astype(np.int32), rank[order]
+    cut = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else np.zeros(0, np.int64)
+    whole = dict(zip(rank[cut].tolist(), np.split(some, cut[1:])))  # pairs of bytes, by rank
+    later: dict[int, array] = {}  # pairs that merges have made
+    del key, at, order, rank, some
+    heap = list(whole)
+    heapq.heapify(heap)
+    ids, after, before = array("i", first.astype(np.int32).tobytes()), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+    get = rank_of.get
+    while heap:
+        r = heapq.heappop(heap)
+        new, lower = made(r), False
+        places = np.unique(np.r_[np.array(later.pop(r, ()), np.int32), whole.pop(r, np.zeros(0, np.int32))])
+        for k, a in enumerate(places.tolist()):
+            b = after[a]
+            if ids[a] < 0 or b >= n or get(ids[a] * size + ids[b]) != r:
+                continue
+            c, z = after[b], before[a]
+            ids[a], ids[b], after[a] = new, -1, c
+            if c < n:
+                before[c] = a
+            for x, y in ((z, a), (a, c)):
+                if x >= 0 and y < n and (q := get(ids[x] * size + ids[y])) is not None:
+                    if q not in whole and q not in later:
+                        heapq.heappush(heap, q)
+                    later.setdefault(q, array("i")).append(x)
+                    lower |= q < r
+            if lower:
+                whole[r] = places[k + 1 :]
+                heapq.heappush(heap, r)
+                break
+    left = np.frombuffer(ids, np.int32)
+    bounds = np.flatnonzero(left >= 0)
+    return left[bounds].copy(), bounds
+
+
 class Codec:
     """Ranks of a vocabulary file, and a cache of merged slices."""
 
@@ -164,6 +231,7 @@ class Codec:
         self.maybe[(self.pair * 0x9E3779B1 >> 20) & (len(self.maybe) - 1)] = True
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.cache: dict[str, tuple[str, int, bytes]] = {}
+        self.held = 0
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Token ids of each slice; every round merges each slice's first pair of least rank."""
@@ -209,30 +277,33 @@ class Codec:
             touched = np.r_[hit, hit[hit > 0] - 1]
             rank[touched] = ranks(touched)
 
-    def merge_long(self, piece: bytes) -> list[int]:
-        """Token ids of one long slice: a heap of pairs by rank, then place; pairs that are gone are passed over."""
-        ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before, alive = [*range(1, n), -1], list(range(-1, n - 1)), [True] * n
-        rank_of, size = self.rank_of, self.size
-        heap = [(r, k, k + 1) for k in range(n - 1) if (r := rank_of.get(ids[k] * size + ids[k + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, a, b = heapq.heappop(heap)
-            if not (alive[a] and alive[b]) or after[a] != b or rank_of.get(ids[a] * size + ids[b]) != r:
-                continue
-            ids[a], alive[b], c = r, False, after[b]
-            after[a] = c
-            if c >= 0:
-                before[c] = a
-                if (x := rank_of.get(r * size + ids[c])) is not None:
-                    heapq.heappush(heap, (x, a, c))
-            if (z := before[a]) >= 0 and (x := rank_of.get(ids[z] * size + r)) is not None:
-                heapq.heappush(heap, (x, z, a))
-        return [x for x, keep in zip(ids, alive) if keep]
+    def _merged(self, words: list[str]) -> dict[str, tuple[str, int, bytes]]:
+        """Ids in decimal, their number and their bytes, of words that the cache doesn't hold; the long ones stay out of it."""
+        raw = [x.encode("utf-8", "surrogatepass") for x in words]
+        short = [k for k, b in enumerate(raw) if len(b) < LONG]
+        merged: list[list[int]] = [[]] * len(raw)
+        for k, ids in zip(short, self.merge([raw[k] for k in short]) if short else []):
+            merged[k] = ids
+        out = {}
+        for x, b, ids in zip(words, raw, merged):
+            if b in self.ranks:
+                ids = [self.ranks[b]]
+            elif len(b) >= LONG:
+                ids = merge_long(self.byte[np.frombuffer(b, np.uint8)], self.size, self.pair, self.rank, self.rank_of, int)[0].tolist()
+            out[x] = ",".join(map(str, ids)), len(ids), self.decode(ids)
+            if len(b) < LONG:
+                self.cache[x] = out[x]
+                self.held += 250 + 6 * len(b)
+        return out
 
     def encode(self, texts: list[str]) -> tuple[list[str], list[int], list[bytes]]:
         """For each text its ids in decimal, comma-joined, their number, and the bytes they decode to."""
+        if len(texts) == 1 and len(texts[0]) > BLOCK:
+            parts = [self._encode([x]) for x in stretches(texts[0], classes(), BLOCK)]
+            return [",".join(p[0][0] for p in parts)], [sum(p[1][0] for p in parts)], [b"".join(p[2][0] for p in parts)]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> tuple[list[str], list[int], list[bytes]]:
         whole = "".join(texts)
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         length = np.array([len(t) for t in texts], np.int64)
@@ -240,37 +311,16 @@ class Codec:
         if not len(points):
             return [""] * len(texts), [0] * len(texts), [b""] * len(texts)
         cut = np.flatnonzero(boundaries(points, starts[:-1][length > 0]))
-        ends = np.r_[cut[1:], len(points)]
-        p, ip = _powers(len(points) + 1)
-        sums = np.zeros(len(points) + 1, U64)
-        np.cumsum((points.astype(U64) + U64(1)) * p[: len(points)], out=sums[1:])
-        _, one, which = np.unique(mix((sums[ends] - sums[cut]) * ip[cut] + (ends - cut).astype(U64)), return_index=True, return_inverse=True)
-        pieces = [whole[x:y] for x, y in zip(cut[one].tolist(), ends[one].tolist())]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+        at = cut.tolist()
+        words = [whole[x:y] for x, y in zip(at, [*at[1:], len(whole)])]
+        if self.held > CACHE_BYTES:
+            self.cache, self.held = {}, 0
+        new = self._merged([x for x in dict.fromkeys(words) if x not in self.cache])
         cache = self.cache
-        new = [x for x in pieces if x not in cache]
-        if new:
-            raw = [x.encode("utf-8", "surrogatepass") for x in new]
-            short = [k for k, b in enumerate(raw) if len(b) < LONG]
-            merged: list[list[int]] = [[]] * len(raw)
-            for k, ids in zip(short, self.merge([raw[k] for k in short]) if short else []):
-                merged[k] = ids
-            for x, b, ids in zip(new, raw, merged):
-                if len(b) >= LONG:
-                    ids = self.merge_long(b)
-                if b in self.ranks:
-                    ids = [self.ranks[b]]
-                cache[x] = ",".join(map(str, ids)), len(ids), self.decode(ids)
-        found = [cache[x] for x in pieces]
-        ids, raw = np.empty(len(found), object), np.empty(len(found), object)
-        ids[:] = [x[0] for x in found]
-        raw[:] = [x[2] for x in found]
-        total = np.r_[0, np.cumsum(np.array([x[1] for x in found], np.int64)[which])]
-        first = np.searchsorted(cut, starts)
-        ids, raw, first = ids[which].tolist(), raw[which].tolist(), first.tolist()
+        found = [new[x] if x in new else cache[x] for x in words]
+        first = np.searchsorted(cut, starts).tolist()
         spans = list(zip(first, first[1:]))
-        return [",".join(ids[x:y]) for x, y in spans], [int(total[y] - total[x]) for x, y in spans], [b"".join(raw[x:y]) for x, y in spans]
+        return [",".join([f[0] for f in found[x:y]]) for x, y in spans], [sum([f[1] for f in found[x:y]]) for x, y in spans], [b"".join([f[2] for f in found[x:y]]) for x, y in spans]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes[i] for i in ids])

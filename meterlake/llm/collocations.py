@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, U64, discard, materialize, mix, text_buffers
 
 #: Bytes of text of a chunk (a longer text is one alone), and bytes split into words at once.
-CHUNK, PART = 16 << 20, 1 << 20
+CHUNK, PART = 8 << 20, 1 << 20
 #: Bits of the bitmap of frequent groups, and of one of its pages, as powers of two.
 BITS, PAGE = 27, 18
 #: Kinds of bytes: word, blank, end of a piece (fixed values).

@@ -11,7 +11,6 @@ over code points. Texts are read in blocks cut where any word ends, so memory is
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 from array import array
@@ -90,42 +89,7 @@ class Merges:
 
     def long(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The same for a word of any length: pairs in buckets by rank, each emptied from left to right."""
-        first = self.byte[np.frombuffer(word, np.uint8)]
-        n = len(first)
-        key = first[:-1] * self.size + first[1:]
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        some = np.flatnonzero(self.keys[at] == key)
-        rank = self.ranks[at[some]]
-        order = np.argsort(rank, kind="stable")
-        some, rank = some[order].astype(np.int32), rank[order]
-        cut = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else np.zeros(0, np.int64)
-        whole = dict(zip(rank[cut].tolist(), np.split(some, cut[1:])))  # pairs of bytes, by rank
-        later: dict[int, array] = {}  # pairs that merges have made
-        del key, at, order, rank, some
-        heap = list(whole)
-        heapq.heapify(heap)
-        ids, after, before = array("i", first.astype(np.int32).tobytes()), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
-        get, size = self.rank_of.get, self.size
-        while heap:
-            r = heapq.heappop(heap)
-            places = sorted({*later.pop(r, ()), *(whole.pop(r).tolist() if r in whole else ())})
-            new = self.made[r]
-            for a in places:
-                b = after[a]
-                if ids[a] < 0 or b >= n or get(ids[a] * size + ids[b]) != r:
-                    continue
-                c, z = after[b], before[a]
-                ids[a], ids[b], after[a] = new, -1, c
-                if c < n:
-                    before[c] = a
-                for x, y in ((z, a), (a, c)):
-                    if x >= 0 and y < n and (q := get(ids[x] * size + ids[y])) is not None:
-                        if q not in whole and q not in later:
-                            heapq.heappush(heap, q)
-                        later.setdefault(q, array("i")).append(x)
-        left = np.frombuffer(ids, np.int32)
-        bounds = np.flatnonzero(left >= 0)
-        return left[bounds].copy(), bounds
+        return bpe.merge_long(self.byte[np.frombuffer(word, np.uint8)], self.size, self.keys, self.ranks, self.rank_of, self.made.__getitem__)
 
 
 class Codec:
@@ -178,21 +142,6 @@ class Codec:
         """Stretches of ordinary text and special tokens, in order."""
         return [x for x in self.split.split(text) if x] if self.split else [text]
 
-    def _blocks(self, text: str):
-        """Stretches of a long text of about `BLOCK` code points, cut behind a letter where another class follows, or before white space."""
-        kinds, at = classes(), 0
-        while at < len(text):
-            to = min(len(text), at + BLOCK)
-            while to < len(text):
-                ahead = kinds[np.frombuffer(text[to - 1 : to + 65536].encode("utf-32-le", "surrogatepass"), np.uint32)]
-                here = (ahead[:-1] == bpe.LETTER) & (ahead[1:] != bpe.LETTER) | (ahead[:-1] != bpe.SPACE) & (ahead[1:] == bpe.SPACE)
-                if here.any():
-                    to += int(here.argmax())
-                    break
-                to += len(ahead) - 1
-            yield text[at:to]
-            at = to
-
     def _encode(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of stretches (ordinary or special) end to end, and how many each has."""
         whole = "".join(stretches)
@@ -234,7 +183,7 @@ class Codec:
     def encode(self, texts: list[str]):
         """A list of arrays of ids for each text, block by block for the long ones; texts of a call are small or one alone."""
         if len(texts) == 1 and len(texts[0]) > BLOCK:
-            segments = [y for x in self._segments(texts[0]) for y in ([x] if x in self.special else self._blocks(x))]
+            segments = [y for x in self._segments(texts[0]) for y in ([x] if x in self.special else bpe.stretches(x, classes(), BLOCK))]
             return [(self._encode([x])[0] for x in segments)]
         parts = [self._segments(x) if x else [] for x in texts]
         stretches = [x for p in parts for x in p]
