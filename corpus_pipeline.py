@@ -8,6 +8,8 @@ whole copies say (size 0: as its source's share). No rows: no rows.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +17,31 @@ from meterlake.llm import bpe, jaccard_join, line_dedup, mixing, toxicity
 from meterlake.llm.common import discard, materialize, table, with_version
 
 
+#: Columns that stages read or change; all others travel through a stage in one struct, so that no name of theirs can clash.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keeping_others(stage):
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in KNOWN]
+        if not others:
+            return stage(spark, docs, sf_dir)
+        plain = lambda c: F.col(f"`{c}`")
+        packed = docs.select(*[plain(c) for c in docs.columns if c in KNOWN], F.struct(*[plain(c) for c in others]).alias("other_columns"))
+        out = stage(spark, packed, sf_dir)
+        return out.select(*[F.col("other_columns").getField(c).alias(c) if c in others else plain(c) for c in docs.columns])
+
+    return run
+
+
+@keeping_others
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model rejects go. It learns from the labels of the stage's own documents."""
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@keeping_others
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that recur, as a template or word by word, go, but for the first; n_chars follows the text."""
     return _as_before(line_dedup.drop_recurring_lines(docs, exact=True), docs)
@@ -34,6 +56,7 @@ def _as_before(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
     return cleaned.select(docs.columns)
 
 
+@keeping_others
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies stays; passages that still recur go, but for the first.
 
@@ -49,6 +72,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return _as_before(line_dedup.without_lines(rows), docs).union(docs.where(blank))
 
 
+@keeping_others
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.mixed_documents(docs)
