@@ -51,7 +51,7 @@ def within(window: Window, ts: str = "started_at", day_column: str | None = None
     p = (F.col(ts) >= literal(start)) & (F.col(ts) < literal(end))
     if day_column:  # partitions prune only on their own column
         lo = (start + timedelta(hours=OFFSET_HOURS)).date()
-        hi = (end + timedelta(hours=OFFSET_HOURS)).date()
+        hi = (end + timedelta(hours=OFFSET_HOURS, microseconds=-1)).date()
         p &= F.col(day_column).between(F.lit(lo), F.lit(hi))
     return p
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import calendar
 from ..functions.pricing import price
 from ..schema import USAGE
-from . import keys
+from . import keys, rollups
+from .aggregate import rollup
 from .versions import Conflict, Versions
 
 KEY = ("provider", "fingerprint")
@@ -45,15 +46,15 @@ def projects(usage: DataFrame) -> DataFrame:
 
 
 class UsageStore:
-    """A folder with `usage` (by provider and day), its keys, `file_state`, `scan_log` and `scan_errors`.
+    """A folder with `usage` (by provider and day), its keys, its rollups, `file_state`, `scan_log` and `scan_errors`.
 
-    Each change is one version: a scan's rows, keys, file states, errors and log appear together or not at all, and so do a
+    Each change is one version: a scan's rows, keys, sums, file states, errors and log appear together or not at all, and so do a
     deletion and a new pricing. What a cut-off change has written is never read; `vacuum` removes it. An append reads the key
     files that may hold its keys, not the history. A writer that finds another was first makes its change anew on the other's version.
     """
 
     def __init__(self, spark: SparkSession, path: str, capacity: int = CAPACITY):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path = spark, str(path).rstrip("/")
         self.table, self.capacity = Versions(spark, path), capacity
 
     def _read(self, name: str, schema: str) -> DataFrame:
@@ -62,6 +63,20 @@ class UsageStore:
     def usage(self) -> DataFrame:
         return self._read("usage", USAGE + ", day date")
 
+    def rollup(self, name: str) -> DataFrame:
+        """A stored rollup: provider, day, its dimensions and sums."""
+        return self._read(name, rollups.schema(rollups.ROLLUPS[name]))
+
+    def answer(self, *dims: str, window: calendar.Window | None = None, order: str = "cost_micros") -> DataFrame:
+        """Sums by dimensions in a window, from the coarsest stored rollup that has them; the facts give what the window cuts off of days."""
+        if rollups.covering(dims) is None:
+            return rollup(self.usage(), *dims, window=window, order=order)
+        return rollups.answer(self.usage(), {n: self.rollup(n) for n in rollups.ROLLUPS}, *dims, window=window, order=order)
+
+    def model_counts(self) -> DataFrame:
+        """provider and the number of its models, from a stored rollup."""
+        return self.rollup("rollup_models").groupBy("provider").agg(F.countDistinct("model").alias("models"))
+
     def file_state(self) -> DataFrame:
         return self._read("file_state", "rel string, mtime timestamp, size bigint, scan_id bigint, provider string").select("provider", "rel", "mtime", "size", "scan_id")
 
@@ -123,6 +138,7 @@ class UsageStore:
         in_keys, in_files, layout = keys.add(self.table, state, rows, added, capacity)
         tables = state["tables"]
         more = {n: [*tables.get(n, []), e] for n, e in (("usage", entry), ("keys", in_keys), ("key_files", in_files))}
+        more |= {n: rollups.merged(self.table, state, n, dims, rollups.partial(rows, dims)) for n, dims in rollups.ROLLUPS.items()}
         return {"tables": tables | more, "layout": layout, "capacity": capacity}
 
     def append(
@@ -209,7 +225,10 @@ class UsageStore:
             if tables.get("usage"):
                 rows = self.table.read(state, "usage", USAGE + ", day date").drop("day")
                 dealt = price(rows, prices).withColumn("day", calendar.day("started_at")).hint("rebalance", "provider", "day")
-                tables = tables | {"usage": [self.table.write("usage", dealt, "day") | {"tier": max(e["tier"] for e in tables["usage"])}]}
+                entry = self.table.write("usage", dealt, "day") | {"tier": max(e["tier"] for e in tables["usage"])}
+                now = self.table.read(state, "usage", USAGE + ", day date", [entry])
+                sums = {n: [self.table.write(n, rollups.partial(now, dims).hint("rebalance", "provider", "day"), "day", deep=True)] for n, dims in rollups.ROLLUPS.items()}
+                tables = tables | {"usage": [entry]} | sums
             self.table.commit(state, tables=tables, pricing=version)
             return True
 

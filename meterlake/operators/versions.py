@@ -27,7 +27,7 @@ class Versions:
     """A folder of tables and `commits`. An entry is one write of a table: {write, parts, tier}, `parts` its provider folders."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path = spark, str(path).rstrip("/")
 
     def _at(self, name: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -50,11 +50,15 @@ class Versions:
         finally:
             stream.close()
 
-    def write(self, table: str, df: DataFrame, *by: str) -> dict:
-        """Writes rows aside, by provider and `by`; the entry for a record."""
+    def write(self, table: str, df: DataFrame, *by: str, deep: bool = False) -> dict:
+        """Writes rows aside, by provider and `by`; the entry for a record, whose parts are the folders of providers, or one level below if `deep`."""
         name = uuid.uuid4().hex
-        df.write.partitionBy("provider", *by).parquet(f"{self.path}/{table}/write={name}")
-        return {"write": name, "parts": sorted(n for n in self._names(f"{table}/write={name}") if n.startswith("provider=")), "tier": 0}
+        top = f"{table}/write={name}"
+        df.write.partitionBy("provider", *by).parquet(f"{self.path}/{top}")
+        parts = [n for n in self._names(top) if n.startswith("provider=")]
+        if deep:
+            parts = [f"{p}/{n}" for p in parts for n in self._names(f"{top}/{p}") if "=" in n]
+        return {"write": name, "parts": sorted(parts), "tier": 0}
 
     def commit(self, before: dict, **changes) -> dict:
         """The version after `before`, with these keys changed; raises Conflict if there is one already."""
@@ -91,7 +95,7 @@ class Versions:
     @staticmethod
     def without(state: dict, provider: str) -> dict[str, list[dict]]:
         """All tables' entries without a provider's folders."""
-        left = lambda e: e | {"parts": [p for p in e["parts"] if unquote(p.removeprefix("provider=")) != provider]}
+        left = lambda e: e | {"parts": [p for p in e["parts"] if unquote(p.split("/")[0].removeprefix("provider=")) != provider]}
         return {t: [x for e in entries if (x := left(e))["parts"]] for t, entries in state["tables"].items()}
 
     def merge_small(self, state: dict, table: str, schema: str, *by: str) -> dict:

@@ -256,6 +256,67 @@ def _storage() -> None:
 
     add("sto_06_store_round_trip", stored, f"SELECT provider, {SUMS_SQL} FROM usage WHERE {M} GROUP BY 1")
 
+    def in_store(s: SparkSession, d: str) -> store.UsageStore:
+        t = new_store(s)
+        t.append(_rows(usage(s, d).where("event_id % 4 <> 0")), scan_id=1)
+        t.append(_rows(usage(s, d)), scan_id=2)
+        return t
+
+    add("agg_11_from_rollup", lambda s, d: in_store(s, d).answer("provider", window=MONTH), f"SELECT provider, {SUMS_SQL} FROM usage WHERE {M} GROUP BY 1")
+    add("agg_11_models_by_week", lambda s, d: in_store(s, d).answer("model", "week"), f"SELECT model, {KEYS['week']} AS week, {SUMS_SQL} FROM usage GROUP BY ALL")
+    add("ts_02_from_rollup", lambda s, d: in_store(s, d).answer("provider", "day", window=MONTH), f"SELECT provider, {KEYS['day']} AS day, {SUMS_SQL} FROM usage WHERE {M} GROUP BY ALL")
+    add("met_05_from_rollup", lambda s, d: in_store(s, d).model_counts(), "SELECT provider, count(DISTINCT model) AS models FROM usage GROUP BY 1")
+
+    def cut_off(t: store.UsageStore, change) -> None:
+        """A change that is cut off just before its version would appear."""
+        class Cut(Exception):
+            pass
+
+        def commit(*_, **__):
+            raise Cut
+
+        t.table.commit = commit
+        try:
+            change(t)
+        except Cut:
+            del t.table.commit
+
+    def resumed(s: SparkSession, d: str) -> DataFrame:
+        """A deletion, a scan and a new pricing, each cut off at first; rows and costs of what is left, and stored sums of the same."""
+        t = new_store(s)
+        t.append(_rows(unpriced(s, d)), scan_id=1)
+        for change in (lambda t: t.delete_provider("pi"), lambda t: t.append(_rows(unpriced(s, d).where("event_id % 3 = 0")), scan_id=2), lambda t: t.reprice("2")):
+            cut_off(t, change)
+            change(t)
+        sums = t.rollup("rollup_models").groupBy("provider").agg(F.sum("records").alias("stored_records"), F.sum("cost_micros").alias("stored_cost"))
+        return t.usage().groupBy("provider").agg(F.count("*").alias("records"), F.sum("cost_micros").alias("cost_micros")).join(sums, "provider")
+
+    left = "SELECT provider, count(*) AS records, CAST(sum(cost_micros) AS BIGINT) AS cost_micros, count(*) AS stored_records, CAST(sum(cost_micros) AS BIGINT) AS stored_cost FROM usage WHERE provider <> 'pi' OR event_id % 3 = 0 GROUP BY 1"
+    add("sto_03_prc_06_resumed", resumed, left)
+
+    def inserted(s: SparkSession, d: str) -> DataFrame:
+        """Plain inserts of two halves; a third that repeats rows is refused."""
+        t, u = new_store(s), usage(s, d)
+        n = [t.insert(_rows(u.where(f"event_id % 2 = {k}"))) for k in (0, 1)]
+        try:
+            t.insert(_rows(u.where("event_id % 5 = 0")))
+        except ValueError:
+            n.append(-1)
+        return t.usage().groupBy("provider").agg(F.count("*").alias("records")).withColumn("refused", F.lit(n[2:] == [-1]))
+
+    add("sto_02_insert", inserted, "SELECT provider, count(*) AS records, true AS refused FROM usage GROUP BY 1")
+
+    def first_written(s: SparkSession, d: str) -> DataFrame:
+        """Copies with other counts, and a store before them: the first in source order stays, whatever its counts."""
+        u = unpriced(s, d)
+        copies = u.withColumn("ord", F.lit(1)).unionByName(u.withColumns({"ord": F.when(F.col("event_id") % 2 == 0, 0).otherwise(2), "output_tokens": F.col("output_tokens") + F.col("event_id") % 3 - 1}))
+        t = new_store(s)
+        t.append(copies.where("event_id % 5 = 0 and ord <> 1").drop("event_id"), scan_id=1)
+        t.append(copies.drop("event_id"), scan_id=2)
+        return t.usage().select("fingerprint", "output_tokens")
+
+    add("sto_01_first_writer", first_written, "SELECT fingerprint, CAST(CASE WHEN event_id % 2 = 0 OR event_id % 5 = 0 THEN output_tokens + event_id % 3 - 1 ELSE output_tokens END AS BIGINT) AS output_tokens FROM raw")
+
     def logged(s: SparkSession, d: str) -> DataFrame:
         t = new_store(s)
         t.append(_rows(usage(s, d).where("event_id % 10 = 0")), scan_id=1)
@@ -306,7 +367,7 @@ def _streams() -> None:
         usage(s, d).drop("event_id").write.parquet(f"{top}/in")
         source = s.readStream.schema(s.read.parquet(f"{top}/in").schema).parquet(f"{top}/in")
         usage_stream.rollup_table(source, f"{top}/out", f"{top}/state", "provider", "model").awaitTermination()
-        return text_days(usage_stream.latest(s, f"{top}/out"))
+        return text_days(usage_stream.latest(s, f"{top}/out", "model"))
 
     add("str_06_daily_rollup", streamed, f"SELECT provider, model, strftime(d, '%Y-%m-%d') AS day, {SUMS_SQL} FROM usage GROUP BY ALL")
 
@@ -320,6 +381,18 @@ def _streams() -> None:
 
     add("str_03_stream_dedup", ingested, "SELECT provider, count(*) AS records FROM usage GROUP BY 1")
 
+    def kept(s: SparkSession, d: str) -> DataFrame:
+        """A stream of usage into a store with rollups, in several batches; one is replayed, with all rows, and changes nothing."""
+        top, u = work_folder(s, "usage-rollup"), usage(s, d)
+        u.unionByName(u.where("event_id % 3 = 0")).drop("event_id").repartition(6, "fingerprint", "cost_micros").write.parquet(f"{top}/in")
+        source = s.readStream.schema(s.read.parquet(f"{top}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{top}/in")
+        t = store.UsageStore(s, f"{top}/store")
+        usage_stream.ingest(source, t, f"{top}/state").awaitTermination()
+        t.append(_rows(usage(s, d).withColumn("fingerprint", F.concat("fingerprint", F.lit("x")))), stream=(f"{top}/state", 0))
+        return text_days(t.rollup("rollup_models").select("provider", "model", "day", *aggregate.STATS))
+
+    add("str_05_stored_rollup", kept, f"SELECT provider, model, strftime(min_day, '%Y-%m-%d') AS day, count(*) AS records, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in aggregate.SUMS)} FROM (SELECT *, d AS min_day FROM usage) GROUP BY ALL")
+
     def refreshed(s: SparkSession, d: str) -> DataFrame:
         u, old = usage(s, d), usage(s, d).where("event_id % 50 <> 0")
         stored = series.daily(old, "provider")

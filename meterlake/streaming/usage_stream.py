@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import calendar
 from ..functions.pricing import price
 from ..operators.aggregate import stats, with_total
+from ..operators.rollups import RollupTable
 from ..operators.store import UsageStore
 from ..sources.files import number_lines
 
@@ -36,10 +37,10 @@ def daily_rollup(stream: DataFrame, *dims: str, late: str | None = None) -> Data
 
 
 def ingest(stream: DataFrame, store: UsageStore, checkpoint: str, make_batch: Callable[[DataFrame], DataFrame] = lambda df: df, seconds: int | None = None) -> StreamingQuery:
-    """Each micro-batch through the store's deduplicated append: keys are never forgotten, late rows count."""
+    """Each micro-batch through the store's deduplicated append: keys are never forgotten, late rows count, a batch that is replayed does not."""
 
     def write(df: DataFrame, batch_id: int) -> None:
-        store.append(make_batch(df), scan_id=batch_id)
+        store.append(make_batch(df), scan_id=store.next_scan(), stream=(checkpoint, batch_id))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger(seconds)).start()
 
@@ -61,14 +62,14 @@ def ingest_logs(files: DataFrame, job: Job, store: UsageStore, checkpoint: str,
 
 
 def rollup_table(stream: DataFrame, path: str, checkpoint: str, *dims: str, seconds: int | None = None) -> StreamingQuery:
-    """The daily rollup kept as Parquet: each run writes the whole of it under its batch number; `latest` reads the newest."""
-    write = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n:012d}")
-    return daily_rollup(stream, *dims).writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(**trigger(seconds)).start()
+    """A stored rollup by provider, day and `dims`: each batch is merged into the days that it touches, once, however late its rows are. `latest` reads it."""
+    rows = RollupTable(stream.sparkSession, path, *dims)
+    return stream.writeStream.foreachBatch(lambda df, n: rows.add(df, ("stream", n)) and None).option("checkpointLocation", checkpoint).trigger(**trigger(seconds)).start()
 
 
-def latest(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
-    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
+def latest(spark: SparkSession, path: str, *dims: str) -> DataFrame:
+    """The stored rollup with totals."""
+    return with_total(RollupTable(spark, path, *dims).rows())
 
 
 def bounded_dedup(stream: DataFrame, late: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """The store: versions that appear whole, keys in growing buckets, first writers."""
 
 import os
+import re
+import shutil
 from datetime import datetime
 from pathlib import Path
 
@@ -70,18 +72,15 @@ def test_cut_off_after_every_step(spark, tmp_path, change):
         "reprice": lambda t: t.reprice("2"),
     }
     run = changes[change]
-    whole = None
+    start = store.UsageStore(spark, str(tmp_path / "start"), capacity=1)
+    start.append(first, files=files(spark, ("claude", "a"), ("pi", "a")), scan_id=1)
+    before = content(start)
+    copy = lambda name: store.UsageStore(spark, shutil.copytree(tmp_path / "start", tmp_path / name), capacity=1)
+    run(other := copy("whole"))
+    assert (whole := content(other)) != before
     for n in range(1, 20):
-        path = str(tmp_path / f"{change}{n}")
-        t = store.UsageStore(spark, path, capacity=1)
-        t.append(first, files=files(spark, ("claude", "a"), ("pi", "a")), scan_id=1)
-        before = content(t)
-        if whole is None:
-            other = store.UsageStore(spark, f"{path}-whole", capacity=1)
-            other.append(first, files=files(spark, ("claude", "a"), ("pi", "a")), scan_id=1)
-            run(other)
-            whole = content(other)
-            assert whole != before
+        t = copy(path := f"cut{n}")
+        path = str(tmp_path / path)
         with pytest.MonkeyPatch.context() as m:
             cut_after(m, n)
             try:
@@ -100,7 +99,7 @@ def test_cut_off_after_every_step(spark, tmp_path, change):
             assert [x[:2] for x in content(again)[0]] == [x[:2] for x in before[0]] and content(again)[1] == before[1]
         if done:
             break
-    assert n == {"append": 8, "delete": 2, "reprice": 3}[change]  # six writes and a commit, and so on
+    assert n == {"append": 10, "delete": 2, "reprice": 5}[change]  # eight writes and a commit, and so on
     rows.unpersist()
 
 
@@ -196,3 +195,74 @@ def test_global_keys(spark, tmp_path):
     t.append(many(spark, 0, 20), scan_id=1)
     assert t.append(many(spark, 10, 25, "pi"), scan_id=2, global_key=True)["inserted"] == 5
     assert t.append(many(spark, 10, 25, "pi"), scan_id=3)["inserted"] == 10
+
+
+def by_day(spark, rows):
+    return usage(spark, [{"provider": p, "model": m, "project": j, "started_at": datetime(2026, 8, d, h), "input_tokens": t, "fingerprint": f"{k}:{p}{d}{h}{m}"} for k, (p, m, j, d, h, t) in enumerate(rows)])
+
+
+def test_rollups_follow_the_facts(spark, tmp_path):
+    """Appends, replays, a deletion and a new pricing leave stored sums equal to those of the facts; only touched days are written."""
+    from meterlake.operators import aggregate, rollups
+
+    t = store.UsageStore(spark, str(tmp_path / "t"))
+    day = lambda d, **k: ("claude", "claude-opus-4-8", "p", d, 3, 10)
+
+    def same():
+        for name, dims in rollups.ROLLUPS.items():
+            want = {tuple(r) for r in rollups.partial(t.usage(), dims).select("provider", "day", *dims, *aggregate.STATS).collect()}
+            assert {tuple(r) for r in t.rollup(name).select("provider", "day", *dims, *aggregate.STATS).collect()} == want
+
+    first = by_day(spark, [day(1), day(2), day(2), ("pi", "m", "q", 2, 20, 5), ("pi", "m2", "q", 3, 1, 5)])
+    t.append(first, scan_id=1)
+    same()
+    second = by_day(spark, [*[day(1)] * 6, day(3), ("pi", "m", "r", 3, 17, 7)])
+    t.append(second, stream=("s", 5))
+    same()
+    for n in rollups.ROLLUPS:
+        newest, *older = t.table.state()["tables"][n]
+        assert newest["parts"] == ["provider=claude/day=2026-08-01", "provider=claude/day=2026-08-03", "provider=pi/day=2026-08-04"]
+        assert [e["parts"] for e in older] == [["provider=claude/day=2026-08-02", "provider=pi/day=2026-08-03"]]
+    before = t.version()
+    t.append(second, stream=("s", 5))
+    t.append(by_day(spark, [day(9)]), stream=("s", 4))
+    assert t.version() == before
+    t.reprice("2")
+    same()
+    assert t.rollup("rollup_models").where("provider = 'claude'").agg(F.sum("cost_micros")).first()[0] > 0
+    t.delete_provider("claude")
+    same()
+    assert [r.provider for r in t.model_counts().collect()] == ["pi"]
+
+
+def test_answers_from_rollups(spark, tmp_path):
+    from meterlake.operators import aggregate, rollups
+
+    rows = [(p, f"m{d % 3}", f"j{h % 2}", d, h, 100 * d + h) for d in range(1, 28) for h in (0, 9, 15, 16, 23) for p in ("claude", "codex")]
+    t = store.UsageStore(spark, str(tmp_path / "t"))
+    t.append(by_day(spark, rows), scan_id=1)
+    facts = t.usage()
+    windows = [None, (datetime(2026, 8, 3, 5), datetime(2026, 8, 9, 10)), (datetime(2026, 8, 3, 16), datetime(2026, 8, 5, 16)), (datetime(2026, 8, 3, 17), datetime(2026, 8, 4, 12)), (datetime(2026, 8, 2, 16), datetime(2026, 8, 20, 9, 30)), (datetime(2027, 1, 1), datetime(2027, 2, 1))]
+    for dims in ((), ("provider",), ("provider", "model"), ("model", "day"), ("project", "week"), ("provider", "month"), ("session",), ("model", "project")):
+        for w in windows:
+            want = [tuple(r) for r in aggregate.rollup(facts, *dims, window=w).collect()]
+            got = t.answer(*dims, window=w)
+            assert [tuple(r) for r in got.collect()] == want, (dims, w)
+            if w and rollups.covering(dims):
+                plan = got._jdf.queryExecution().executedPlan().toString()
+                cuts = re.findall(r"day#\d+ >= (\d{4}-\d\d-\d\d)\), \(day#\d+ <= (\d{4}-\d\d-\d\d)\)", plan)
+                assert len(re.findall(r"FileScan[^\n]*/usage", plan)) == len(cuts) <= 2 and all(a == b for a, b in cuts)
+    assert rollups.covering(("model", "project")) is None and rollups.covering(()) in rollups.ROLLUPS
+
+
+def test_rollup_table_of_a_stream(spark, tmp_path):
+    from meterlake.operators.rollups import RollupTable
+    from meterlake.streaming import usage_stream
+
+    r = RollupTable(spark, str(tmp_path / "r"), "provider", "model")
+    day = lambda d: ("claude", "m", "p", d, 3, 10)
+    assert r.add(by_day(spark, [day(1), day(2)]), ("s", 0)) and r.add(by_day(spark, [day(2)]), ("s", 1))
+    assert not r.add(by_day(spark, [day(2)]), ("s", 1)) and not r.add(by_day(spark, [day(3)]), ("s", 0))
+    assert r.add(by_day(spark, []), ("s", 2)) and r.add(by_day(spark, [day(1)]))
+    assert sorted((x.day.day, x.records, x.input_tokens) for x in r.rows().collect()) == [(1, 2, 20), (2, 2, 20)]
+    assert sorted((x.day.day, x.total_tokens) for x in usage_stream.latest(spark, str(tmp_path / "r"), "model").collect()) == [(1, 20), (2, 20)]
