@@ -72,6 +72,7 @@ def claude(spark: SparkSession, roots: list[Root], run_ts: datetime, lines: Data
 
 
 def codex(spark: SparkSession, roots: list[Root], run_ts: datetime, lines: DataFrame | None = None) -> DataFrame:
+    """Lines of a stream bring the state as of each line along (sid, cwd, model); others carry it from line to line."""
     j = parsed(
         json_lines(spark, roots) if lines is None else lines,
         "type string, timestamp string, payload struct<type: string, session_id: string, id: string, cwd: string, model: string, info: struct<last_token_usage: struct<input_tokens: bigint, cached_input_tokens: bigint, cache_write_input_tokens: bigint, output_tokens: bigint>>>",
@@ -79,7 +80,10 @@ def codex(spark: SparkSession, roots: list[Root], run_ts: datetime, lines: DataF
     p = F.col("j.payload")
     session = F.when((F.col("j.type") == "session_meta") & p.isNotNull(), F.struct(F.coalesce(p["session_id"], p["id"], F.lit("")).alias("id"), project_of(p["cwd"]).alias("project")))
     model = F.when(F.col("j.type") == "turn_context", p["model"])
-    j = j.withColumns({"s": carry(session), "m": carry(model)})
+    if "sid" in j.columns:
+        j = j.withColumns({"s": F.when(F.col("sid").isNotNull(), F.struct(F.col("sid").alias("id"), project_of(F.col("cwd")).alias("project"))), "m": F.col("model")})
+    else:
+        j = j.withColumns({"s": carry(session), "m": carry(model)})
     u = p["info"]["last_token_usage"]
     read, write = count(u["cached_input_tokens"]), count(u["cache_write_input_tokens"])
     return finish(

@@ -15,6 +15,8 @@ from ..operators.aggregate import stats, with_total
 from ..operators.rollups import RollupTable
 from ..operators.store import UsageStore
 from ..sources.files import number_lines
+from ..sources.ingest import codex
+from .file_state import lines_with_state
 
 Job = Callable[[SparkSession, list, datetime, DataFrame], DataFrame]
 
@@ -61,6 +63,29 @@ def ingest_logs(files: DataFrame, job: Job, store: UsageStore, checkpoint: str,
     return ingest(files, store, checkpoint, make, seconds)
 
 
+def ingest_changes(changes: DataFrame, provider: str, job: Job, store: UsageStore, checkpoint: str, run_ts: datetime, seconds: int | None = None) -> StreamingQuery:
+    """A `file_changes` stream of whole files through a tool's job: a file that grows under its name is read once more and its stored rows are skipped.
+
+    File states go with the rows; files that are gone are noted among the errors, and their rows stay.
+    """
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        df = df.persist()
+        there = df.where("kind <> 'remove'")
+        rows = job(df.sparkSession, [], run_ts, number_lines(there.select("rel", F.make_valid_utf8(F.col("value").cast("string")).alias("value"))))
+        seen = there.select(F.lit(provider).alias("provider"), "rel", F.timestamp_micros("mtime_micros").alias("mtime"), "size")
+        gone = df.where("kind = 'remove'").select(F.lit(provider).alias("provider"), "rel", F.lit("removed").alias("message"))
+        store.append(price(rows), files=seen, errors=gone, scan_id=store.next_scan(), stream=(checkpoint, batch_id))
+        df.unpersist()
+
+    return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger(seconds)).start()
+
+
+def ingest_pieces(changes: DataFrame, store: UsageStore, checkpoint: str, run_ts: datetime, seconds: int | None = None) -> StreamingQuery:
+    """Rollout files as a `file_changes` stream with `tail`: only what they have grown by is read, with the state of each file kept by the stream."""
+    return ingest(lines_with_state(changes), store, checkpoint, lambda df: price(codex(df.sparkSession, [], run_ts, df)), seconds)
+
+
 def rollup_table(stream: DataFrame, path: str, checkpoint: str, *dims: str, seconds: int | None = None) -> StreamingQuery:
     """A stored rollup by provider, day and `dims`: each batch is merged into the days that it touches, once, however late its rows are. `latest` reads it."""
     rows = RollupTable(stream.sparkSession, path, *dims)
