@@ -24,11 +24,11 @@ Root = tuple[str, str | None]
 
 
 class Roots(list):
-    """Roots of which only the files of `only` (rel) are read; a plain list is read whole."""
+    """Roots of which only the files of `only` (rel) are read; a plain list is read whole. `tagged`: jobs give a row with an `error` for each file that can't be read."""
 
-    def __init__(self, roots: list[Root], only: DataFrame | None = None):
+    def __init__(self, roots: list[Root], only: DataFrame | None = None, tagged: bool = False):
         super().__init__(roots)
-        self.only = only
+        self.only, self.tagged = only, tagged
 
 
 def _exists(spark: SparkSession, folder: str) -> bool:
@@ -93,10 +93,12 @@ def errors(spark: SparkSession, provider: str, roots: list[Root], pattern: str =
 
 
 def number_lines(files: DataFrame, text: str = "value") -> DataFrame:
-    """rel, line_idx (from 0), line, raw_bytes."""
-    lines = files.select("rel", F.posexplode(F.split(F.make_valid_utf8(text), "\n")).alias("line_idx", "line"))
+    """rel, line_idx (from 0), line, raw_bytes; of a file with an `error` one empty line that holds it."""
+    tags = [c for c in ("error",) if c in files.columns]
+    lines = files.select("rel", *tags, F.posexplode(F.split(F.make_valid_utf8(text), "\n")).alias("line_idx", "line"))
     lines = lines.withColumn("line", F.regexp_replace("line", r"\r$", ""))
-    return lines.withColumn("raw_bytes", F.octet_length("line").cast("long")).where(F.trim("line") != "")
+    some = F.trim("line") != ""
+    return lines.withColumn("raw_bytes", F.octet_length("line").cast("long")).where(some | F.col("error").isNotNull() if tags else some)
 
 
 def json_lines(spark: SparkSession, roots: list[Root], pattern: str = r"(?i)\.jsonl$", depth: int = MAX_DEPTH) -> DataFrame:
@@ -146,48 +148,63 @@ def unreadable(files: DataFrame, provider: str) -> DataFrame:
 
 
 def compressed_lines(spark: SparkSession, roots: list[Root], pattern: str = r"(?i)\.jsonl(\.zstd)?$", depth: int = MAX_DEPTH, files: DataFrame | None = None) -> DataFrame:
-    """Numbered lines of plain or zstd-compressed files (rel, content), one file at a time in a task; those that can't be unpacked give none."""
-    files = contents(spark, roots, pattern, depth) if files is None else files
+    """Numbered lines of plain or zstd-compressed files (rel, content), one file at a time in a task; those that can't be unpacked give none, or a row with an `error` if `roots` are tagged."""
+    files, tagged = contents(spark, roots, pattern, depth) if files is None else files, getattr(roots, "tagged", False)
 
     def unpack(batches):
         for batch in batches:
             for rel, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text, error = "", None
                 try:
                     text = _unpack(rel, raw).decode("utf-8", "replace")
-                except (OSError, pa.ArrowInvalid):
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array([rel]), pa.array([text], pa.string())], names=["rel", "value"])
+                except (OSError, pa.ArrowInvalid) as x:
+                    error = f"unreadable: {x}"
+                if tagged or error is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([rel]), pa.array([text], pa.string()), pa.array([error], pa.string())], names=["rel", "value", "error"])
 
-    return number_lines(files.select("rel", "content").mapInArrow(unpack, "rel string, value string"))
+    rows = files.select("rel", "content").mapInArrow(unpack, "rel string, value string, error string")
+    return number_lines(rows if tagged else rows.drop("error"))
 
 
-def database_rows(spark: SparkSession, roots: list[Root], pattern: str, sql: str, schema: str, depth: int = MAX_DEPTH, files: DataFrame | None = None) -> DataFrame:
+def database_rows(spark: SparkSession, roots: list[Root], pattern: str, sql: str | tuple[str, ...], schema: str, depth: int = MAX_DEPTH, files: DataFrame | None = None) -> DataFrame:
     """rel, label and the rows of a query on each SQLite file (rel, label, content; checkpointed copies: no -wal is read).
 
-    Files that aren't databases, or lack the tables or columns, give no rows.
+    Of several queries the first that a file's tables and columns allow is asked; files that allow none, or aren't
+    databases, give no rows. If `roots` are tagged, a file that is no database gives one row with its `error`.
     """
-    files = contents(spark, roots, pattern, depth) if files is None else files
+    files, tagged = contents(spark, roots, pattern, depth) if files is None else files, getattr(roots, "tagged", False)
     names = [c.strip().split()[0] for c in schema.split(",")]
+    queries = (sql,) if isinstance(sql, str) else sql
+
+    def ask(raw: bytes) -> tuple[list[tuple], str | None]:
+        try:
+            db = _open(raw)
+        except sqlite3.Error as x:
+            return [], f"unreadable: {x}"
+        try:
+            for q in queries:
+                try:
+                    return db.execute(q).fetchall(), None
+                except sqlite3.Error:
+                    continue
+            return [], None
+        finally:
+            db.close()
 
     def read(frames):
         for frame in frames:
             for rel, label, raw in zip(frame.rel, frame.label, frame.content):
-                try:
-                    db = _open(raw)
-                except sqlite3.Error:
-                    continue
-                try:
-                    rows = db.execute(sql).fetchall()
-                except sqlite3.Error:
-                    continue
-                finally:
-                    db.close()
+                rows, error = ask(raw)
+                if error is not None:
+                    rows = [(None,) * len(names)] if tagged else []
                 out = pd.DataFrame(rows, columns=names, dtype=object)
                 out.insert(0, "label", label)
                 out.insert(0, "rel", rel)
+                out["error"] = error
                 yield out
 
-    return files.select("rel", "label", "content").mapInPandas(read, f"rel string, label string, {schema}")
+    rows = files.select("rel", "label", "content").mapInPandas(read, f"rel string, label string, {schema}, error string")
+    return rows if tagged else rows.drop("error")
 
 
 def sqlite_bytes(statements: list[str]) -> bytes:

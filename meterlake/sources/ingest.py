@@ -44,7 +44,7 @@ def carry(state: Column) -> Column:
 
 
 def finish(rows: DataFrame, provider: str, run_ts: datetime, **columns) -> DataFrame:
-    """Usage rows from expressions; missing ones are empty, 0 or `run_ts`. `ord`, in jobs whose rows may share a key: the row's place, the first of which counts."""
+    """Usage rows from expressions; missing ones are empty, 0 or `run_ts`. Rows with an `error` stay, with it and their `rel`. `ord`, in jobs whose rows may share a key: the row's place, the first of which counts."""
     values = {
         "provider": F.lit(provider), "project": F.lit("unknown"), "session_id": F.lit(""), "model": F.lit(""), "started_at": F.lit(None).cast("timestamp_ntz"),
         "input_tokens": F.lit(0), "output_tokens": F.lit(0), "cache_read_tokens": F.lit(0), "cache_write_tokens": F.lit(0), "cost_micros": F.lit(0), "raw_bytes": F.lit(0),
@@ -53,7 +53,15 @@ def finish(rows: DataFrame, provider: str, run_ts: datetime, **columns) -> DataF
     text = ("provider", "project", "session_id", "model", "fingerprint")
     cast = {c: values[c].cast("string") if c in text else values[c] if c == "started_at" else values[c].cast("long") for c in COLUMNS}
     order = [values["ord"].cast("long").alias("ord")] if "ord" in values else []
-    return rows.select(*[cast[c].alias(c) for c in COLUMNS], *order).where(total_tokens() > 0)
+    if "error" not in rows.columns:
+        return rows.select(*[cast[c].alias(c) for c in COLUMNS], *order).where(total_tokens() > 0)
+    return rows.select(*[cast[c].alias(c) for c in COLUMNS], *order, "rel", "error").where((total_tokens() > 0) | F.col("error").isNotNull())
+
+
+def kept(rows: DataFrame, condition: Column | str) -> DataFrame:
+    """Rows that a job bills, and those that hold an error."""
+    condition = F.expr(condition) if isinstance(condition, str) else condition
+    return rows.where(condition | F.col("error").isNotNull()) if "error" in rows.columns else rows.where(condition)
 
 
 def line_key(*parts: Column) -> Column:
@@ -123,14 +131,15 @@ def codebuddy(spark: SparkSession, roots: list[Root], run_ts: datetime, lines: D
 
 def codebuddy_desktop(spark: SparkSession, roots: list[Root], run_ts: datetime, folders: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
     """Requests of <workspace>/<conversation>/index.json; `folders` (conversation, cwd) names projects."""
+    notes = docs
     if docs is None:  # messages are looked up in all files, changed or not
-        docs = documents(spark, roots, DESKTOP, depth=12).unionByName(documents(spark, list(roots), r"[^/]+/[^/]+/messages/[^/]+\.json$", depth=12))
+        docs, notes = documents(spark, roots, DESKTOP, depth=12), documents(spark, list(roots), r"[^/]+/[^/]+/messages/[^/]+\.json$", depth=12)
     at = r"([^/]+)/([^/]+)/(?:index\.json|messages/[^/]+\.json)$"
-    docs = docs.withColumns({"ws": F.regexp_extract("rel", at, 1), "conv": F.regexp_extract("rel", at, 2)})
+    docs, notes = (d.withColumns({"ws": F.regexp_extract("rel", at, 1), "conv": F.regexp_extract("rel", at, 2)}) for d in (docs, notes))
     req = "struct<id: string, startedAt: bigint, usage: struct<inputTokens: bigint, outputTokens: bigint, cacheTokens: bigint, cachedWriteTokens: bigint>>"
     index = docs.where(F.col("rel").endswith("/index.json")).select("ws", "conv", "size", F.explode(F.from_json("doc", f"requests array<{req}>")["requests"]).alias("r"))
     extra = F.from_json(F.get_json_object("doc", "$.extra"), "requestId string, modelId string")
-    models = docs.where(F.col("rel").contains("/messages/")).select("ws", "conv", "rel", extra.alias("e")).where("e.requestId is not null and e.modelId is not null")
+    models = notes.where(F.col("rel").contains("/messages/")).select("ws", "conv", "rel", extra.alias("e")).where("e.requestId is not null and e.modelId is not null")
     models = models.groupBy("ws", "conv", F.col("e.requestId").alias("req")).agg(F.min_by("e.modelId", "rel").alias("model"))
     rows = index.withColumn("req", F.col("r.id")).join(models, ["ws", "conv", "req"], "left")
     if folders is None:
@@ -192,7 +201,7 @@ _MESSAGE = "id string, role string, sessionID string, modelID string, path struc
 
 def _messages(rows: DataFrame, provider: str, run_ts: datetime, store: str) -> DataFrame:
     """Rows (label, id, session_id, time_created, data) of assistant messages."""
-    rows = rows.withColumn("j", F.from_json("data", _MESSAGE, _JSON)).where("j._corrupt is null and j.role = 'assistant'")
+    rows = kept(rows.withColumn("j", F.from_json("data", _MESSAGE, _JSON)), "j._corrupt is null and j.role = 'assistant'")
     t = F.col("j.tokens")
     return finish(
         rows, provider, run_ts,
@@ -212,7 +221,7 @@ def opencode(spark: SparkSession, roots: list[Root], run_ts: datetime, stores: D
     docs = documents(spark, roots, r"(^|/)storage/message/.*\.json$") if docs is None else docs
     old = docs.select("rel", "label", F.coalesce(F.get_json_object("doc", "$.id"), stem(F.col("rel"))).alias("id"), F.lit(None).cast("string").alias("session_id"), F.lit(0).cast("long").alias("time_created"), F.col("doc").alias("data"))
     place = F.when(F.col("rel").endswith("-stable.db"), 1).otherwise(0)
-    return _messages(rows.withColumn("place", place).unionByName(old.withColumn("place", F.lit(2))), "opencode", run_ts, "opencode.db")
+    return _messages(rows.withColumn("place", place).unionByName(old.withColumn("place", F.lit(2)), allowMissingColumns=True), "opencode", run_ts, "opencode.db")
 
 
 def qoder(spark: SparkSession, roots: list[Root], run_ts: datetime, stores: DataFrame | None = None) -> DataFrame:
@@ -290,7 +299,7 @@ def deepseek(spark: SparkSession, roots: list[Root], run_ts: datetime, lines: Da
     )
     u = F.col("j.data.usage")
     return finish(
-        j.where("j.type = 'assistant/message' and j.data.turn is not null and j.data.step is not null and j.time is not null and j.data.usage is not null"), "deepseek", run_ts,
+        kept(j, "j.type = 'assistant/message' and j.data.turn is not null and j.data.step is not null and j.time is not null and j.data.usage is not null"), "deepseek", run_ts,
         project=F.when(F.col("cwd").isNull(), "").otherwise(project_of(F.col("cwd"))), session_id=F.coalesce("sid", F.regexp_replace(F.regexp_extract("rel", r"([^/]+)$", 1), r"(?i)\.jsonl(\.zstd)?$", "")),
         model=F.coalesce(some(F.col("j.data.message.source.model")), "m", F.lit(DEEPSEEK_MODEL)), started_at=from_millis(F.col("j.time")),
         input_tokens=count(u["inputTokens"]), output_tokens=count(u["outputTokens"]), cache_read_tokens=count(u["cacheReadTokens"]), cache_write_tokens=count(u["cacheWriteTokens"]),
@@ -318,13 +327,14 @@ def pi(spark: SparkSession, roots: list[Root], run_ts: datetime, lines: DataFram
 
 def antigravity(spark: SparkSession, roots: list[Root], run_ts: datetime, stores: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
     """Generation steps of conversation stores; model from the root's settings, project from the trajectory."""
-    steps = database_rows(spark, roots, r"conversations/[^/]+\.db$", "SELECT idx, metadata FROM steps WHERE step_type = 15 ORDER BY idx", "idx long, metadata binary", files=stores)
-    blobs = database_rows(spark, roots, r"conversations/[^/]+\.db$", "SELECT data FROM trajectory_metadata_blob WHERE id = 'main' LIMIT 1", "data binary", files=stores)
-    where = blobs.select("rel", workspace_name(workspace_uri("data")).alias("workspace"))
+    steps = "SELECT idx, metadata, NULL FROM steps WHERE step_type = 15"
+    with_folder = f"{steps} UNION ALL SELECT * FROM (SELECT NULL, NULL, data FROM trajectory_metadata_blob WHERE id = 'main' LIMIT 1)"
+    rows = database_rows(spark, roots, r"conversations/[^/]+\.db$", (with_folder, steps), "idx long, metadata binary, data binary", files=stores)
+    rows = rows.withColumn("workspace", F.max(workspace_name(workspace_uri("data"))).over(Window.partitionBy("rel")))
     settings = documents(spark, list(roots), r"^([^/]+/)?settings\.json$") if docs is None else docs
     settings = settings.select(F.coalesce("label", F.lit("")).alias("root"), F.nullif(F.trim(F.get_json_object("doc", "$.model")), F.lit("")).alias("set_model"))
-    rows = steps.withColumn("g", generation("metadata")).where("g.seconds is not null").withColumn("root", F.coalesce("label", F.lit("")))
-    rows = rows.join(where, "rel", "left").join(settings, "root", "left")
+    rows = kept(rows.withColumn("g", generation("metadata")), "g.seconds is not null").withColumn("root", F.coalesce("label", F.lit("")))
+    rows = rows.join(settings, "root", "left")
     fresh, read = split_cached(F.col("g.input"), F.col("g.cached"))
     return finish(
         rows, "antigravity", run_ts,

@@ -190,3 +190,44 @@ def test_collect_reads_what_changed(spark, tmp_path):
     assert scan(4) == {"claude": (3, 1, 2)} and scan(5) == {}
     store.delete_provider("claude")
     assert scan(6) == {"claude": (4, 4, 0)}
+
+
+def test_each_changed_file_is_opened_once(spark, tmp_path):
+    """Rows and errors of stores and compressed files come from one read each; nothing of a scan is left behind."""
+    import os
+    import sqlite3
+
+    import pyarrow as pa
+
+    from meterlake.operators.store import UsageStore
+    from meterlake.plans.collect import collect
+
+    junk = os.urandom(3 << 20)
+    (tmp_path / "d").mkdir()
+    line = '{"type":"assistant/message","time":1755129600000,"data":{"turn":1,"step":1,"usage":{"inputTokens":3}}}'
+    (tmp_path / "d" / "a.jsonl.zstd").write_bytes(pa.compress((line + "\n" + junk.hex()).encode(), "zstd", asbytes=True))
+    (tmp_path / "d" / "bad.jsonl.zstd").write_bytes(junk)
+    for tool, name, sql in (("q", "local.db", "INSERT INTO message VALUES ('m', 's', 1, '{\"role\":\"assistant\",\"tokens\":{\"input\":5}}')"), ("o", "opencode.db", "INSERT INTO message VALUES ('m', 's', 1, '{\"role\":\"assistant\",\"tokens\":{\"input\":7}}')")):
+        (tmp_path / tool).mkdir()
+        with sqlite3.connect(tmp_path / tool / name) as db:
+            db.execute("CREATE TABLE message(id, session_id, time_created, data)")
+            db.execute(sql)
+            db.execute("CREATE TABLE more(x)")
+            db.execute("INSERT INTO more VALUES (?)", (junk,))
+        db.close()
+    (tmp_path / "q" / "x").mkdir()
+    (tmp_path / "q" / "x" / "local.db").write_bytes(junk)
+    roots = {p: [(str(tmp_path / d), None)] for p, d in (("deepseek", "d"), ("qoder", "q"), ("opencode", "o"))}
+    store = UsageStore(spark, str(tmp_path / "store"))
+    stats = spark._jvm.org.apache.hadoop.fs.FileSystem.getGlobalStorageStatistics().get("file")
+    before = stats.getLong("bytesRead")
+    collect(spark, store, roots, RUN, 1)
+    size = sum(os.path.getsize(os.path.join(f, n)) for d in "dqo" for f, _, names in os.walk(tmp_path / d) for n in names)
+    assert size < stats.getLong("bytesRead") - before < 1.3 * size
+    assert sorted((r.provider, r.input_tokens) for r in store.usage().collect()) == [("deepseek", 3), ("opencode", 7), ("qoder", 5)]
+    assert sorted((r.provider, r.rel, r.message[:10]) for r in store.scan_errors().collect()) == [("deepseek", "bad.jsonl.zstd", "unreadable"), ("qoder", "x/local.db", "unreadable")]
+    assert sorted(r.rel for r in store.file_state().collect()) == ["a.jsonl.zstd", "local.db", "opencode.db"]
+    from meterlake.sources.paths import work_folder
+
+    here = os.path.dirname(work_folder(spark, "x").removeprefix("file:"))
+    assert not [n for n in os.listdir(here) if n.startswith("scan-")]
