@@ -32,7 +32,7 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: Code points with the Unicode property White_Space (fixed values).
 WHITE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Bytes of slices, ids and decoded bytes that a worker's cache holds before it starts anew; bytes of a batch encoded at once.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 24 << 20
 BLOCK = 1 << 18
 
 

@@ -34,7 +34,7 @@ UNICODE_16 = [
 #: Bytes from which a word is merged by buckets and not cached.
 LONG = 256
 #: Bytes of words and tokens that a worker's cache holds before it starts anew.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 32 << 20
 #: Code points encoded at once.
 BLOCK = 1 << 18
 
