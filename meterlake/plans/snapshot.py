@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import calendar
 from ..operators import series
-from ..operators.aggregate import merge, stats, with_total
+from ..operators.aggregate import merge, rollup, stats, with_total
 
 #: grouping_id over (provider, model, project, day) of each part of the dashboard.
 LEVELS = {15: "total", 7: "provider", 3: "provider_model", 13: "project", 14: "day"}
@@ -33,8 +35,6 @@ def charts(usage: DataFrame, window: calendar.Window) -> dict[str, DataFrame]:
 
 def report(usage: DataFrame, today: date, window: calendar.Window) -> dict[str, DataFrame]:
     """The report of a year: days, activity, grid, levels, hours of today, and breakdowns of a window."""
-    from ..operators.aggregate import rollup
-
     days = series.daily(usage, window=calendar.custom(series.grid_start(today), today))
     cells = series.grid(days, today)
     hourly = series.hours(usage, today)
@@ -43,3 +43,40 @@ def report(usage: DataFrame, today: date, window: calendar.Window) -> dict[str,
         "levels": series.level_histogram(cells), "hours": hourly, "peak": series.peak_hour(hourly),
         "providers": rollup(usage, "provider", window=window, order="total_tokens"), "models": rollup(usage, "model", window=window, order="total_tokens"),
     }
+
+
+Part = Callable[[DataFrame, calendar.Window], DataFrame]
+
+#: Parts of a view, each few rows a window.
+PARTS: dict[str, Part] = {
+    "total": lambda u, w: rollup(u, window=w),
+    "provider": lambda u, w: rollup(u, "provider", window=w),
+    "provider_model": lambda u, w: rollup(u, "provider", "model", window=w),
+    "project": lambda u, w: rollup(u, "project", window=w),
+    "day": lambda u, w: rollup(u, "day", window=w),
+}
+
+
+@dataclass
+class View:
+    """Rows of the parts that could be had, and what went wrong with the last of the others; `number` says which of two views is newer."""
+
+    number: int
+    rows: dict[str, list[Row]] = field(default_factory=dict)
+    error: str | None = None
+
+
+def view(usage: DataFrame, window: calendar.Window, number: int, parts: dict[str, Part] | None = None) -> View:
+    """All parts, each evaluated on its own: one that fails leaves the others whole. `dashboard` has them from one scan."""
+    out = View(number)
+    for name, part in (PARTS if parts is None else parts).items():
+        try:
+            out.rows[name] = part(usage, window).collect()
+        except Exception as x:  # noqa: BLE001  whatever a part's job raises
+            out.error = f"{name}: {x}"
+    return out
+
+
+def applied(shown: View | None, new: View) -> View:
+    """The view to show: a view that is older than the one shown is passed over."""
+    return shown if shown is not None and new.number < shown.number else new

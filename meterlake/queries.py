@@ -17,7 +17,7 @@ from .operators import aggregate, filters, metrics, quota, series, store
 from .plans import collect, snapshot
 from .sources import files, ingest
 from .sources.paths import work_folder
-from .streaming import usage_stream
+from .streaming import file_state, usage_stream
 
 NOW = datetime(2024, 1, 20, 15)
 TODAY = date(2024, 1, 20)
@@ -358,6 +358,28 @@ def _storage() -> None:
     add("snp_01_dashboard", lambda s, d: snapshot.dashboard(usage(s, d), MONTH),
         f"SELECT provider, model, project, day, {SUMS_SQL}, CASE grouping(provider, model, project, day) WHEN 15 THEN 'total' WHEN 7 THEN 'provider' WHEN 3 THEN 'provider_model' WHEN 13 THEN 'project' ELSE 'day' END AS level FROM (SELECT * EXCLUDE d, strftime(d, '%Y-%m-%d') AS day FROM usage WHERE {M}) GROUP BY GROUPING SETS ((), (provider), (provider, model), (project), (day))")
     add("snp_02_charts", lambda s, d: text_days(snapshot.charts(usage(s, d), MONTH)["provider"]), f"SELECT provider, strftime(d, '%Y-%m-%d') AS day, {SUMS_SQL} FROM usage WHERE {M} GROUP BY ALL")
+    charts = {"provider_model": "provider, model, ", "model": "model, "}
+    for name, keys in charts.items():
+        add(f"snp_02_charts_{name}", lambda s, d, name=name: text_days(snapshot.charts(usage(s, d), MONTH)[name]), f"SELECT {keys}strftime(d, '%Y-%m-%d') AS day, {SUMS_SQL} FROM usage WHERE {M} GROUP BY ALL")
+    same = {"activity": "ts_10_activity", "busiest": "ts_13_busiest_day", "grid": "ts_14_grid", "levels": "ts_16_level_histogram", "hours": "ts_05_hours", "peak": "ts_06_peak_hour"}
+    for name, other in same.items():
+        dated = name in ("busiest", "grid")
+        add(f"snp_03_report_{name}", lambda s, d, name=name, dated=dated: text_days(r) if (r := snapshot.report(usage(s, d), TODAY, MONTH)[name]) and dated else r, ORACLES[other], "")
+    in_grid = in_sql(calendar.custom(series.grid_start(TODAY), TODAY))
+    add("snp_03_report_days", lambda s, d: text_days(snapshot.report(usage(s, d), TODAY, MONTH)["days"]), f"SELECT strftime(d, '%Y-%m-%d') AS day, {SUMS_SQL} FROM usage WHERE {in_grid} GROUP BY 1")
+    add("snp_03_report_models", lambda s, d: snapshot.report(usage(s, d), TODAY, MONTH)["models"], f"SELECT model, {SUMS_SQL} FROM usage WHERE {M} GROUP BY 1")
+
+    def partial_view(s: SparkSession, d: str) -> DataFrame:
+        """A view one part of which throws: rows and cost of the others."""
+        def broken(u: DataFrame, w: calendar.Window) -> DataFrame:
+            return u.select("no such column")
+
+        v = snapshot.view(usage(s, d), MONTH, 1, snapshot.PARTS | {"project": broken})
+        rows = [(name, len(r), sum(x.cost_micros for x in r)) for name, r in v.rows.items()]
+        return s.createDataFrame([*rows, ((v.error or "").split(":")[0], -1, 0)], "part string, n long, cost_micros long")
+
+    counted = " UNION ALL ".join(f"SELECT '{n}' AS part, CAST(count(*) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) AS cost_micros FROM (SELECT sum(cost_micros) AS c FROM usage WHERE {M} {'GROUP BY ' + k if k else ''})" for n, k in (("total", ""), ("provider", "provider"), ("provider_model", "provider, model"), ("day", "d")))
+    add("snp_01_partial_view", partial_view, f"{counted} UNION ALL SELECT 'project', CAST(-1 AS BIGINT), CAST(0 AS BIGINT)")
     add("snp_03_report_providers", lambda s, d: snapshot.report(usage(s, d), TODAY, MONTH)["providers"], f"SELECT provider, {SUMS_SQL} FROM usage WHERE {M} GROUP BY 1")
 
 
@@ -432,6 +454,21 @@ def _raw_logs() -> None:
 
     add("ing_03_codebuddy", as_codebuddy, "SELECT project, session_id, input_tokens, output_tokens, cache_read_tokens, concat(project, '/', session_id, '.jsonl:', event_id) AS fingerprint FROM raw WHERE input_tokens + output_tokens + cache_read_tokens > 0")
 
+    def all_shapes(s: SparkSession, d: str) -> DataFrame:
+        """Usage in each of its three shapes by turns; the later ones know what was written to the cache, or who asked for the model."""
+        total = F.col("input_tokens") + F.col("cache_read_tokens")
+        at = lambda k, c: F.when(F.col("event_id") % 3 == k, c)
+        sent = at(0, F.struct(F.struct(total.alias("input_tokens"), t("output_tokens", "output_tokens"), t("cache_read_tokens", "cache_read_input_tokens")).alias("usage")))
+        rich = F.struct(total.alias("inputTokens"), t("output_tokens", "outputTokens"), F.array(F.struct(t("cache_read_tokens", "cached_tokens"))).alias("inputTokensDetails"))
+        raw = F.struct((total + F.col("cache_write_tokens")).alias("prompt_tokens"), t("output_tokens", "completion_tokens"), F.struct(t("cache_read_tokens", "cached_tokens")).alias("prompt_tokens_details"), t("cache_write_tokens", "prompt_cache_write_tokens"))
+        said = F.struct(F.concat(F.lit("custom-local:"), "model").alias("requestModelId"), at(1, F.concat(F.lit("e"), "event_id")).alias("messageId"), at(2, F.concat(F.lit("t"), "event_id")).alias("traceId"), at(1, rich).alias("usage"), at(2, raw).alias("rawUsage"))
+        j = lines(s, d, F.struct(F.lit("function_call").alias("type"), sent.alias("message"), said.alias("providerData")))
+        return ingest.codebuddy(s, [], NOW, j).select("model", *back.split(", "), "fingerprint")
+
+    add("ing_03_all_shapes", all_shapes, """SELECT model, input_tokens, output_tokens, cache_read_tokens, CASE WHEN event_id % 3 = 2 THEN cache_write_tokens ELSE 0 END AS cache_write_tokens,
+      concat(project, '/', session_id, '.jsonl:', CASE event_id % 3 WHEN 1 THEN 'e' WHEN 2 THEN 't' ELSE '' END, event_id) AS fingerprint
+      FROM raw WHERE input_tokens + output_tokens + cache_read_tokens + CASE WHEN event_id % 3 = 2 THEN cache_write_tokens ELSE 0 END > 0""")
+
     def as_trae(s: SparkSession, d: str) -> DataFrame:
         """Documents of one project and range of event_id each, so that they stay small; those of a project share its path."""
         row = F.struct(F.col("model").alias("model_name"), "session_id", F.col("event_id").alias("usage_time"), F.struct(t("input_tokens", "input_token"), t("output_tokens", "output_token"), t("cache_read_tokens", "cache_read_token"), t("cache_write_tokens", "cache_write_token")).alias("extra_info"))
@@ -460,12 +497,75 @@ def _raw_logs() -> None:
 
     add("ing_02_codex_carry", as_codex, """SELECT coalesce(m, '') AS model, CAST(length(text) AS BIGINT) AS input_tokens, concat('c', conv_id, '.jsonl:', turn) AS fingerprint FROM (SELECT *, last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM conversations) WHERE role = 'assistant' AND length(text) > 0""", "")
 
+    def in_pieces(s: SparkSession, d: str) -> DataFrame:
+        """The same files as a stream of three pieces each, cut inside lines, with state by file."""
+        top = work_folder(s, "pieces")
+        u = F.struct(F.length("text").alias("input_tokens"), F.lit(0).alias("cached_input_tokens"), F.lit(0).alias("output_tokens"))
+        turn = F.to_json(F.struct(F.lit("turn_context").alias("type"), F.struct(F.col("text").alias("model")).alias("payload")))
+        bill = F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit("token_count").alias("type"), F.struct(u.alias("last_token_usage")).alias("info")).alias("payload")))
+        c = s.read.parquet(f"{d}/conversations.parquet")
+        line = F.when(F.col("role") == "system", turn).when(F.col("role") == "assistant", bill).otherwise("not json")
+        text = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
+        raw = text.select(F.concat(F.lit("c"), "conv_id", F.lit(".jsonl")).alias("rel"), F.concat(F.array_join("l.line", "\n"), F.lit("\n")).cast("binary").alias("b")).withColumn("n", F.octet_length("b"))
+        where = lambda k: F.floor(F.col("n") * k / 3).cast("int")
+        for k in range(3):
+            piece = F.substring("b", where(k) + 1, where(k + 1) - where(k))
+            kind = F.lit("modify" if k else "create")
+            part = raw.select("rel", kind.alias("kind"), F.lit(k).cast("long").alias("mtime_micros"), F.col("n").cast("long").alias("size"), where(k).cast("long").alias("start"), piece.alias("value"))
+            part.coalesce(1).write.mode("append").parquet(f"{top}/in")
+        feed = s.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
+        store_of, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        before = s.conf.get(store_of)
+        s.conf.set(store_of, kind)
+        try:
+            made = file_state.lines_with_state(feed).writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{top}/out/batch={n}"))
+            made.option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
+        finally:
+            s.conf.set(store_of, before)
+        found = s.read.schema(file_state.LINES).parquet(*[f"{top}/out/batch={k}" for k in range(3)])
+        return ingest.codex(s, [], NOW, found).select("model", "input_tokens", "fingerprint")
+
+    add("str_04_codex_pieces", in_pieces, ORACLES["ing_02_codex_carry"], "")
+
     def scalar(s: SparkSession, d: str) -> DataFrame:
         p = s.read.parquet(f"{d}/pages.parquet")
         return p.select("page_id", tokens.project_of(F.col("url")).alias("leaf"))
 
     add("fn_04_leaf_of_path", scalar, r"SELECT page_id, coalesce(nullif(regexp_extract(url, '([^/\\]+)[/\\]*$', 1), ''), 'unknown') AS leaf FROM pages", "")
     add("fn_13_normalize", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", tokens.normalize_model(F.concat(F.lit("Claude "), "p_name", F.lit("-4-6:free"))).alias("model")), "SELECT p_partkey, 'anthropic/' || regexp_replace(lower('Claude ' || p_name || '-4-6'), '\\s+', '-', 'g')[:-5] || '-4.6' AS model FROM part", "")
+    #: A name for each branch, and what becomes of it.
+    names = {
+        " Claude Opus-4-8 ": "anthropic/claude-opus-4.8", "GPT-5.5:free": "openai/gpt-5.5", "chatgpt-x": "openai/chatgpt-x", "o3-mini": "openai/o3-mini", "Gemini 3  Pro-free": "google/gemini-3-pro", "grok-4-1": "x-ai/grok-4-1",
+        "Qwen3.7-max": "qwen/qwen3.7-max", "DeepSeek V4": "deepseek/deepseek-v4", "glm-5": "z-ai/glm-5", "mimo-v2": "xiaomi/mimo-v2", "hy3": "tencent/hy3", "hy3-preview:free": "tencent/hy3-preview", "hy3-other": "hy3-other", "a/B-c": "a/b-c", "plain": "plain",
+    }
+    displayed = {
+        " GPT-5.4 ": "gpt-5.4", "gpt-5.3": "gpt-5.3-codex", "GPT-5.3 Codex": "gpt-5.3-codex", "gpt-5.3-codex": "gpt-5.3-codex", "gpt-5.2": "gpt-5.2-codex", "gpt-5.2 codex": "gpt-5.2-codex", "gpt-5.1": "gpt-5.1-codex", "gpt-5.1 codex": "gpt-5.1-codex",
+        "Gemini 3.1 Pro": "gemini-3.1-pro", "gemini 3.1": "gemini-3.1", "GLM 5.1": "glm-5.1", "glm-5.1": "glm-5.1", "Claude Sonnet 4.6": "claude-sonnet-4.6", "claude sonnet 4.5 ": "claude-sonnet-4.5", "Some Other": "some other",
+    }
+
+    def by_name(table: dict[str, str], make):
+        return lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.get(F.array(*[F.lit(n) for n in table]), (F.col("event_id") % len(table)).cast("int")).alias("n")).select("event_id", make(F.col("n")).alias("model"))
+
+    def in_cases(table: dict[str, str]) -> str:
+        return f"SELECT event_id, CASE event_id % {len(table)} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(table.values())) + " END AS model FROM events"
+
+    add("fn_13_branches", by_name(names, tokens.normalize_model), in_cases(names), "")
+    add("fn_08_displayed_names", by_name(displayed, tokens.trae_model), in_cases(displayed), "")
+
+    def layered(s: SparkSession, d: str) -> DataFrame:
+        """Prices of a base table over the defaults and under the overrides."""
+        p = s.read.parquet(f"{d}/part.parquet")
+        ident = F.when(F.col("p_partkey") == 1, "openai/gpt-5.5").when(F.col("p_partkey") == 2, "qwen/qwen3.7-plus").otherwise(F.concat(F.lit("shop/"), "p_partkey"))
+        price = F.col("p_retailprice").cast("double")
+        base = p.select(ident.alias("id"), price.alias("input"), (price * 2).alias("output"), (price / 2).alias("cache_read"), F.lit(0.0).alias("cache_write"))
+        return pricing.price_table(s, base)
+
+    given = lambda rows: ", ".join(f"('{i}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {e}::DOUBLE)" for i, a, b, c, e in rows)
+    add("prc_01_layers", layered, f"""WITH layers AS (
+      SELECT 2 AS prio, * FROM (VALUES {given(pricing.DEFAULTS)}) t(id, input, output, cache_read, cache_write)
+      UNION ALL SELECT 1, CASE p_partkey WHEN 1 THEN 'openai/gpt-5.5' WHEN 2 THEN 'qwen/qwen3.7-plus' ELSE concat('shop/', p_partkey) END, p_retailprice::DOUBLE, p_retailprice::DOUBLE * 2, p_retailprice::DOUBLE / 2, 0::DOUBLE FROM part
+      UNION ALL SELECT 0, * FROM (VALUES {given(pricing.OVERRIDES)}) t(id, input, output, cache_read, cache_write))
+      SELECT id, input, output, cache_read, cache_write FROM layers QUALIFY row_number() OVER (PARTITION BY id ORDER BY prio) = 1""", "")
     add("fn_11_week_keys", lambda s, d: scaled(s, d).select(calendar.week_key("started_at").alias("week"), calendar.day_key("started_at").alias("day"), calendar.month_key("started_at").alias("month")).distinct(), f"SELECT DISTINCT {KEYS['week']} AS week, {KEYS['day']} AS day, {KEYS['month']} AS month FROM usage", SCALED)
 
 
@@ -566,6 +666,17 @@ def _embedded() -> None:
     none = "SELECT rel, raw FROM (SELECT 'broken.db' AS rel, 'x' AS raw)"
     add("src_07_10_databases", lambda s, d: files.unreadable(messages(s, d, "{}/local.db"), "qoder").select("provider", "rel"), f"SELECT 'qoder' AS provider, rel FROM ({none})", "")
 
+    def damaged(s: SparkSession, d: str) -> DataFrame:
+        """Rows and errors of one read: every second store is cut short."""
+        stores = messages(s, d, "{}/local.db")
+        odd = F.regexp_extract("rel", "^([0-9]+)/", 1).try_cast("int") % 2 == 1
+        stores = stores.withColumn("content", F.when(odd, F.expr("substring(content, 1, 60)")).otherwise(F.col("content")))
+        rows = ingest.qoder(s, files.Roots([], tagged=True), NOW, stores)
+        return rows.groupBy(F.coalesce(F.when(F.col("error").isNotNull(), F.col("rel")), F.lit("read")).alias("what")).agg(F.sum("input_tokens").alias("input_tokens"), F.count("*").alias("n"))
+
+    add("src_10_rows_and_errors", damaged, """SELECT 'read' AS what, CAST(sum(input_tokens + 3) AS BIGINT) AS input_tokens, count(*) AS n FROM raw WHERE (event_id // 1000) % 2 = 0
+      UNION ALL SELECT DISTINCT concat(event_id // 1000, '/local.db'), CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM raw WHERE (event_id // 1000) % 2 = 1 UNION ALL SELECT 'broken.db', CAST(0 AS BIGINT), CAST(1 AS BIGINT)""")
+
     def covered(s: SparkSession, d: str) -> DataFrame:
         """Ledger totals of sessions; those with an even number are covered by logs."""
         sums = unpriced(s, d).groupBy("session_id").agg(F.sum("input_tokens").alias("used"), F.min("project").alias("project"), F.max("event_id").alias("event_id"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import io
 import sqlite3
+import tempfile
 from functools import reduce
 
 import pandas as pd
@@ -45,7 +46,12 @@ def _relative(spark: SparkSession, folder: str, label: str | None) -> Column:
     return F.concat(F.lit(f"{label}/"), rel) if label else rel
 
 
-def _scan(spark: SparkSession, roots: list[Root], kind: str, pattern: str, depth: int, content: list[Column], schema: str, over: bool = False) -> DataFrame:
+#: What a store's name has more where changes wait that aren't in the store yet.
+SIDECAR = r"(?<=\.db|\.vscdb)-wal$"
+
+
+def _scan(spark: SparkSession, roots: list[Root], kind: str, pattern: str, depth: int, content: list[Column], schema: str, over: bool = False, sidecars: bool = False) -> DataFrame:
+    """Files whose path matches; with `sidecars` those of stores too, under the store's own `rel`, with `sidecar` set."""
     parts = []
     for folder, label in roots:
         if not _exists(spark, folder):
@@ -55,18 +61,22 @@ def _scan(spark: SparkSession, roots: list[Root], kind: str, pattern: str, depth
             reader = reader.option("wholetext", "true")
         rel = _relative(spark, folder, label)
         df = reader.load(folder).select(rel.alias("rel"), F.lit(label).alias("label"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("mtime"), *content)
+        if sidecars:
+            df = df.withColumns({"sidecar": F.col("rel").rlike(SIDECAR), "rel": F.regexp_replace("rel", SIDECAR, "")})
         inside = F.size(F.split("rel", "/")) <= depth + (1 if label else 0)
         df = df.where(F.col("rel").rlike(pattern) & inside & ((F.col("size") > MAX_BYTES) if over else (F.col("size") <= MAX_BYTES)))
         parts.append(df)
     if not parts:
-        return spark.createDataFrame([], "rel string, label string, size bigint, mtime timestamp" + schema)
+        return spark.createDataFrame([], "rel string, label string, size bigint, mtime timestamp" + schema + (", sidecar boolean" if sidecars else ""))
     found, only = reduce(DataFrame.unionByName, parts), getattr(roots, "only", None)
     return found if only is None else found.join(only.select("rel"), "rel", "left_semi").select(found.columns)
 
 
 def listing(spark: SparkSession, provider: str, roots: list[Root], pattern: str = r"(?i)\.jsonl$", depth: int = MAX_DEPTH) -> DataFrame:
-    """provider, rel, mtime, size of the files; contents aren't read."""
-    return _scan(spark, roots, "binaryFile", pattern, depth, [], "").select(F.lit(provider).alias("provider"), "rel", "mtime", "size")
+    """provider, rel, mtime, size of the files, a store's with its sidecar's; contents aren't read."""
+    found = _scan(spark, roots, "binaryFile", pattern, depth, [], "", sidecars=True)
+    both = found.groupBy("rel").agg(F.max("mtime").alias("mtime"), F.sum("size").alias("size"), F.min("sidecar").alias("alone")).where("not alone")
+    return both.select(F.lit(provider).alias("provider"), "rel", "mtime", "size")
 
 
 def snapshot(files: DataFrame) -> DataFrame:
@@ -86,6 +96,13 @@ def contents(spark: SparkSession, roots: list[Root], pattern: str, depth: int =
     return _scan(spark, roots, "binaryFile", pattern, depth, [F.col("content")], ", content binary").select("rel", "label", "content")
 
 
+def stores(spark: SparkSession, roots: list[Root], pattern: str, depth: int = MAX_DEPTH) -> DataFrame:
+    """rel, label, content, wal of database files: each store with the changes that its sidecar holds, if there is one."""
+    found = _scan(spark, roots, "binaryFile", pattern, depth, [F.col("content")], ", content binary", sidecars=True)
+    waiting = found.where("sidecar").select(F.col("rel").alias("of"), F.col("content").alias("wal"))
+    return found.where("not sidecar").join(waiting, F.col("rel") == F.col("of"), "left").select("rel", "label", "content", "wal")
+
+
 def errors(spark: SparkSession, provider: str, roots: list[Root], pattern: str = r"(?i)\.jsonl$", depth: int = MAX_DEPTH) -> DataFrame:
     """The error channel: provider, rel, message of files that are too large, or can't be unpacked or opened."""
     bad = unreadable(contents(spark, roots, rf"(?=.*\.(db|vscdb|zstd)$){pattern}", depth), provider)
@@ -115,8 +132,26 @@ def _unpack(rel: str, raw: bytes) -> bytes:
     return pa.CompressedInputStream(pa.BufferReader(raw), "zstd").read() if rel.lower().endswith(".zstd") else raw
 
 
-def _open(raw: bytes) -> sqlite3.Connection:
-    """A connection to the bytes of a database file; raises sqlite3.Error if they are none."""
+def _open(raw: bytes, wal: bytes | None = None) -> sqlite3.Connection:
+    """A connection to the bytes of a database file, with the changes that wait in its sidecar; raises sqlite3.Error if they are none.
+
+    Only a pair of files can be opened with its sidecar, so both lie in a folder of the task's own until they are copied to memory.
+    """
+    if wal:
+        with tempfile.TemporaryDirectory() as folder:
+            for name, held in (("store.db", raw), ("store.db-wal", wal)):
+                with open(f"{folder}/{name}", "wb") as f:
+                    f.write(held)
+            pair, db = sqlite3.connect(f"{folder}/store.db"), sqlite3.connect(":memory:")
+            try:
+                pair.backup(db)
+                db.execute("SELECT count(*) FROM sqlite_master")
+            except sqlite3.Error:
+                db.close()
+                raise
+            finally:
+                pair.close()
+        return db
     raw = bytearray(raw)
     if raw[18:20] == b"\x02\x02":
         raw[18:20] = b"\x01\x01"  # write-ahead mode: read the file alone
@@ -167,18 +202,20 @@ def compressed_lines(spark: SparkSession, roots: list[Root], pattern: str = r"(?
 
 
 def database_rows(spark: SparkSession, roots: list[Root], pattern: str, sql: str | tuple[str, ...], schema: str, depth: int = MAX_DEPTH, files: DataFrame | None = None) -> DataFrame:
-    """rel, label and the rows of a query on each SQLite file (rel, label, content; checkpointed copies: no -wal is read).
+    """rel, label and the rows of a query on each SQLite file (rel, label, content, and wal where there is a sidecar).
 
     Of several queries the first that a file's tables and columns allow is asked; files that allow none, or aren't
     databases, give no rows. If `roots` are tagged, a file that is no database gives one row with its `error`.
     """
-    files, tagged = contents(spark, roots, pattern, depth) if files is None else files, getattr(roots, "tagged", False)
+    files, tagged = stores(spark, roots, pattern, depth) if files is None else files, getattr(roots, "tagged", False)
+    if "wal" not in files.columns:
+        files = files.withColumn("wal", F.lit(None).cast("binary"))
     names = [c.strip().split()[0] for c in schema.split(",")]
     queries = (sql,) if isinstance(sql, str) else sql
 
-    def ask(raw: bytes) -> tuple[list[tuple], str | None]:
+    def ask(raw: bytes, wal: bytes | None) -> tuple[list[tuple], str | None]:
         try:
-            db = _open(raw)
+            db = _open(raw, wal)
         except sqlite3.Error as x:
             return [], f"unreadable: {x}"
         try:
@@ -193,8 +230,8 @@ def database_rows(spark: SparkSession, roots: list[Root], pattern: str, sql: str
 
     def read(frames):
         for frame in frames:
-            for rel, label, raw in zip(frame.rel, frame.label, frame.content):
-                rows, error = ask(raw)
+            for rel, label, raw, wal in zip(frame.rel, frame.label, frame.content, frame.wal):
+                rows, error = ask(raw, wal)
                 if error is not None:
                     rows = [(None,) * len(names)] if tagged else []
                 out = pd.DataFrame(rows, columns=names, dtype=object)
@@ -203,7 +240,7 @@ def database_rows(spark: SparkSession, roots: list[Root], pattern: str, sql: str
                 out["error"] = error
                 yield out
 
-    rows = files.select("rel", "label", "content").mapInPandas(read, f"rel string, label string, {schema}, error string")
+    rows = files.select("rel", "label", "content", "wal").mapInPandas(read, f"rel string, label string, {schema}, error string")
     return rows if tagged else rows.drop("error")
 
 

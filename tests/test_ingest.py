@@ -231,3 +231,43 @@ def test_each_changed_file_is_opened_once(spark, tmp_path):
 
     here = os.path.dirname(work_folder(spark, "x").removeprefix("file:"))
     assert not [n for n in os.listdir(here) if n.startswith("scan-")]
+
+
+def test_rows_that_wait_in_a_sidecar(spark, tmp_path):
+    """A live store: rows that aren't in its file yet are read, also when only the sidecar has changed since."""
+    import shutil
+    import sqlite3
+
+    from meterlake.operators.store import UsageStore
+    from meterlake.plans.collect import collect
+    from meterlake.sources import files
+
+    live, logs = tmp_path / "live", tmp_path / "logs"
+    live.mkdir()
+    (logs / "x").mkdir(parents=True)
+    db = sqlite3.connect(live / "local.db", isolation_level=None)
+    db.execute("PRAGMA journal_mode=WAL")
+    db.execute("CREATE TABLE message(id, session_id, time_created, data)")
+    db.execute("PRAGMA wal_checkpoint(TRUNCATE)")
+    add = lambda k: db.execute("INSERT INTO message VALUES (?, 's', 1, ?)", (f"m{k}", '{"role":"assistant","tokens":{"input":%d}}' % k))
+    add(1)
+    copy = lambda: [shutil.copy(live / n, logs / "x" / n) for n in ("local.db", "local.db-wal")]
+    copy()
+    assert (logs / "x" / "local.db-wal").stat().st_size > 0
+    store, roots = UsageStore(spark, str(tmp_path / "store")), {"qoder": [(str(logs), None)]}
+    scan = lambda k: [(r.found, r.inserted) for r in collect(spark, store, roots, RUN, k).collect()]
+    assert scan(1) == [(1, 1)] and scan(2) == []
+    before = (logs / "x" / "local.db").stat()
+    add(2)
+    shutil.copy(live / "local.db-wal", logs / "x" / "local.db-wal")
+    assert (logs / "x" / "local.db").stat().st_mtime == before.st_mtime
+    assert scan(3) == [(2, 1)] and scan(4) == []
+    assert sorted(r.input_tokens for r in store.usage().collect()) == [1, 2]
+    db.execute("PRAGMA wal_checkpoint(TRUNCATE)")
+    shutil.copy(live / "local.db", logs / "x" / "local.db")
+    (logs / "x" / "local.db-wal").write_bytes(b"no such thing")  # not of this store: passed over
+    (logs / "y.db-wal").write_bytes(b"alone")
+    assert scan(5) == [(2, 0)] and store.scan_errors().isEmpty()
+    rows = files.database_rows(spark, [(str(logs), "l")], r"local\.db$", "SELECT id FROM message", "id string")
+    assert sorted((r.rel, r.id) for r in rows.collect()) == [("l/x/local.db", "m1"), ("l/x/local.db", "m2")]
+    db.close()
