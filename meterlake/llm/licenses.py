@@ -83,7 +83,7 @@ def parse(expression: str) -> list[str]:
 
 
 def evaluate(postfix: list[str]) -> tuple[set[str], float]:
-    """Labels named, and how far the expression settles the licence: choices count half of certainty."""
+    """Labels named, and how far the expression settles the licence: the mean of both sides of an operator, 1 for a known licence."""
     stack: list[tuple[set[str], float]] = []
     for x in postfix:
         if x not in PRECEDENCE:
