@@ -6,10 +6,12 @@ each with the `SIDE` characters before and behind it; a candidate's score is its
 The network is trained in numpy on labelled findings. Positives are credentials made by rules of their formats (keys,
 tokens, connection strings, hashes), set in real contexts: at places of a bounded sample of documents, behind the words
 that go before them in practice. Negatives are the sample's own candidates that no pattern marks, and made
-ones that look alike: identifiers, paths, addresses, version and serial numbers, compounds, placeholders. A third of
-all is kept aside: on it scores are calibrated (logistic scaling), and each shape of candidate (hexadecimal,
-letters and digits, with punctuation, letters alone) gets the highest threshold at which `RECALL` of its positives
-are found. Findings of the network that overlap no pattern's are added with kind `network`.
+ones that look alike: identifiers, paths, addresses, version and serial numbers, compounds, capitals, placeholders.
+The sampled documents fall into three sets. Contexts of three fifths are fitted on. On findings in another fifth, also behind words
+that the fit doesn't know, scores are calibrated (logistic scaling), and each shape of candidate (hexadecimal, letters and digits,
+with punctuation, letters alone) gets the highest threshold at which `RECALL` of its positives are found, with two standard errors in hand.
+Recall and false findings are measured on the last fifth, behind words that neither of the others knows.
+Findings of the network that overlap no pattern's are added with kind `network`.
 """
 
 from __future__ import annotations
@@ -85,6 +87,11 @@ _BEFORE = [
 ]
 
 
+#: Words that go before in the set that calibrates, beside those of the fit, and in the set that measures.
+_BEFORE_ASIDE = ["enter ", "it is now ", "api: ", "cookie=", "(", "uses ", "sent "]
+_BEFORE_MEASURED = ["the new value is ", "set to ", "please store ", " -> ", "header x-y: ", "copy this ", "as given: "]
+
+
 def _positive(r: random.Random) -> str:
     pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
     both, b64 = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
@@ -110,7 +117,7 @@ def _positive(r: random.Random) -> str:
 
 def _negative(r: random.Random, words: list[str]) -> str:
     w = lambda: r.choice(words)
-    kind = r.randrange(10)
+    kind = r.randrange(11)
     if kind == 0:
         return "_".join(w().lower() for _ in range(r.randrange(3, 6)))
     if kind == 1:
@@ -129,11 +136,16 @@ def _negative(r: random.Random, words: list[str]) -> str:
         return "".join(w().lower() for _ in range(r.randrange(3, 7)))
     if kind == 8:
         return str(r.randrange(10**15, 10**19))
+    if kind == 9:
+        return "".join(w().upper() for _ in range(r.randrange(2, 5))) + r.choice(["", ".", ".", "-", "..."])
     return "-".join(w().lower() for _ in range(r.randrange(3, 7)))
 
 
-def findings(texts: list[str], most: int = FINDINGS, seed: int = 5) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Windows of labelled candidates, their labels and shapes: `most` made positives, as many made negatives and real candidates."""
+def findings(texts: list[str], most: int = FINDINGS, seed: int = 5, before: list[str] = _BEFORE) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Windows of labelled candidates, their labels and shapes: `most` made positives, as many made negatives and real candidates.
+
+    Positives stand behind one of `before` or, three in ten, words of the documents; so do three in ten made negatives each.
+    """
     r = random.Random(seed)
     texts = [t for t in texts if t] or ["in the town of the old mill a man was to be seen on the road"]
     words = [x for t in texts[:LEXICON_TEXTS] for x in t.split()[:LEXICON_WORDS] if 2 < len(x) < 10 and x.isascii() and x.isalpha()] or ["mill", "town", "road"]
@@ -155,7 +167,9 @@ def findings(texts: list[str], most: int = FINDINGS, seed: int = 5) -> tuple[lis
         made = _positive(r) if k % 2 else _negative(r, words)
         if len(made) < 16:
             continue
-        lead = r.choice(_BEFORE) if k % 2 or r.random() < 0.3 else ""
+        u = r.random()
+        plain = " ".join(r.choice(words) for _ in range(r.randrange(1, 4))) + r.choice([" ", " ", ": ", "=", " is "])
+        lead = plain if u < 0.3 else r.choice(before) if k % 2 or u < 0.6 else ""
         left, right = t[max(0, at - SIDE) : at] + lead, r.choice(["", " ", '"', "'", ", ", "\n", "@host "]) + t[at : at + SIDE]
         if not k % 2 and right[:1] not in (" ", "\n"):
             right = " " + right
@@ -175,14 +189,16 @@ class Network:
 
     PARTS = ((0, SIDE - 2), (SIDE - 2, SIDE + BODY - 2), (SIDE + BODY - 2, 2 * SIDE + BODY - 4))
 
-    def __init__(self, found: list[np.ndarray], labels: np.ndarray, shapes: np.ndarray, seed: int = 3, dim: int = 8, filters: int = 16, rounds: int = 260):
+    def __init__(self, found: list[np.ndarray], labels: np.ndarray, shapes: np.ndarray, seed: int = 3, dim: int = 8, filters: int = 16, rounds: int = 600, aside=None, measured=None):
         r = np.random.default_rng(seed)
         f32 = np.float32
         self.p = [r.normal(0, 0.3, (97, dim)).astype(f32), r.normal(0, 0.2, (5 * dim, filters)).astype(f32), np.zeros(filters, f32), r.normal(0, 0.2, 3 * filters).astype(f32), np.zeros(1, f32)]
         self.scale, self.thresholds, self.recall, self.false = (1.0, 0.0), np.full(4, 0.5), 0.0, 0.0
         x = np.stack(found)
-        order = r.permutation(len(labels))
-        aside, used = order[: len(order) // 3], order[len(order) // 3 :]
+        used = r.permutation(len(labels))
+        if aside is None:  # one set of documents alone: a third of its findings
+            third, used = used[: len(used) // 3], used[len(used) // 3 :]
+            aside = x[third], labels[third], shapes[third]
         state = [[np.zeros_like(w), np.zeros_like(w)] for w in self.p]
         for k in range(1, rounds + 1):
             batch = used[r.integers(0, len(used), 192)]
@@ -190,11 +206,18 @@ class Network:
                 m, v = state[i]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                w -= (0.02 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)).astype(f32)
-        self._calibrate(np.concatenate([self.logits(x[aside[i : i + BATCH]]) for i in range(0, len(aside), BATCH)]), labels[aside], shapes[aside])
+                w -= (0.02 * (1.02 - k / rounds) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)).astype(f32)
+        self._calibrate(self._all_logits(aside[0]), *aside[1:])
+        found, y, shapes = measured or aside
+        hit = self.probability(self._all_logits(found)) >= self.thresholds[shapes]
+        self.recall, self.false = float(hit[y].mean()) if y.any() else 0.0, float(hit[~y].mean()) if (~y).any() else 0.0
+        self.recalls = [float(hit[y & (shapes == k)].mean()) if (y & (shapes == k)).any() else 0.0 for k in range(4)]
+
+    def _all_logits(self, found) -> np.ndarray:
+        return np.concatenate([self.logits(np.stack(found[i : i + BATCH])) for i in range(0, len(found), BATCH)])
 
     def _calibrate(self, z: np.ndarray, y: np.ndarray, shapes: np.ndarray) -> None:
-        """Logistic scaling of what was kept aside, and by shape the highest threshold that finds `RECALL` of its positives."""
+        """Logistic scaling of what was kept aside, and by shape the highest threshold that finds `RECALL` of its positives, with two standard errors in hand."""
         design, w = np.c_[z, np.ones(len(z))], np.array([1.0, 0.0])
         target = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))  # never quite sure
 
@@ -215,9 +238,8 @@ class Network:
             good = np.sort(p[y & (shapes == k)])
             good = good if len(good) >= 20 else np.sort(p[y])
             if len(good):
-                self.thresholds[k] = good[int((1 - RECALL) * len(good))]
-        hit = p >= self.thresholds[shapes]
-        self.recall, self.false = float(hit[y].mean()) if y.any() else 0.0, float(hit[~y].mean()) if (~y).any() else 0.0
+                missed = (1 - RECALL) * len(good)
+                self.thresholds[k] = good[int(max(0.0, missed - 2 * (RECALL * missed) ** 0.5))]
 
     def _forward(self, w):
         e, conv, bias, out, off = self.p
@@ -276,7 +298,12 @@ class Network:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Network:
     """Network from labelled findings in the contexts of some `sample` documents (`SAMPLE_CHARS` of each)."""
-    return Network(*findings(sample_texts(docs, sample, SAMPLE_CHARS)))
+    texts = sample_texts(docs, sample, SAMPLE_CHARS)
+    if len(texts) < 5:
+        return Network(*findings(texts))
+    aside = findings(texts[3::5], seed=6, before=_BEFORE + _BEFORE_ASIDE)
+    measured = findings(texts[4::5], seed=7, before=_BEFORE_MEASURED)
+    return Network(*findings([t for k, t in enumerate(texts) if k % 5 < 3]), aside=aside, measured=measured)
 
 
 def scan_documents(docs: DataFrame, network: Network) -> DataFrame:
