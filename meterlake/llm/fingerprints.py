@@ -7,12 +7,13 @@ that texts without blanks or full stops, or of one repeated word, have pieces to
 Cuts depend on content alone, so an edit changes only the branches above it. A node's hash is
 that of its children's; equal roots mean equal texts, and differing branches locate edits.
 
-The fingerprint is of bounded size: the root and the `KEPT` leaves of least key, where a leaf's key is a hash of its
-piece and of how many equal pieces went before. Texts of up to `KEPT` pieces (some 1,300 code points) have all
-their leaves in it, longer ones an even choice that is the same for equal pieces of all texts. Likeness is 1 for
-equal roots, else the share of text (by the lengths of the leaves) that both have, as multisets of pieces: exact where
-both fingerprints hold all leaves, else taken over the keys that both would hold, with a standard error of about
-0.05 at most. The whole tree is made from a text where edits are to be located (`differing`), or as a column by `trees`.
+The fingerprint is of bounded size: the root and the lowest level of the tree that fits. Level 0 are the pieces; the boundary
+behind a piece has a height that its last two pieces say (one in `RATIO` reaches each further level), a node of level q are the nodes of
+level q - 1 up to the next boundary of height q, and its hash is that of their hashes in order. So each level is found from any lower one.
+Texts of up to `KEPT` pieces (some 1,300 code points) have level 0 in it, longer ones the level of at most `NODES` nodes.
+Fingerprints are compared from the root down: equal roots are 1; else both are brought to the higher of their two
+levels, where equal branches count with all their text, as multisets, and differing ones not at all. That is exact on level 0; above it an edit costs the
+nodes that it falls in. The branches of lines and sections, which locate edits, are made from a text where they are asked for (`differing`), or as a column by `trees`.
 """
 
 from __future__ import annotations
@@ -33,8 +34,11 @@ WINDOW = 8
 ODDS, MOST = 16, 32
 #: Code points hashed at once, so that a long text costs little more than itself.
 PART = 1 << 20
-#: Leaves that a fingerprint holds at most, six characters each.
+#: Pieces that a fingerprint holds at most, six characters each; nodes of a higher level in the same room, four each behind eight of its own.
 KEPT = 112
+NODES = (6 * KEPT - 8) // 4
+#: Nodes of a level for each of the next, on average, and the highest level.
+RATIO, HIGHEST = 1.3, 63
 _MIXED = mix(np.arange(1, 0x110001, dtype=U64))
 
 
@@ -91,30 +95,77 @@ def _sums(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, ip
 
 
-def _leaves(x: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The leaves of least key, in order: 31 bits of key, 5 of length less one."""
-    order = np.argsort(x, kind="stable")
-    ordered = x[order]
-    first = np.r_[True, ordered[1:] != ordered[:-1]][: len(x)]
+def _heights(x: np.ndarray) -> np.ndarray:
+    """Height of the boundary behind each piece: from this piece and the one before, and how many equal pairs went before."""
+    pair = x.copy()
+    pair[1:] += mix(x[:-1])
+    pair = mix(pair)
+    order = np.argsort(pair, kind="stable")
+    ordered = pair[order]
     at = np.arange(len(x))
-    before = at - np.maximum.accumulate(np.where(first, at, 0))
-    key = mix((ordered << U64(32)) + before.astype(U64) + U64(1)) >> U64(33)
-    leaves = key << U64(5) | (size[order] - 1).astype(U64)
-    if len(leaves) > KEPT:
-        leaves = np.partition(leaves, KEPT - 1)[:KEPT]
-    return np.sort(leaves)
+    first = np.r_[True, ordered[1:] != ordered[:-1]][: len(x)]
+    before = np.empty(len(x), U64)
+    before[order] = at - np.maximum.accumulate(np.where(first, at, 0))
+    u = (mix(pair + before * U64(0x9E3779B97F4A7C15)) >> U64(11)).astype(float) + 0.5
+    return np.minimum((53 * np.log(2) - np.log(u)) / np.log(RATIO), HIGHEST).astype(np.int64)
+
+
+def _above(nodes: tuple[np.ndarray, np.ndarray, np.ndarray], level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes (hash, height behind, length) of a level from those of the one below; an only child is its own parent."""
+    h, height, size = nodes
+    ends = np.r_[np.flatnonzero(height[:-1] >= level), len(h) - 1]
+    if len(ends) == len(h):
+        return nodes
+    starts = np.r_[0, ends[:-1] + 1]
+    place = np.arange(1, len(h) + 1) - np.repeat(starts, ends - starts + 1)
+    children = mix((place.astype(U64) << U64(32)) + (h << U64(6)) + height.astype(U64))
+    parents = mix(np.add.reduceat(children, starts)) >> U64(51)
+    return np.where(starts == ends, h[ends], parents), height[ends], np.add.reduceat(size, starts)
+
+
+def _raised(nodes: tuple[np.ndarray, np.ndarray, np.ndarray], level: int, to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    for k in range(level + 1, to + 1):
+        nodes = _above(nodes, k)
+    return nodes
+
+
+def _level(x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces (hash of 31 bits, length) as nodes of level 0."""
+    return mix(x) >> U64(51), _heights(x), size
+
+
+def _equal(a: np.ndarray, b: np.ndarray, sizes: tuple[np.ndarray, np.ndarray]) -> float:
+    """Share of text in nodes that both have, as multisets."""
+    total = float(sizes[0].sum() + sizes[1].sum())
+    if not total:
+        return 0.0
+    keyed, orders = [], []
+    for v, size in zip((a, b), sizes):
+        order = np.lexsort((size, v))
+        v = v[order]
+        at = np.arange(len(v))
+        first = np.r_[True, v[1:] != v[:-1]][: len(v)]
+        keyed.append(v * U64(1 << 20) + (at - np.maximum.accumulate(np.where(first, at, 0))).astype(U64))
+        orders.append(order)
+    _, i, j = np.intersect1d(*keyed, assume_unique=True, return_indices=True)
+    return float(sizes[0][orders[0][i]].sum() + sizes[1][orders[1][j]].sum()) / total
 
 
 class Fingerprint:
-    """Root and leaves of a text's tree, whether these are all of them, and, made from a text, the tree itself.
+    """Root of a text's tree, the lowest level that fits with its number, and, made from a text, the tree itself.
 
+    `held` are pieces (hash, length) on level 0, else nodes (hash, height, length code) and the text's length.
     `sections` is a list of (hash, [(hash, [(piece, length)])]); one read back from its string has none.
     """
 
-    __slots__ = ("root", "leaves", "whole", "_branches", "_found")
+    __slots__ = ("root", "level", "held", "total", "_branches", "_found")
 
-    def __init__(self, root: str, leaves: np.ndarray, whole: bool, branches: list = (), found=None):
-        self.root, self.leaves, self.whole, self._branches, self._found = root, leaves, whole, branches, found
+    def __init__(self, root: str, level: int, held: tuple, total: int, branches: list = (), found=None):
+        self.root, self.level, self.held, self.total, self._branches, self._found = root, level, held, total, branches, found
+
+    @property
+    def whole(self) -> bool:
+        return self.level == 0
 
     @staticmethod
     def of(text: str) -> Fingerprint:
@@ -132,7 +183,24 @@ class Fingerprint:
                 close()
         close()
         x, size, at = _pieces(text)
-        return Fingerprint(hashlib.sha256("".join(h for h, _ in sections).encode()).hexdigest()[:32], _leaves(x, size), len(x) <= KEPT, sections, (x, size, at))
+        root, total = hashlib.sha256("".join(h for h, _ in sections).encode()).hexdigest()[:32], int(size.sum())
+        if len(x) <= KEPT:
+            return Fingerprint(root, 0, (x >> U64(1), size), total, sections, (x, size, at))
+        nodes = _level(x >> U64(1), size)
+        # Nodes of each level: boundaries of its height, and the text's end.
+        counts = np.cumsum(np.bincount(nodes[1][:-1], minlength=HIGHEST + 1)[::-1])[::-1] + 1
+        level = int(np.argmax(counts[1:] <= NODES)) + 1 if counts[-1] <= NODES else HIGHEST + 1
+        h, height, size_of = _raised(nodes, 0, level)
+        code = np.clip(np.rint(16 + 3.5 * np.log2(size_of * (len(h) / total))), 0, 31).astype(np.int64)
+        return Fingerprint(root, level, (h, height, code), total, sections, (x, size, at))
+
+    def nodes(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, height and length of the nodes of a level, not below the one that is held."""
+        if self.level == 0:
+            return _raised(_level(*self.held), 0, level) if len(self.held[0]) else (self.held[0], self.held[1], self.held[1].astype(float))
+        h, height, code = self.held
+        size = 2.0 ** ((code - 16) / 3.5)
+        return _raised((h, height, size * (self.total / size.sum())), self.level, level)
 
     @property
     def sections(self) -> list[tuple[str, list[tuple[str, list[tuple[str, int]]]]]]:
@@ -148,28 +216,41 @@ class Fingerprint:
         return self.root + "".join(f"/{h}" + "".join(f";{p}" + "".join(f",{x}{n:x}" for x, n in pieces) for p, pieces in paragraphs) for h, paragraphs in self.sections)
 
     def __str__(self) -> str:
-        """Root, `:` before all leaves or `~` before a choice of them, and 36 bits each in base 64."""
-        bits = np.unpackbits(self.leaves.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 28:]
-        packed = np.packbits(bits.reshape(-1)).tobytes()
-        return self.root + (":" if self.whole else "~") + base64.b64encode(packed).decode()[: 6 * len(self.leaves)]
+        """Root, `:` before all pieces (31 bits of hash, 5 of length less one) or `~` before nodes (13 bits of hash, 6 of height, 5 of length) with level and length of the text, in base 64."""
+        if self.level == 0:
+            x, size = self.held
+            bits = np.unpackbits((x << U64(5) | (size - 1).astype(U64)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 28:]
+            return self.root + ":" + base64.b64encode(np.packbits(bits.reshape(-1)).tobytes()).decode()[: 6 * len(x)]
+        h, height, code = self.held
+        packed = (h << U64(11)) | (height.astype(U64) << U64(5)) | code.astype(U64)
+        return self.root + "~" + base64.b64encode((self.level << 41 | self.total).to_bytes(6) + packed.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 5:].tobytes()).decode()
 
     @staticmethod
     def parse(s: str) -> Fingerprint:
-        leaves = s[33:]
-        raw = np.frombuffer(base64.b64decode(leaves + "A" * (-len(leaves) % 4)), np.uint8)
-        bits = np.unpackbits(raw)[: 6 * len(leaves)].reshape(-1, 36)
+        root, rest = s[:32], s[33:]
+        raw = np.frombuffer(base64.b64decode(rest + "A" * (-len(rest) % 4)), np.uint8)
+        if s[32] == "~":
+            top = int.from_bytes(raw[:6].tobytes())
+            v = np.zeros((len(raw) // 3 - 2, 8), np.uint8)
+            v[:, 5:] = raw[6:].reshape(-1, 3)
+            v = v.view(">u8").reshape(-1).astype(U64)
+            return Fingerprint(root, top >> 41, (v >> U64(11), (v >> U64(5) & U64(63)).astype(np.int64), (v & U64(31)).astype(np.int64)), top & (1 << 41) - 1)
+        bits = np.unpackbits(raw)[: 6 * len(rest)].reshape(-1, 36)
         padded = np.zeros((len(bits), 64), np.uint8)
         padded[:, 28:] = bits
-        return Fingerprint(s[:32], np.packbits(padded, axis=1).view(">u8").reshape(-1).astype(U64), s[32] == ":")
+        v = np.packbits(padded, axis=1).view(">u8").reshape(-1).astype(U64)
+        size = (v & U64(31)).astype(np.int64) + 1
+        return Fingerprint(root, 0, (v >> U64(5), size), int(size.sum()))
 
     def likeness(self, other: Fingerprint) -> float:
         if self.root == other.root:
             return 1.0
-        held = [f.leaves[-1] >> U64(5) for f in (self, other) if not f.whole]
-        here, there = (f.leaves[f.leaves >> U64(5) <= min(held)] if held else f.leaves for f in (self, other))
-        length = lambda leaves: int((leaves & U64(31)).sum()) + len(leaves)
-        total = length(here) + length(there)
-        return 2 * length(np.intersect1d(here, there)) / total if total else 0.0
+        level = max(self.level, other.level)
+        if level == 0:
+            (a, m), (b, n) = self.held, other.held
+            return _equal(a << U64(5) | (m - 1).astype(U64), b << U64(5) | (n - 1).astype(U64), (m, n))
+        (a, g, m), (b, k, n) = self.nodes(level), other.nodes(level)
+        return _equal(a << U64(6) | g.astype(U64), b << U64(6) | k.astype(U64), (m, n))
 
     def differing(self, other: Fingerprint) -> list[tuple[int, int]]:
         """(section, paragraph) of this text that the other doesn't have: where the edits are. Both must be made from texts."""

@@ -86,3 +86,39 @@ def test_trees_in_parts(monkeypatch):
     for part in (1, 5, 64):
         monkeypatch.setattr(fingerprints, "PART", part)
         assert [(Fingerprint.of(t).tree(), str(Fingerprint.of(t))) for t in texts] == whole
+
+
+def test_held_nodes_are_a_level_of_the_tree():
+    rng = random.Random(25)
+    for n in (400, 1500, 6000):
+        a = made(rng, n)
+        f = Fingerprint.of(a)
+        x, size, _ = fingerprints._pieces(a)
+        level = list(zip(*(v.tolist() for v in fingerprints._level(x >> fingerprints.U64(1), size))))
+        for q in range(1, f.level + 4):
+            above, children = [], []
+            for k, node in enumerate(level):
+                children.append(node)
+                if node[1] >= q or k == len(level) - 1:
+                    sums = sum(int(fingerprints.mix(fingerprints.np.array([(i << 32) + (h << 6) + g], fingerprints.U64))[0]) for i, (h, g, _) in enumerate(children, 1))
+                    top = int(fingerprints.mix(fingerprints.np.array([sums % 2**64], fingerprints.U64))[0]) >> 51
+                    above.append((children[0][0] if len(children) == 1 else top, node[1], sum(m for *_, m in children)))
+                    children = []
+            level = above
+            if q >= f.level:
+                h, g, m = Fingerprint.parse(str(f)).nodes(q)
+                assert [(int(x), int(y)) for x, y in zip(h, g)] == [x[:2] for x in level]
+                assert q > f.level or len(h) <= fingerprints.NODES < 1.6 * len(h)
+                assert sum(abs(x - y[2]) for x, y in zip(m, level)) < 0.1 * len(a)
+
+
+def test_any_change_reaches_the_fingerprint():
+    """Each piece lies below a held node, so no change goes unseen."""
+    rng = random.Random(26)
+    a = made(rng, 3000)
+    f = Fingerprint.of(a)
+    for _ in range(60):
+        at = rng.randrange(len(a))
+        b = a[:at] + "#" + a[at + 1 :]
+        got = Fingerprint.parse(str(Fingerprint.of(b))).likeness(f)
+        assert 0.85 < got < 1.0
