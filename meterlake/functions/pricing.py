@@ -110,6 +110,6 @@ def price(usage: DataFrame, prices: DataFrame | None = None, aliases: dict[str,
     """`usage` with cost_micros computed anew (also the re-pricing of stored history)."""
     prices = price_table(usage.sparkSession) if prices is None else prices
     r = resolve(usage, prices, aliases).select(F.col("provider").alias("p"), F.col("model").alias("m"), *[f"price_{c}" for c in ("input", "output", "cache_read", "cache_write")])
-    # Names are few beside the facts; Spark broadcasts them where their measured size allows it.
-    joined = usage.join(r, F.col("provider").eqNullSafe(F.col("p")) & F.col("model").eqNullSafe(F.col("m")), "left")
+    # A row a name of a model, broadcast: dealt by their names, all facts would be shuffled into as many tasks as names are in use.
+    joined = usage.join(F.broadcast(r), F.col("provider").eqNullSafe(F.col("p")) & F.col("model").eqNullSafe(F.col("m")), "left")
     return joined.withColumn("cost_micros", cost_micros()).select(*[c for c in usage.columns if c != "cost_micros"], "cost_micros")

@@ -57,8 +57,9 @@ def _filter(t: pa.Table) -> pa.Table:
     h = t.column("h").to_numpy()
     bits = 1 << max(6, math.ceil(math.log2(BITS * max(1, len(h)))))
     at = _places(h, bits).ravel()
-    held = np.zeros(bits >> 3, np.uint8)
-    np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    held = np.zeros(bits, bool)
+    held[at] = True
+    held = np.packbits(held, bitorder="little")
     return pa.table({"provider": t.column("provider").slice(0, 1), "bucket": t.column("bucket").slice(0, 1), "n": pa.array([len(h)], pa.int64()), "bloom": pa.array([held.tobytes()], pa.binary())})
 
 
@@ -101,12 +102,18 @@ def asked_files(table: Versions, state: dict, batch: DataFrame, everywhere: bool
     asked = batch.select("provider", "fingerprint")
     if everywhere and layout:
         asked = asked.select("fingerprint").withColumn("provider", F.explode(F.array(*[F.lit(p) for p in layout])))
-    asked = asked.where(F.col("provider").isin(list(layout))).withColumn("bucket", bucket(layout))
     held = files(table, state)
-    load = asked.groupBy("provider", "bucket").agg(F.count("*").alias("asked"))
-    whole = held.join(load.where(F.col("asked") > FEW), ["provider", "bucket"], "left_semi").select("provider", "bucket", "file")
-    few = load.where(F.col("asked") <= FEW).select(F.col("provider").alias("p"), F.col("bucket").alias("b"))
-    keys = asked.join(few, (F.col("provider") == F.col("p")) & (F.col("bucket") == F.col("b")), "left_semi").select("provider", "bucket", F.xxhash64("fingerprint", F.lit(1)).alias("h"))
+    if not layout:
+        return held.select("provider", "bucket", "file")
+    asked = asked.where(F.col("provider").isin(list(layout))).withColumn("bucket", bucket(layout))
+    # A row a bucket comes to the driver, as the files' paths do.
+    load = [(r.provider, r.bucket, r.asked) for r in asked.groupBy("provider", "bucket").agg(F.count("*").alias("asked")).collect()]
+    of = lambda some: F.broadcast(table.spark.createDataFrame([(p, b) for p, b, _ in some], "provider string, bucket int"))
+    whole = held.join(of([x for x in load if x[2] > FEW]), ["provider", "bucket"], "left_semi").select("provider", "bucket", "file")
+    few = [x for x in load if x[2] <= FEW]
+    if not few:
+        return whole
+    keys = asked.join(of(few), ["provider", "bucket"], "left_semi").select("provider", "bucket", F.xxhash64("fingerprint", F.lit(1)).alias("h"))
     met = keys.groupBy("provider", "bucket").cogroup(files(table, state).groupBy("provider", "bucket")).applyInArrow(_may_hold, "provider string, bucket int, file string")
     return whole.union(met)
 

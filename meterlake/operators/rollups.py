@@ -33,6 +33,11 @@ def partial(usage: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     return usage.groupBy("provider", calendar.day("started_at").alias("day"), *dims).agg(*stats())
 
 
+def dealt(sums: DataFrame, folders: int) -> DataFrame:
+    """Sums for a write by provider and day: small as they are, each folder costs a file, so that all tasks share the folders."""
+    return sums.repartition(max(1, min(folders, int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "provider", "day")
+
+
 def merged(table: Versions, state: dict, name: str, dims: tuple[str, ...], added: DataFrame) -> list[dict]:
     """Writes the sums of the days that `added` touches, old and new; the rollup's entries with these in place of the old ones. The touched days come to the driver."""
     added = added.persist(StorageLevel.MEMORY_AND_DISK)
@@ -55,7 +60,7 @@ def merged(table: Versions, state: dict, name: str, dims: tuple[str, ...], added
             left += [e | {"parts": parts[False]}] if parts[False] else []
         before = table.read(state, name, schema(dims), old)
         sums = before.unionByName(added.select(before.columns)).groupBy("provider", "day", *dims).agg(*[F.sum(c).alias(c) for c in STATS])
-        return [table.write(name, sums.hint("rebalance", "provider", "day"), "day", deep=True), *left]
+        return [table.write(name, dealt(sums, len(touched)), "day", deep=True), *left]
     finally:
         added.unpersist()
 

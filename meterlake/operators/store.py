@@ -25,15 +25,23 @@ TRIES = 3
 
 def first_of_each(batch: DataFrame, key: tuple[str, ...] = KEY, order: tuple[str, ...] = ORDER) -> DataFrame:
     """One row a fingerprint: the first by `order` columns that the batch has, then by all others."""
+    return _first_hashed(batch, key, order).drop(HASH)
+
+
+#: Hash of a row's key, sorted by first: keys have long beginnings in common, which a sort would compare over and over.
+HASH = "hash of the key"
+
+
+def _first_hashed(batch: DataFrame, key: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     rest = [c for c in batch.columns if c not in (*key, *order)]
-    w = Window.partitionBy(*key).orderBy(*[c for c in order if c in batch.columns], *rest)
-    return batch.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+    w = Window.partitionBy(HASH, *key).orderBy(*[c for c in order if c in batch.columns], *rest)
+    return batch.withColumn(HASH, F.xxhash64(*key)).withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
 def new_rows(batch: DataFrame, stored: DataFrame, global_key: bool = False, order: tuple[str, ...] = ORDER) -> DataFrame:
     """Rows of the batch whose fingerprint isn't stored; first writer wins, inside the batch too."""
     key = ("fingerprint",) if global_key else KEY
-    return first_of_each(batch, key, order).join(stored.select(*key), list(key), "left_anti").select(batch.columns)
+    return _first_hashed(batch, key, order).join(stored.select(*key, F.xxhash64(*key).alias(HASH)), [HASH, *key], "left_anti").select(batch.columns)
 
 
 def duplicates(usage: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
@@ -117,29 +125,36 @@ class UsageStore:
 
     def insert(self, rows: DataFrame) -> int:
         """Plain append; refuses fingerprints that are stored already or repeat."""
-        rows = rows.select(COLUMNS)
+        rows = rows.select(COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
 
         def make(state: dict) -> int:
             stored = keys.read(self.table, self.key_folders(rows, state=state))
             if not duplicates(rows).isEmpty() or not rows.join(stored, list(KEY), "left_semi").isEmpty():
                 raise ValueError("fingerprint exists already")
-            added = {r.provider: r["count"] for r in rows.groupBy("provider").count().collect()}  # one row a provider
+            changes, added = self._with_rows(state, rows)
             if added:
-                self.table.commit(state, **self._with_rows(state, rows, added))
+                self.table.commit(state, **changes)
             return sum(added.values())
 
-        return self._changed(make)
+        try:
+            return self._changed(make)
+        finally:
+            rows.unpersist()
 
-    def _with_rows(self, state: dict, rows: DataFrame, added: dict[str, int]) -> dict:
-        """Writes rows and their keys aside; what the record has to say of them."""
+    def _with_rows(self, state: dict, rows: DataFrame) -> tuple[dict, dict[str, int]]:
+        """Writes rows aside, once, and from what is written their keys and sums; what the record has to say of them, and their number by provider."""
         capacity = state.get("capacity", self.capacity)
         by_day = rows.select(COLUMNS).withColumn("day", calendar.day("started_at")).hint("rebalance", "provider", "day")
         entry = self.table.write("usage", by_day, "day")
+        if not entry["parts"]:
+            return {"tables": state["tables"]}, {}
+        rows = self.table.read(state, "usage", USAGE + ", day date", [entry])
+        added = {r.provider: r["count"] for r in rows.groupBy("provider").count().collect()}  # one row a provider
         in_keys, in_files, layout = keys.add(self.table, state, rows, added, capacity)
         tables = state["tables"]
         more = {n: [*tables.get(n, []), e] for n, e in (("usage", entry), ("keys", in_keys), ("key_files", in_files))}
         more |= {n: rollups.merged(self.table, state, n, dims, rollups.partial(rows, dims)) for n, dims in rollups.ROLLUPS.items()}
-        return {"tables": tables | more, "layout": layout, "capacity": capacity}
+        return {"tables": tables | more, "layout": layout, "capacity": capacity}, added
 
     def append(
         self, batch: DataFrame, files: DataFrame | None = None, scan_id: int = 0, global_key: bool = False, fingerprints: DataFrame | None = None, errors: DataFrame | None = None,
@@ -161,36 +176,29 @@ class UsageStore:
         if stream and state.get("streams", {}).get(stream[0], -1) >= stream[1]:
             return {"found": 0, "inserted": 0, "skipped": 0}
         stored = keys.read(self.table, self.key_folders(batch, global_key, state))
-        fresh = new_rows(batch, stored, global_key, order).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            counts = batch.groupBy("provider").agg(F.count("*").alias("found")).join(fresh.groupBy("provider").agg(F.count("*").alias("inserted")), "provider", "left")
-            if fingerprints is not None:
-                counts = counts.join(fingerprints.select("provider", "fingerprint"), "provider", "full")
-            else:
-                counts = counts.withColumn("fingerprint", F.lit(""))
-            some = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("found", "inserted")]
-            log = counts.select("provider", *some, F.coalesce("fingerprint", F.lit("")).alias("fingerprint")).collect()  # one row a provider
-            changes = {"tables": state["tables"]}
-            if any(r.inserted for r in log):
-                changes = self._with_rows(state, fresh, {r.provider: r.inserted for r in log if r.inserted})
-            number = F.lit(scan_id).cast("bigint").alias("scan_id")
-            noted = {}
-            if files is not None:
-                noted["file_state"] = files.select("provider", "rel", "mtime", "size", number)
-            if errors is not None:
-                noted["scan_errors"] = errors.select("provider", "rel", "message", number)
-            version = state.get("pricing", "1")
-            rows = [(r.provider, scan_id, r.found, r.inserted, r.found - r.inserted, r.fingerprint, version) for r in log]
-            noted["scan_log"] = self.spark.createDataFrame(rows, self.scan_log().schema).coalesce(1)
-            for name, df in noted.items():
-                if (entry := self.table.write(name, df))["parts"]:
-                    changes["tables"] = changes["tables"] | {name: [*changes["tables"].get(name, []), entry]}
-            if stream:
-                changes["streams"] = state.get("streams", {}) | {stream[0]: stream[1]}
-            self._merge(self.table.commit(state, **changes))
-        finally:
-            fresh.unpersist()
-        found, inserted = sum(r.found for r in log), sum(r.inserted for r in log)
+        changes, added = self._with_rows(state, new_rows(batch, stored, global_key, order))
+        counts = batch.groupBy("provider").agg(F.count("*").alias("found"))
+        if fingerprints is not None:
+            counts = counts.join(fingerprints.select("provider", "fingerprint"), "provider", "full")
+        else:
+            counts = counts.withColumn("fingerprint", F.lit(""))
+        log = counts.select("provider", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("fingerprint", F.lit("")).alias("fingerprint")).collect()  # one row a provider
+        number = F.lit(scan_id).cast("bigint").alias("scan_id")
+        noted = {}
+        if files is not None:
+            noted["file_state"] = files.select("provider", "rel", "mtime", "size", number)
+        if errors is not None:
+            noted["scan_errors"] = errors.select("provider", "rel", "message", number)
+        version = state.get("pricing", "1")
+        rows = [(r.provider, scan_id, r.found, added.get(r.provider, 0), r.found - added.get(r.provider, 0), r.fingerprint, version) for r in log]
+        noted["scan_log"] = self.spark.createDataFrame(rows, self.scan_log().schema).coalesce(1)
+        for name, df in noted.items():
+            if (entry := self.table.write(name, df))["parts"]:
+                changes["tables"] = changes["tables"] | {name: [*changes["tables"].get(name, []), entry]}
+        if stream:
+            changes["streams"] = state.get("streams", {}) | {stream[0]: stream[1]}
+        self._merge(self.table.commit(state, **changes))
+        found, inserted = sum(r.found for r in log), sum(added.values())
         return {"found": found, "inserted": inserted, "skipped": found - inserted}
 
     def _merge(self, state: dict) -> None:
@@ -227,7 +235,8 @@ class UsageStore:
                 dealt = price(rows, prices).withColumn("day", calendar.day("started_at")).hint("rebalance", "provider", "day")
                 entry = self.table.write("usage", dealt, "day") | {"tier": max(e["tier"] for e in tables["usage"])}
                 now = self.table.read(state, "usage", USAGE + ", day date", [entry])
-                sums = {n: [self.table.write(n, rollups.partial(now, dims).hint("rebalance", "provider", "day"), "day", deep=True)] for n, dims in rollups.ROLLUPS.items()}
+                folders = now.select("provider", "day").distinct().count()
+                sums = {n: [self.table.write(n, rollups.dealt(rollups.partial(now, dims), folders), "day", deep=True)] for n, dims in rollups.ROLLUPS.items()}
                 tables = tables | {"usage": [entry]} | sums
             self.table.commit(state, tables=tables, pricing=version)
             return True

@@ -51,10 +51,13 @@ class Versions:
             stream.close()
 
     def write(self, table: str, df: DataFrame, *by: str, deep: bool = False) -> dict:
-        """Writes rows aside, by provider and `by`; the entry for a record, whose parts are the folders of providers, or one level below if `deep`."""
+        """Writes rows aside, by provider and `by`; the entry for a record, whose parts are the folders of providers, or one level below if `deep`.
+
+        Tasks move their files into place themselves (version 2 of the committer), since nobody looks there before a record names the folder.
+        """
         name = uuid.uuid4().hex
         top = f"{table}/write={name}"
-        df.write.partitionBy("provider", *by).parquet(f"{self.path}/{top}")
+        df.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("provider", *by).parquet(f"{self.path}/{top}")
         parts = [n for n in self._names(top) if n.startswith("provider=")]
         if deep:
             parts = [f"{p}/{n}" for p in parts for n in self._names(f"{top}/{p}") if "=" in n]

@@ -267,3 +267,39 @@ def test_rollup_table_of_a_stream(spark, tmp_path):
     assert r.add(by_day(spark, []), ("s", 2)) and r.add(by_day(spark, [day(1)]))
     assert sorted((x.day.day, x.records, x.input_tokens) for x in r.rows().collect()) == [(1, 2, 20), (2, 2, 20)]
     assert sorted((x.day.day, x.total_tokens) for x in usage_stream.latest(spark, str(tmp_path / "r"), "model").collect()) == [(1, 20), (2, 20)]
+
+
+def test_append_writes_rows_once_and_deals_folders(spark, tmp_path, monkeypatch):
+    """New rows are made once, keys and sums come from what is written; sums of many days are written by all tasks."""
+    t = store.UsageStore(spark, str(tmp_path / "t"))
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = by_day(spark, [("claude", "m", "p", d, 3, 10) for d in range(1, 21)])
+    new = store.new_rows
+
+    def counted(*args):
+        out = new(*args)
+        return out.mapInArrow(seen, out.schema)
+
+    monkeypatch.setattr(store, "new_rows", counted)
+    assert t.append(rows, scan_id=1) == {"found": 20, "inserted": 20, "skipped": 0} and made.value == 20
+    for n in ("rollup_models", "rollup_projects"):
+        files = {f.name[:10] for f in (tmp_path / "t" / n).rglob("part-*.parquet")}
+        assert len(files) > 1
+    priced = pricing_plan(spark, rows)
+    assert "BroadcastHashJoin" in priced and not re.search(r"hashpartitioning\(provider#\d+, model#\d+, \d+\), ENSURE", priced.split("BroadcastExchange")[0])
+
+
+def pricing_plan(spark, rows) -> str:
+    from meterlake.functions.pricing import price
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return price(rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
