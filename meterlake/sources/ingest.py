@@ -30,10 +30,15 @@ parent_name = lambda rel: F.coalesce(F.nullif(F.regexp_extract(rel, r"([^/]+)/[^
 stem = lambda rel: F.regexp_extract(rel, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
+def with_json(rows: DataFrame, j: Column) -> DataFrame:
+    """Rows with `j`, parsed once: as a plain column Spark would parse it again for each use of a field."""
+    return rows.select("*", F.explode(F.array(j)).alias("j"))
+
+
 def parsed(lines: DataFrame, schema: str, strict: bool = False) -> DataFrame:
     if strict:
         schema += ", _corrupt string"
-    out = lines.withColumn("j", F.from_json("line", schema, _JSON if strict else None))
+    out = with_json(lines, F.from_json("line", schema, _JSON if strict else None))
     return out.where("j._corrupt is null") if strict else out
 
 
@@ -201,7 +206,7 @@ _MESSAGE = "id string, role string, sessionID string, modelID string, path struc
 
 def _messages(rows: DataFrame, provider: str, run_ts: datetime, store: str) -> DataFrame:
     """Rows (label, id, session_id, time_created, data) of assistant messages."""
-    rows = kept(rows.withColumn("j", F.from_json("data", _MESSAGE, _JSON)), "j._corrupt is null and j.role = 'assistant'")
+    rows = kept(with_json(rows, F.from_json("data", _MESSAGE, _JSON)), "j._corrupt is null and j.role = 'assistant'")
     t = F.col("j.tokens")
     return finish(
         rows, provider, run_ts,
@@ -374,7 +379,7 @@ def find_usages(docs: DataFrame) -> DataFrame:
 
 def gemini(spark: SparkSession, roots: list[Root], run_ts: datetime, docs: DataFrame | None = None) -> DataFrame:
     docs = documents(spark, roots, r"(^|/)chats/.*\.json$", depth=6) if docs is None else docs
-    j = find_usages(docs).withColumn("j", F.from_json("obj", "usageMetadata struct<promptTokenCount: bigint, candidatesTokenCount: bigint, cachedContentTokenCount: bigint>, model string, modelVersion string, timestamp bigint, time bigint"))
+    j = with_json(find_usages(docs), F.from_json("obj", "usageMetadata struct<promptTokenCount: bigint, candidatesTokenCount: bigint, cachedContentTokenCount: bigint>, model string, modelVersion string, timestamp bigint, time bigint"))
     u = F.col("j.usageMetadata")
     prompt, out, read = count(u["promptTokenCount"]), count(u["candidatesTokenCount"]), count(u["cachedContentTokenCount"])
     j = j.where(fresh_input(prompt, read) + out + read > 0)

@@ -271,3 +271,10 @@ def test_rows_that_wait_in_a_sidecar(spark, tmp_path):
     rows = files.database_rows(spark, [(str(logs), "l")], r"local\.db$", "SELECT id FROM message", "id string")
     assert sorted((r.rel, r.id) for r in rows.collect()) == [("l/x/local.db", "m1"), ("l/x/local.db", "m2")]
     db.close()
+
+
+def test_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([("p/s.jsonl", 0, "{}", 2)], "rel string, line_idx long, line string, raw_bytes long")
+    for job in (ingest.claude, ingest.codebuddy, ingest.workbuddy, ingest.codex, ingest.pi):
+        plan = job(spark, [], RUN, lines)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1, job.__name__
