@@ -228,19 +228,21 @@ def database_rows(spark: SparkSession, roots: list[Root], pattern: str, sql: str
         finally:
             db.close()
 
-    def read(frames):
-        for frame in frames:
-            for rel, label, raw, wal in zip(frame.rel, frame.label, frame.content, frame.wal):
-                rows, error = ask(raw, wal)
-                if error is not None:
-                    rows = [(None,) * len(names)] if tagged else []
-                out = pd.DataFrame(rows, columns=names, dtype=object)
-                out.insert(0, "label", label)
-                out.insert(0, "rel", rel)
-                out["error"] = error
-                yield out
-
-    rows = files.select("rel", "label", "content", "wal").mapInPandas(read, f"rel string, label string, {schema}, error string")
+    def read(frame):
+        found = []
+        for rel, label, raw, wal in zip(frame.rel, frame.label, frame.content, frame.wal):
+            rows, error = ask(raw, wal)
+            if error is not None:
+                rows = [(None,) * len(names)] if tagged else []
+            out = pd.DataFrame(rows, columns=names, dtype=object)
+            out.insert(0, "label", label)
+            out.insert(0, "rel", rel)
+            out["error"] = error
+            found.append(out)
+        return pd.concat(found)
+
+    # A group a file: in batches of rows a worker would hold thousands of stores at once.
+    rows = files.select("rel", "label", "content", "wal").groupBy("rel").applyInPandas(read, f"rel string, label string, {schema}, error string")
     return rows if tagged else rows.drop("error")
 
 

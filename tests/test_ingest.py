@@ -278,3 +278,11 @@ def test_lines_are_parsed_once(spark):
     for job in (ingest.claude, ingest.codebuddy, ingest.workbuddy, ingest.codex, ingest.pi):
         plan = job(spark, [], RUN, lines)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json(") == 1, job.__name__
+
+
+def test_stores_are_read_one_at_a_time(spark):
+    stores = spark.createDataFrame([("a.db", None, files.sqlite_bytes(["CREATE TABLE t(x)", "INSERT INTO t VALUES (1), (2)"])), ("b.db", None, b"none")], "rel string, label string, content binary")
+    rows = files.database_rows(spark, files.Roots([], tagged=True), "", "SELECT x FROM t", "x long", files=stores)
+    assert sorted((r.rel, r.x or 0, r.error is None) for r in rows.collect()) == [("a.db", 1, True), ("a.db", 2, True), ("b.db", 0, False)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas [rel" in plan and "MapInPandas" not in plan.replace("FlatMapGroupsInPandas", "")
