@@ -508,18 +508,18 @@ def _raw_logs() -> None:
         text = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
         raw = text.select(F.concat(F.lit("c"), "conv_id", F.lit(".jsonl")).alias("rel"), F.concat(F.array_join("l.line", "\n"), F.lit("\n")).cast("binary").alias("b")).withColumn("n", F.octet_length("b"))
         where = lambda k: F.floor(F.col("n") * k / 3).cast("int")
-        for k in range(3):
-            piece = F.substring("b", where(k) + 1, where(k + 1) - where(k))
-            kind = F.lit("modify" if k else "create")
-            part = raw.select("rel", kind.alias("kind"), F.lit(k).cast("long").alias("mtime_micros"), F.col("n").cast("long").alias("size"), where(k).cast("long").alias("start"), piece.alias("value"))
-            part.coalesce(1).write.mode("append").parquet(f"{top}/in")
-        feed = s.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
-        store_of, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        store_of, kind_of = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
         before = s.conf.get(store_of)
-        s.conf.set(store_of, kind)
+        s.conf.set(store_of, kind_of)
         try:
-            made = file_state.lines_with_state(feed).writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{top}/out/batch={n}"))
-            made.option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
+            for k in range(3):  # all tasks write a piece; the stream goes on where it was and takes it as one batch
+                piece = F.substring("b", where(k) + 1, where(k + 1) - where(k))
+                kind = F.lit("modify" if k else "create")
+                part = raw.select("rel", kind.alias("kind"), F.lit(k).cast("long").alias("mtime_micros"), F.col("n").cast("long").alias("size"), where(k).cast("long").alias("start"), piece.alias("value"))
+                part.write.mode("append").parquet(f"{top}/in")
+                made = file_state.lines_with_state(s.readStream.schema(part.schema).parquet(f"{top}/in")).writeStream
+                made = made.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{top}/out/batch={n}"))
+                made.option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
         finally:
             s.conf.set(store_of, before)
         found = s.read.schema(file_state.LINES).parquet(*[f"{top}/out/batch={k}" for k in range(3)])

@@ -9,12 +9,15 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LINES = "rel string, line_idx bigint, line string, raw_bytes bigint, sid string, cwd string, model string"
 STATE = "line_idx bigint, rest binary, sid string, cwd string, model string"
+SAID = ("sid", "cwd", "model")
+OUT = Row(*[c.split()[0] for c in LINES.split(", ")])
+#: State of a file of which nothing has been read.
+NEW = (0, b"", None, None, None)
 
 
 def state_of(line: str) -> dict[str, str | None]:
@@ -35,32 +38,29 @@ def state_of(line: str) -> dict[str, str | None]:
 
 
 class _Lines(StatefulProcessor):
+    """Works on plain rows and asks for the state once: a file has few pieces, so a data frame a file would cost more than its lines."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("file", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pieces = pd.concat(list(rows)).sort_values(["mtime_micros", "start"])
-        n, rest, said = 0, b"", {"sid": None, "cwd": None, "model": None}
-        if self.state.exists():
-            n, rest, *held = self.state.get()
-            said = dict(zip(("sid", "cwd", "model"), held))
-        out = []
-        for kind, start, value in zip(pieces.kind, pieces.start, pieces.value):
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        pieces = sorted(((r.mtime_micros, r.start, r.kind, r.value) for r in rows), key=lambda x: x[:2])
+        n, rest, *said = self.state.get() or NEW
+        for _, start, kind, value in pieces:
             if kind == "remove" or start == 0:  # gone, or to be read from its beginning
-                n, rest, said = 0, b"", {"sid": None, "cwd": None, "model": None}
+                n, rest, *said = NEW
             *whole, rest = (bytes(rest) + bytes(value or b"")).split(b"\n")
             for raw in whole:
                 line = raw.decode("utf-8", "replace").removesuffix("\r")
-                said |= state_of(line)
+                if now := state_of(line):
+                    said = [now.get(c, before) for c, before in zip(SAID, said)]
                 if line.strip():
-                    out.append((key[0], n, line, len(line.encode()), *said.values()))
+                    yield OUT(key[0], n, line, len(line.encode()), *said)
                 n += 1
-        if len(pieces) and pieces.kind.iloc[-1] == "remove":
+        if pieces and pieces[-1][2] == "remove":
             self.state.clear()
         else:
-            self.state.update((n, bytes(rest), *said.values()))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in LINES.split(", ")])
+            self.state.update((n, bytes(rest), *said))
 
     def close(self) -> None:
         pass
@@ -72,5 +72,5 @@ def lines_with_state(changes: DataFrame) -> DataFrame:
     Needs a state store that keeps columns: spark.sql.streaming.stateStore.providerClass of RocksDB.
     """
     some = changes.select("rel", "kind", "mtime_micros", "start", "value")
-    return some.groupBy("rel").transformWithStateInPandas(_Lines(), LINES, "Append", "None")
+    return some.groupBy("rel").transformWithState(_Lines(), LINES, "Append", "None")
 

@@ -96,3 +96,63 @@ def test_state_by_file_in_pieces(spark, tmp_path):
     got = sorted(map(tuple, t.usage().select(columns).collect()))
     assert got == sorted(map(tuple, whole.select(columns).collect())) and len(got) == 7
     assert file_state.state_of('{"type": "session_meta", "payload": 3}') == file_state.state_of('["session_meta"]') == {}
+
+
+def test_a_file_costs_few_calls():
+    """Pieces come as plain rows, in any order; the state is asked for once a file and batch and set once."""
+    from pyspark.sql import Row
+
+    calls = []
+
+    class State:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            calls.append("clear")
+            self.value = None
+
+    state = State()
+    processor = file_state._Lines()
+    processor.init(type("Handle", (), {"getValueState": lambda self, name, schema: state})())
+    piece = Row("rel", "kind", "mtime_micros", "start", "value")
+
+    def fed(*pieces):
+        calls.clear()
+        return [tuple(r) for r in processor.handleInputRows(("a",), iter([piece("a", *p) for p in pieces]), None)]
+
+    turn, meta = '{"type": "turn_context", "payload": {"model": "m"}}', '{"type": "session_meta", "payload": {"id": "s", "cwd": "/w"}}'
+    # The later piece comes first; the cut is inside a letter of two bytes.
+    raw = f"é\n{turn}\r\n\nlast".encode()
+    assert fed(("modify", 2, 1, raw[1:]), ("create", 1, 0, raw[:1])) == [("a", 0, "é", 2, None, None, None), ("a", 1, turn, len(turn), None, None, "m")]
+    assert calls == ["get", "update"] and state.value == (3, b"last", None, None, "m")
+    assert fed(("modify", 3, len(raw), f" one\n{meta}\n".encode())) == [("a", 3, "last one", 8, None, None, "m"), ("a", 4, meta, len(meta), "s", "/w", "m")]
+    assert calls == ["get", "update"] and state.value == (5, b"", "s", "/w", "m")
+    assert fed(("modify", 4, 0, b"new\n")) == [("a", 0, "new", 3, None, None, None)]  # replaced: read from its beginning
+    assert fed(("remove", 5, 0, None)) == [] and calls == ["get", "clear"] and state.value is None
+
+
+def test_pieces_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    """A piece of all files isn't one task's, and is one batch; the stream goes on from its state."""
+    from pyspark.sql import functions as F
+
+    from meterlake import queries
+
+    monkeypatch.setattr(queries, "work_folder", lambda s, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would join partitions as small as these
+    try:
+        got = queries.QUERIES["str_04_codex_pieces"](spark, "/root/testdata/sf0.001").collect()
+        whole = queries.QUERIES["ing_02_codex_carry"](spark, "/root/testdata/sf0.001").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted(map(tuple, got)) == sorted(map(tuple, whole)) and got
+    written = spark.read.parquet(str(tmp_path / "pieces" / "in")).groupBy("mtime_micros").agg(F.countDistinct("_metadata.file_name").alias("files")).collect()
+    assert len(written) == 3 and min(r.files for r in written) > 1
+    assert sorted(os.listdir(tmp_path / "pieces" / "out")) == ["batch=0", "batch=1", "batch=2"]
