@@ -1,8 +1,8 @@
 """Log files as DataFrames: lines, JSON documents, compressed lines, rows of embedded databases.
 
-A root is (folder, label); the label goes before the relative path and so into every key. Files are
-kept whole in one row until their lines are numbered, which the size cap makes safe; a missing root is
-an empty result. Files over the cap, and those that can't be unpacked or opened, are reported by `errors`; a scan
+A root is (folder, label); the label goes before the relative path and so into every key. Files of up to
+`MAX_BYTES` are kept whole in one row until their lines are numbered; files of lines over that are read in parts. A missing root is
+an empty result. Documents, databases and compressed files over the cap, and those that can't be unpacked or opened, are reported by `errors`; a scan
 goes on without them. `Roots` restricts a scan to files that changed.
 """
 
@@ -15,9 +15,10 @@ from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes up to which a file is held in one row.
 MAX_BYTES = 64 << 20
 MAX_DEPTH = 8
 
@@ -50,31 +51,39 @@ def _relative(spark: SparkSession, folder: str, label: str | None) -> Column:
 SIDECAR = r"(?<=\.db|\.vscdb)-wal$"
 
 
-def _scan(spark: SparkSession, roots: list[Root], kind: str, pattern: str, depth: int, content: list[Column], schema: str, over: bool = False, sidecars: bool = False) -> DataFrame:
-    """Files whose path matches; with `sidecars` those of stores too, under the store's own `rel`, with `sidecar` set."""
+#: Files that can only be read whole; all others are files of lines.
+WHOLE = r"(?i)\.(json|zstd|db|vscdb)(-wal)?$"
+
+
+def _scan(spark: SparkSession, roots: list[Root], kind: str, pattern: str, depth: int, content: list[Column], schema: str, sizes: str = "size <= {cap}", sidecars: bool = False, parts_of: bool = False) -> DataFrame:
+    """Files whose path matches, of the `sizes` named (by `size`, `cap` and `lines`, whether it is a file of lines).
+
+    With `sidecars` those of stores too, under the store's own `rel`, with `sidecar` set. With `parts_of` the lines of files,
+    with the file, the start of the block that a task reads, and a number that grows within the block.
+    """
     parts = []
     for folder, label in roots:
         if not _exists(spark, folder):
             continue
         reader = spark.read.format(kind).option("recursiveFileLookup", "true")
         if kind == "text":
-            reader = reader.option("wholetext", "true")
+            reader = reader.option("lineSep", "\n") if parts_of else reader.option("wholetext", "true")
         rel = _relative(spark, folder, label)
         df = reader.load(folder).select(rel.alias("rel"), F.lit(label).alias("label"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("mtime"), *content)
         if sidecars:
             df = df.withColumns({"sidecar": F.col("rel").rlike(SIDECAR), "rel": F.regexp_replace("rel", SIDECAR, "")})
         inside = F.size(F.split("rel", "/")) <= depth + (1 if label else 0)
-        df = df.where(F.col("rel").rlike(pattern) & inside & ((F.col("size") > MAX_BYTES) if over else (F.col("size") <= MAX_BYTES)))
-        parts.append(df)
+        df = df.withColumn("lines", ~F.col("rel").rlike(WHOLE)).where(F.col("rel").rlike(pattern) & inside & F.expr(sizes.format(cap=MAX_BYTES))).drop("lines")
+        parts.append(df.withColumn("at", F.monotonically_increasing_id()) if parts_of else df)  # before any shuffle
     if not parts:
-        return spark.createDataFrame([], "rel string, label string, size bigint, mtime timestamp" + schema + (", sidecar boolean" if sidecars else ""))
+        return spark.createDataFrame([], "rel string, label string, size bigint, mtime timestamp" + schema + (", sidecar boolean" if sidecars else "") + (", at bigint" if parts_of else ""))
     found, only = reduce(DataFrame.unionByName, parts), getattr(roots, "only", None)
     return found if only is None else found.join(only.select("rel"), "rel", "left_semi").select(found.columns)
 
 
 def listing(spark: SparkSession, provider: str, roots: list[Root], pattern: str = r"(?i)\.jsonl$", depth: int = MAX_DEPTH) -> DataFrame:
     """provider, rel, mtime, size of the files, a store's with its sidecar's; contents aren't read."""
-    found = _scan(spark, roots, "binaryFile", pattern, depth, [], "", sidecars=True)
+    found = _scan(spark, roots, "binaryFile", pattern, depth, [], "", "size <= {cap} or lines", sidecars=True)
     both = found.groupBy("rel").agg(F.max("mtime").alias("mtime"), F.sum("size").alias("size"), F.min("sidecar").alias("alone")).where("not alone")
     return both.select(F.lit(provider).alias("provider"), "rel", "mtime", "size")
 
@@ -87,7 +96,7 @@ def snapshot(files: DataFrame) -> DataFrame:
 
 def oversized(spark: SparkSession, provider: str, roots: list[Root], pattern: str = r"(?i)\.jsonl$", depth: int = MAX_DEPTH) -> DataFrame:
     """provider, rel, message of files that aren't read for their size."""
-    files = _scan(spark, roots, "binaryFile", pattern, depth, [], "", over=True)
+    files = _scan(spark, roots, "binaryFile", pattern, depth, [], "", "size > {cap} and not lines")
     return files.select(F.lit(provider).alias("provider"), "rel", F.concat(F.lit("file too large: "), F.col("size"), F.lit(" bytes")).alias("message"))
 
 
@@ -112,15 +121,31 @@ def errors(spark: SparkSession, provider: str, roots: list[Root], pattern: str =
 def number_lines(files: DataFrame, text: str = "value") -> DataFrame:
     """rel, line_idx (from 0), line, raw_bytes; of a file with an `error` one empty line that holds it."""
     tags = [c for c in ("error",) if c in files.columns]
-    lines = files.select("rel", *tags, F.posexplode(F.split(F.make_valid_utf8(text), "\n")).alias("line_idx", "line"))
+    return _filled(files.select("rel", *tags, F.posexplode(F.split(F.make_valid_utf8(text), "\n")).alias("line_idx", "line")))
+
+
+def _filled(lines: DataFrame) -> DataFrame:
     lines = lines.withColumn("line", F.regexp_replace("line", r"\r$", ""))
     some = F.trim("line") != ""
-    return lines.withColumn("raw_bytes", F.octet_length("line").cast("long")).where(some | F.col("error").isNotNull() if tags else some)
+    return lines.withColumn("raw_bytes", F.octet_length("line").cast("long")).where(some | F.col("error").isNotNull() if "error" in lines.columns else some)
+
+
+def large_lines(spark: SparkSession, roots: list[Root], pattern: str, depth: int = MAX_DEPTH) -> DataFrame:
+    """Numbered lines of files of lines over `MAX_BYTES`, which tasks read in blocks: a line's place in its block behind the lines of the blocks before."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value")]
+    found = _scan(spark, roots, "text", pattern, depth, place, ", file string, block bigint, value string", "size > {cap} and lines", parts_of=True)
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = found.groupBy("file", "block").agg(F.count("*").alias("n"))
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    lines = found.withColumn("inside", inside).join(blocks, ["file", "block"])
+    return _filled(lines.select("rel", (F.col("before") + F.col("inside")).alias("line_idx"), F.make_valid_utf8("value").alias("line")))
 
 
 def json_lines(spark: SparkSession, roots: list[Root], pattern: str = r"(?i)\.jsonl$", depth: int = MAX_DEPTH) -> DataFrame:
-    """Numbered lines of text files."""
-    return number_lines(_scan(spark, roots, "text", pattern, depth, [F.col("value")], ", value string"))
+    """Numbered lines of text files of any size."""
+    small = number_lines(_scan(spark, roots, "text", pattern, depth, [F.col("value")], ", value string"))
+    return small.unionByName(large_lines(spark, roots, pattern, depth))
 
 
 def documents(spark: SparkSession, roots: list[Root], pattern: str = r"\.json$", depth: int = MAX_DEPTH) -> DataFrame:
@@ -183,7 +208,8 @@ def unreadable(files: DataFrame, provider: str) -> DataFrame:
 
 
 def compressed_lines(spark: SparkSession, roots: list[Root], pattern: str = r"(?i)\.jsonl(\.zstd)?$", depth: int = MAX_DEPTH, files: DataFrame | None = None) -> DataFrame:
-    """Numbered lines of plain or zstd-compressed files (rel, content), one file at a time in a task; those that can't be unpacked give none, or a row with an `error` if `roots` are tagged."""
+    """Numbered lines of plain files of any size or zstd-compressed ones (rel, content), one file at a time in a task; those that can't be unpacked give none, or a row with an `error` if `roots` are tagged."""
+    large = large_lines(spark, roots, pattern, depth) if files is None else None
     files, tagged = contents(spark, roots, pattern, depth) if files is None else files, getattr(roots, "tagged", False)
 
     def unpack(batches):
@@ -198,7 +224,8 @@ def compressed_lines(spark: SparkSession, roots: list[Root], pattern: str = r"(?
                     yield pa.RecordBatch.from_arrays([pa.array([rel]), pa.array([text], pa.string()), pa.array([error], pa.string())], names=["rel", "value", "error"])
 
     rows = files.select("rel", "content").mapInArrow(unpack, "rel string, value string, error string")
-    return number_lines(rows if tagged else rows.drop("error"))
+    lines = number_lines(rows if tagged else rows.drop("error"))
+    return lines if large is None else lines.unionByName(large, allowMissingColumns=True)
 
 
 def database_rows(spark: SparkSession, roots: list[Root], pattern: str, sql: str | tuple[str, ...], schema: str, depth: int = MAX_DEPTH, files: DataFrame | None = None) -> DataFrame:
